@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup
+from . import chat, decontaminate, exact_dedup, mixing
 
 _OPERATORS = {
+    "op6_mixing": mixing,
     "op8_exact_dedup": exact_dedup,
     "op9_chat_formatting": chat,
+    "op10_decontamination": decontaminate,
 }
 
 QUERIES = {name: module.query for name, module in _OPERATORS.items()}
