@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, mixing
+from . import chat, decontaminate, exact_dedup, mixing, simhash
 
 _OPERATORS = {
     "op6_mixing": mixing,
+    "op7_simhash": simhash,
     "op8_exact_dedup": exact_dedup,
     "op9_chat_formatting": chat,
     "op10_decontamination": decontaminate,
