@@ -165,22 +165,34 @@ def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return held
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of each word, from prefix sums over blocks of the buffer; `which` picks one of two functions."""
-    out = np.empty(len(starts), np.uint64)
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: list[np.ndarray], which: int = 0) -> list[np.ndarray]:
+    """A 64-bit hash of the bytes from each start to each of its ends, from prefix sums over blocks of the buffer.
+
+    The first array of `ends` holds the farthest end of each start and, like `starts`, ascends; `which` picks one of
+    two hash functions.
+    """
+    out = [np.empty(len(starts), np.uint64) for _ in ends]
     i, n = 0, len(starts)
     while i < n:
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + _BLOCK, side="right")))
-        low, high = int(starts[i]), int(ends[j - 1])
+        j = max(i + 1, int(np.searchsorted(ends[0], starts[i] + _BLOCK, side="right")))
+        low, high = int(starts[i]), int(ends[0][j - 1])
         up, down, table = _powers(high - low, which)
         total = np.zeros(high - low + 1, np.uint64)
         np.cumsum(table[buf[low:high]] * up[: high - low], out=total[1:])
-        s, e = starts[i:j] - low, ends[i:j] - low
-        out[i:j] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0x27D4EB2F165667C5))
+        s = starts[i:j] - low
+        base, scale = total[s], down[s]
+        for o, end in zip(out, ends):
+            e = end[i:j] - low
+            o[i:j] = mix((total[e] - base) * scale + (e - s).astype(np.uint64) * np.uint64(0x27D4EB2F165667C5))
         i = j
     return out
 
 
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    return span_hashes(buf, starts, [ends], which)[0]
+
+
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n words from each position on (also across rows; callers mask those), by doubling."""
     if n == 1 or len(words) < n:

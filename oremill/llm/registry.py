@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, mixing, simhash
+from . import chat, decontaminate, exact_dedup, mixing, simhash, toxicity
 
 _OPERATORS = {
+    "op2_toxicity": toxicity,
     "op6_mixing": mixing,
     "op7_simhash": simhash,
     "op8_exact_dedup": exact_dedup,
