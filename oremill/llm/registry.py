@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, mixing, simhash, toxicity
+from . import chat, decontaminate, exact_dedup, mixing, simhash, token_counts, toxicity
 
 _OPERATORS = {
     "op2_toxicity": toxicity,
+    "op5_token_counts": token_counts,
     "op6_mixing": mixing,
     "op7_simhash": simhash,
     "op8_exact_dedup": exact_dedup,
