@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, mixing, simhash, token_counts, toxicity
+from . import chat, decontaminate, exact_dedup, mixing, simhash, token_counts, token_store, toxicity
 
 _OPERATORS = {
     "op2_toxicity": toxicity,
+    "op3_token_store": token_store,
     "op5_token_counts": token_counts,
     "op6_mixing": mixing,
     "op7_simhash": simhash,
