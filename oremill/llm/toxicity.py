@@ -10,7 +10,7 @@ over all texts, without a shuffle, and locates the sentences at or above the thr
 
 Defined results: null and empty texts get the score of a document without sentences, 0; rows of `labels` with a null
 doc_id or label are ignored, and a doc_id labelled more than once counts as toxic if any label says so; without
-labels of both kinds every score is 0; repeated rows are scored each; extra columns are ignored.
+labels of both kinds, or without a term that tells them apart, every score is 0; repeated rows are scored each; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -170,6 +170,8 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, usable: Column | N
     gain = part("bad", "bad") + part("good", "good")
     top = counts.withColumn("gain", gain).filter((F.col("gain") >= MIN_GAIN) & (F.col("bad") * float(n[0]) > F.col("good") * float(n[1]))).orderBy(F.col("gain").desc(), "term").limit(MAX_TERMS)
     terms = np.sort(np.array([r["term"] for r in top.collect()], np.int64).view(np.uint64))
+    if not len(terms):
+        return nothing
     found = rows.mapInArrow(_instances(terms), "row long, toxic int, sentences long, sents binary, terms binary").orderBy("row").collect()
     weights, bias = noisy_or_fit([(r["toxic"], r["sentences"], r["sents"], r["terms"]) for r in found], len(terms))
     scratch.drop("sample")
