@@ -6,6 +6,7 @@ operator loops over words in Python.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -84,6 +85,12 @@ class Scratch:
             self.tables.remove(table)
 
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of finished exchanges now, rather than whenever the driver collects garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, mixing, simhash, substring_dedup, token_counts, token_store, toxicity
+from . import chat, decontaminate, exact_dedup, language_model, mixing, simhash, substring_dedup, token_counts, token_store, toxicity
 
 _OPERATORS = {
     "op1_substring_dedup": substring_dedup,
     "op2_toxicity": toxicity,
     "op3_token_store": token_store,
+    "op4_language_model": language_model,
     "op5_token_counts": token_counts,
     "op6_mixing": mixing,
     "op7_simhash": simhash,
