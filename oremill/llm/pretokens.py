@@ -19,7 +19,7 @@ _CLASS[0x30:0x3A] = _DIGIT
 _CLASS[0x61:0x7B] = _LETTER
 _CLASS[0xC3] = _LETTER
 _CLASS[[0x27, 0x3C]] = 0
-CACHE_BITS = 19
+CACHE_BITS = 21
 
 
 def units(col) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -38,7 +38,8 @@ END_ID = 1
 WINDOW = 16
 MASK = 255
 MOST = 2048
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 2 << 20
+JOINED = 64
 CACHED = 6
 NO_ID = -(1 << 63)
 
@@ -55,19 +56,24 @@ class Encoder:
         self.full = Tokenizer.from_str(json.dumps(held))
         # the same model on pre-tokens as they are: already lower-cased, cut and byte-mapped
         self.plain = Tokenizer.from_str(json.dumps(held | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}}))
+        end = held["model"]["end_of_word_suffix"]
+        self.ends_word = np.zeros(max(held["model"]["vocab"].values()) + 1, bool)
+        self.ends_word[[i for token, i in held["model"]["vocab"].items() if token.endswith(end)]] = True
         self.chars = {b: c for b, c in enumerate(byte_chars())}
         self.cache = Cache(CACHED + 1, np.int32)
 
-    def library(self, raws: list[bytes], slow: np.ndarray) -> list[list[int]]:
-        out: list[list[int]] = [[]] * len(raws)
-        easy = np.flatnonzero(~slow).tolist()
-        words = [raws[i].decode("latin-1").translate(self.chars) for i in easy]
-        for i, e in zip(easy, self.plain.encode_batch_fast(words, add_special_tokens=False)):
-            out[i] = e.ids
-        hard = np.flatnonzero(slow).tolist()
-        for i, e in zip(hard, self.full.encode_batch_fast([raws[i].decode("utf-8", "replace") for i in hard], add_special_tokens=False)):
-            out[i] = e.ids
-        return out
+    def easy(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens, by the model; many go in one call, and ids that end a word tell them apart again."""
+        words = [r.decode("latin-1").translate(self.chars) for r in raws]
+        lines = [" ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
+        found = [np.array(e.ids, np.int32) for e in self.plain.encode_batch_fast(lines, add_special_tokens=False)]
+        ids = np.concatenate(found) if found else np.zeros(0, np.int32)
+        return ids, np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1)
+
+    def hard(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole words, by the full tokenizer."""
+        found = [e.ids for e in self.full.encode_batch_fast([r.decode("utf-8", "replace") for r in raws], add_special_tokens=False)]
+        return np.array([i for f in found for i in f], np.int32), np.array([len(f) for f in found], np.int64)
 
     def encode(self, col) -> tuple[np.ndarray, np.ndarray]:
         """All rows' ids in one array, an END_ID after each row, and the rows' offsets."""
@@ -76,9 +82,13 @@ class Encoder:
         held = self.cache.values[self.cache.slot(new)]
         miss = np.flatnonzero(~self.cache.hits(new))
         at = first[miss]
-        got = self.library([buf[a:b].tobytes() for a, b in zip(starts[at].tolist(), ends[at].tolist())], slow[at])
+        raw = lambda rows: [buf[a:b].tobytes() for a, b in zip(starts[rows].tolist(), ends[rows].tolist())]
         size = held[:, 0].astype(np.int64)
-        size[miss] = [len(g) for g in got]
+        got = []
+        for which, encode in ((miss[~slow[at]], self.easy), (miss[slow[at]], self.hard)):
+            ids, n = encode(raw(first[which]))
+            size[which] = n
+            got.append((which, ids))
         begin = np.cumsum(size) - size
         flat = np.zeros(int(size.sum()), np.int32)
         hit = np.ones(len(new), bool)
@@ -86,7 +96,8 @@ class Encoder:
         known = np.flatnonzero(hit)
         step = ragged_arange(size[known])
         flat[np.repeat(begin[known], size[known]) + step] = held[np.repeat(known, size[known]), 1 + step]
-        flat[np.repeat(begin[miss], size[miss]) + ragged_arange(size[miss])] = np.fromiter((x for g in got for x in g), np.int32, int(size[miss].sum()))
+        for which, ids in got:
+            flat[np.repeat(begin[which], size[which]) + ragged_arange(size[which])] = ids
         short = miss[size[miss] <= CACHED]
         rows = np.zeros((len(short), CACHED + 1), np.int32)
         rows[:, 0] = size[short]
