@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import evidence_queries
+
+QUERIES: dict = {**evidence_queries.QUERIES}
+ORACLES: dict = {**evidence_queries.ORACLES}
