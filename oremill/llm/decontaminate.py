@@ -55,9 +55,9 @@ class Probe:
 class Index:
     """The windows of a block of items: distinct by their words, with their shingles."""
 
-    def __init__(self, ids: list, texts: pa.Array, window: int, shingle: int):
+    def __init__(self, ids: list[str], texts: pa.Array, window: int, shingle: int):
         h0, h1, bounds = words_of(texts)
-        self.ids, self.h0, self.h1 = [("null" if i is None else str(i)) for i in ids], h0, h1
+        self.ids, self.h0, self.h1 = ids, h0, h1
         n = np.diff(bounds)
         windows = np.where(n >= window, n - window + 1, (n > 0).astype(np.int64))
         self.item = np.repeat(np.arange(len(n)), windows)
@@ -167,8 +167,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, scratch: Scratch, window: i
     empty = [F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(None).cast("binary").alias("hit"), F.array().cast("array<string>").alias("items")]
     held = docs.select(*(docs.columns if keep_text else [F.col("doc_id"), F.col("text")]), *empty)
     for b in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).filter(F.length("text") > 0).toPandas()
-        index = Index(block["item_id"].astype(object).where(block["item_id"].notna(), None).map(lambda i: int(i) if isinstance(i, float) else i).tolist(), pa.array(block["text"].tolist(), pa.large_string()), window, shingle)
+        block = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).filter(F.length("text") > 0).select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text").collect()
+        index = Index([r["item_id"] for r in block], pa.array([r["text"] for r in block], pa.large_string()), window, shingle)
         sizes = {int(s): index.keys(int(s)) for s in np.unique(index.sizes)}
         counts = {s: np.zeros(len(k), np.int64) for s, k in sizes.items()}
         summed = narrowed(docs, "text").mapInArrow(_count(sizes), "size int, key long, n long").groupBy("size", "key").agg(F.sum("n").alias("n"))
