@@ -48,7 +48,7 @@ def groups(clustered: DataFrame, block: str, least: int = 2, most: int = 10) ->
 def mode_by(rows: DataFrame, key: str, value: Column, order: Column, k: int = 1) -> DataFrame:
     """The k most frequent non-empty values of each key, first seen first among equals: (key, value, n, place)."""
     counted = rows.select(F.col(key), value.alias("value"), order.alias("o")).filter(F.coalesce(F.col("value") != "", F.lit(False))).groupBy(key, "value").agg(F.count("*").alias("n"), F.min("o").alias("o"))
-    w = Window.partitionBy(key).orderBy(F.col("n").desc(), "o")
+    w = Window.partitionBy(key).orderBy(F.col("n").desc(), "o", "value")
     return counted.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).drop("o")
 
 

@@ -164,14 +164,14 @@ def features(spark, sf):
     return features_of(spark, sf)
 
 
-@query("q17_modes", f"""WITH {CLAIMS}, m AS (SELECT vertical, persona AS value, count(*) AS n, row_number() OVER (PARTITION BY vertical ORDER BY count(*) DESC, min(ord)) AS place FROM claims WHERE persona <> '' GROUP BY vertical, persona)
+@query("q17_modes", f"""WITH {CLAIMS}, m AS (SELECT vertical, persona AS value, count(*) AS n, row_number() OVER (PARTITION BY vertical ORDER BY count(*) DESC, min(ord), persona) AS place FROM claims WHERE persona <> '' GROUP BY vertical, persona)
 SELECT vertical, value, n, CAST(place AS INT) AS place FROM m WHERE place <= 3""")
 def modes(spark, sf):
     return cluster.mode_by(v.claims(spark, sf), "vertical", F.col("persona"), F.col("ord"), 3)
 
 
 def mode_sql(c):
-    return f"m_{c} AS (SELECT vertical, {c} FROM (SELECT vertical, {c}, row_number() OVER (PARTITION BY vertical ORDER BY count(*) DESC, min(ord)) AS k FROM claims WHERE {c} <> '' GROUP BY vertical, {c}) WHERE k = 1)"
+    return f"m_{c} AS (SELECT vertical, {c} FROM (SELECT vertical, {c}, row_number() OVER (PARTITION BY vertical ORDER BY count(*) DESC, min(ord), {c}) AS k FROM claims WHERE {c} <> '' GROUP BY vertical, {c}) WHERE k = 1)"
 
 
 HYP_SQL = f"""{FEATURE_SQL}, {POLICY}, {', '.join(map(mode_sql, ('persona', 'job', 'obstacle', 'current_workaround')))},
@@ -246,8 +246,8 @@ def top3_ideas(spark, sf):
 
 
 @query("q23_competitor_map", f"""WITH {CLAIMS}, c AS (SELECT lower(trim(brand)) AS name, claim_type, persona, ord, obstacle FROM claims WHERE trim(brand) <> ''),
-p AS (SELECT name, string_agg(persona, ',' ORDER BY o) AS personas FROM (SELECT name, persona, min(ord) AS o FROM c GROUP BY name, persona) GROUP BY name),
-b AS (SELECT name, string_agg(obstacle, ',' ORDER BY o) AS obstacles FROM (SELECT name, obstacle, min(ord) AS o FROM c GROUP BY name, obstacle) GROUP BY name)
+p AS (SELECT name, string_agg(persona, ',' ORDER BY o, persona) AS personas FROM (SELECT name, persona, min(ord) AS o FROM c GROUP BY name, persona) GROUP BY name),
+b AS (SELECT name, string_agg(obstacle, ',' ORDER BY o, obstacle) AS obstacles FROM (SELECT name, obstacle, min(ord) AS o FROM c GROUP BY name, obstacle) GROUP BY name)
 SELECT name, count(*) AS mention_count, count(*) FILTER (WHERE claim_type = 'switching') AS switching_count, count(*) FILTER (WHERE claim_type = 'switching') / CAST(count(*) AS DOUBLE) AS switching_share, any_value(personas) AS personas, any_value(obstacles) AS obstacles
 FROM c JOIN p USING (name) JOIN b USING (name) GROUP BY name""")
 def competitor_map(spark, sf):
