@@ -6,6 +6,7 @@ operator loops over words in Python.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -74,6 +75,13 @@ class Scratch:
         self.tables.append(table)
         return self.spark.table(table)
 
+    def put_kinds(self, name: str, df: DataFrame, key: str, buckets: int) -> DataFrame:
+        """Write rows already dealt by `key`, apart by their column `kind` and clustered by `key`."""
+        table = f"oremill_{name}_{uuid.uuid4().hex[:12]}"
+        df.write.partitionBy("kind").bucketBy(buckets, key).mode("overwrite").format("parquet").option("compression", "zstd").option("path", f"{self.root}/{name}").saveAsTable(table)
+        self.tables.append(table)
+        return self.spark.table(table)
+
     def drop(self, *names: str) -> None:
         """Remove the named tables, or all but the results still to be read."""
         jvm = self.spark._jvm
@@ -244,6 +252,15 @@ def covered(starts: np.ndarray, length: int, total: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
+def settle() -> None:
+    """Give memory that allocators hold back to the system: a Python worker stays while others need the space."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def byte_rows(batch_bytes: int, it):
     """Cut Arrow batches to slices of about `batch_bytes` of their `text` column, so that memory stays bounded."""
     for batch in it:
@@ -257,3 +274,5 @@ def byte_rows(batch_bytes: int, it):
             stop = max(at + 1, int(np.searchsorted(total, before + batch_bytes, side="right")))
             yield batch.slice(at, stop - at)
             at = stop
+    batch = None
+    settle()

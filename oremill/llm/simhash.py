@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE_WORD, Scratch, byte_rows, flatten, load, narrowed, word_bounds
+from .common import LOWER, SPACE_WORD, Scratch, byte_rows, flatten, load, narrowed, settle, word_bounds
 from .components import components
 
 SHINGLE = 3
@@ -155,7 +155,9 @@ def _compare(radius: int):
                 us.append(u)
                 vs.append(v)
         join = lambda x: pa.array(np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64))
-        return pa.table({"u": join(us), "v": join(vs)})
+        out = pa.table({"u": join(us), "v": join(vs)})
+        settle()
+        return out
 
     return run
 
