@@ -148,8 +148,12 @@ ROW = "kind string, route long, doc_id long, digest binary, n long, wide boolean
 _FIELDS = [("kind", pa.string()), ("route", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("wide", pa.bool_()), ("payload", pa.binary()), ("digests", pa.binary()), ("sizes", pa.binary())]
 
 
-def _route(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "little", signed=True)
+def _routes(digests) -> np.ndarray:
+    return np.frombuffer(b"".join(digests), "<i8").reshape(-1, 4)[:, 0]
+
+
+def _batch(rows: int, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[name], kind) if name in columns else pa.nulls(rows, kind) for name, kind in _FIELDS], names=[name for name, _ in _FIELDS])
 
 
 def _encode(path: str):
@@ -166,21 +170,23 @@ def _encode(path: str):
             raw = ids.astype("<u4").tobytes()
             digests = [hashlib.sha256(raw[4 * a : 4 * b]).digest() for a, b in zip(begin.tolist(), cuts.tolist())]
             last = np.searchsorted(cuts, offsets[1:]) + 1
-            out = {name: [] for name, _ in _FIELDS}
-            seen = set()
+            narrow = (np.maximum.reduceat(ids, begin) <= 0xFFFF).tolist()
+            short = ids.astype("<u2").tobytes()
+            first: dict[bytes, int] = {}
             for i, d in enumerate(digests):
-                if d in seen:
-                    continue
-                seen.add(d)
-                part = ids[begin[i] : cuts[i]]
-                wide = bool(part.max() > 0xFFFF)
-                for name, v in zip(out, ("chunk", _route(d), None, d, len(part), wide, part.astype("<u4" if wide else "<u2").tobytes(), None, None)):
-                    out[name].append(v)
-            for doc, a, b in zip(doc_ids, np.concatenate([[0], last[:-1]]).tolist(), last.tolist()):
-                mine = b"".join(digests[a:b])
-                for name, v in zip(out, ("recipe", _route(hashlib.sha256(mine).digest()), doc, None, None, None, None, mine, (cuts[a:b] - begin[a:b]).astype("<i8").tobytes())):
-                    out[name].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[name], kind) for name, kind in _FIELDS], names=[name for name, _ in _FIELDS])
+                first.setdefault(d, i)
+            own = list(first.values())
+            span = [(begin[i], cuts[i]) for i in own]
+            yield _batch(
+                len(own), kind=["chunk"] * len(own), route=_routes(first), digest=list(first), n=(cuts - begin)[own], wide=[not narrow[i] for i in own],
+                payload=[short[2 * a : 2 * b] if narrow[i] else raw[4 * a : 4 * b] for i, (a, b) in zip(own, span)],
+            )
+            together, edge = b"".join(digests), [0, *last.tolist()]
+            mine = [together[32 * a : 32 * b] for a, b in zip(edge, edge[1:])]
+            size = (cuts - begin).astype("<i8").tobytes()
+            yield _batch(
+                len(mine), kind=["recipe"] * len(mine), route=_routes([hashlib.sha256(m).digest() for m in mine]), doc_id=doc_ids, digests=mine, sizes=[size[8 * a : 8 * b] for a, b in zip(edge, edge[1:])]
+            )
 
     return run
 
