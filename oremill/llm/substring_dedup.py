@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, Scratch, covered, flatten, gram_hashes, load, narrowed, positions_in_rows, ragged_arange, text_bytes, word_bounds, word_hashes
+from .common import SPACE_WORD, Scratch, covered, flatten, gram_hashes, load, mix, narrowed, positions_in_rows, ragged_arange, text_bytes, word_bounds, word_hashes
 
 WINDOW = 20
 CHUNK_BYTES = 5 << 20
@@ -79,7 +79,8 @@ class Chunk:
         else:
             place = self.alive
         anchors, of = np.unique(place, return_inverse=True)
-        values, first, back, count = np.unique(grams[anchors], return_index=True, return_inverse=True, return_counts=True)
+        # least hashes crowd near 0: mixed again, they spread evenly over the owners
+        values, first, back, count = np.unique(mix(grams[anchors]), return_index=True, return_inverse=True, return_counts=True)
         return of, anchors, values, back, count, anchors[first]
 
 
