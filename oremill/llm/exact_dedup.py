@@ -137,6 +137,19 @@ def _normal(batches):
 
 
 # ---------------------------------------------------------------- operator
+def verified(suspects: DataFrame, scratch: Scratch) -> DataFrame:
+    """`suspects` (doc_id, sha, print, norm) grouped byte by byte: keep_id and group_size of each doc_id and sha."""
+    groups = scratch.put("groups", suspects.groupBy("print", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
+    # a fingerprint all of whose texts were the same bytes names its group; texts are compared again only where one has several
+    several = groups.groupBy(F.col("print").alias("p")).agg(F.count("*").alias("texts")).filter("texts > 1").select("p")
+    named = groups.join(several, F.col("print") == F.col("p"), "left_anti").select(F.col("print").alias("p"), "keep_id", "group_size")
+    clash = groups.join(several, F.col("print") == F.col("p"), "left_semi").select(F.col("print").alias("p"), F.col("norm").alias("other"), "keep_id", "group_size")
+    one = suspects.select("doc_id", "sha", "print").join(named, F.col("print") == F.col("p"))
+    more = suspects.join(clash, (F.col("print") == F.col("p")) & (F.col("norm") == F.col("other")))
+    columns = ("doc_id", "sha", "keep_id", "group_size")
+    return one.select(*columns).unionByName(more.select(*columns)).groupBy("doc_id", "sha").agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
+
+
 def exact_dedup(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
     spark = scratch.spark
@@ -153,15 +166,7 @@ def exact_dedup(docs: DataFrame, scratch: Scratch) -> DataFrame:
     wanted = first.select("doc_id").distinct()
     suspects = texts.join(wanted, "doc_id", "left_semi").mapInArrow(_normal, "doc_id long, print long, sha string, norm binary")
     suspects = scratch.put("suspects", suspects)
-    groups = suspects.groupBy("print", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    found = (
-        suspects.alias("s")
-        .join(groups.alias("g"), (F.col("s.print") == F.col("g.print")) & (F.col("s.norm") == F.col("g.norm")))
-        .select("s.doc_id", "s.sha", "keep_id", "group_size")
-        .groupBy("doc_id", "sha")
-        .agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
-        .join(first, ["doc_id", "sha"])
-    )
+    found = verified(suspects, scratch).join(first, ["doc_id", "sha"])
     real = lambda c: F.when(c != F.lit(NO_ID), c)
     out = rows.join(found, ["doc_id", "sha"], "left").select(
         real(F.col("doc_id")).alias("doc_id"),
@@ -177,7 +182,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8: every row of documents."""
     scratch = Scratch(spark, "exact_dedup")
     out = scratch.put("out", exact_dedup(load(spark, sf_dir, "documents"), scratch))
-    scratch.drop("prints", "rows", "suspects")
+    scratch.drop("prints", "rows", "suspects", "groups")
     return out
 
 

@@ -4,6 +4,7 @@ import hashlib
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from oremill.llm import exact_dedup as x
 from oremill.llm.common import Scratch
@@ -44,3 +45,12 @@ def test_rice_round_trip():
             v = np.sort(rng.integers(0, top, n, dtype=np.uint64, endpoint=True))
             k, code = x.rice_encode(v)
             assert (x.rice_decode(n, k, code) == v).all()
+
+
+def test_equal_fingerprints_of_different_texts(spark, monkeypatch):
+    """With a fingerprint of one value, bytes alone tell groups apart."""
+    df = spark.createDataFrame([(i, f"t{i % 5}", 0) for i in range(40)], "doc_id long, norm string, print long")
+    scratch = Scratch(spark, "t")
+    suspects = df.withColumn("sha", F.sha2("norm", 256))
+    got = x.verified(suspects, scratch).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in got} == {(i, 35 + i % 5, 8) for i in range(40)}
