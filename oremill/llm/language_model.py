@@ -6,8 +6,8 @@ unknown word.  Seating is sampled by Gibbs: customers leave their table and sit
 proportional to its size less the discount, or at a new one in proportion to (strength + discount x tables) x the
 root's probability.  Sweeps alternate with the root: restaurants, which are independent given the root, are sampled in
 parallel by owners of contexts; their tables are then summed by owners of words, who seat the root's customers.  A
-sweep seats at most SCAN customers of a restaurant and word again, drawn in turn (a random scan leaves the posterior
-unchanged), so its time does not grow with the largest count; counts themselves are whole.  After BURN sweeps the
+sweep seats every customer again: those of pairs with at most SCAN customers one by one; of larger pairs, the number
+of tables, all that the model reads of a seating, is drawn from its conditional (draw_tables).  After BURN sweeps the
 tables of each restaurant and word, and the root's probabilities, are averaged over the rest, and documents are scored
 by the averaged predictive probabilities.
 
@@ -39,6 +39,9 @@ STRENGTH = 1.0
 END = np.uint64(0x7A3C9D1E5F20B846)
 NO_ID = -(1 << 63)
 PARTS, HELD_OUT = 7, 2
+#: Largest count whose distribution of tables is read from a table of Stirling numbers; nodes of interpolation and points of quadrature beyond it.
+STIRLING, NODES, POINTS = 1024, 16, 48
+BLOCK = 1 << 18
 
 
 def owner_cuts(hashes: np.ndarray, owners: int) -> np.ndarray:
@@ -236,6 +239,98 @@ class Restaurants:
             self.size[start + seat] += 1
 
 
+def log_stirling(n: int, discount: float) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers S(c, t), the summed weights of c customers' seatings at t tables, for c, t <= n."""
+    out = np.full((n + 1, n + 1), -np.inf)
+    out[0, 0] = 0.0
+    for c in range(n):
+        t = np.arange(1, c + 2)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            stay = np.where(t <= c, out[c, 1 : c + 2] + np.log(np.maximum(c - discount * t, 0)), -np.inf)
+        out[c + 1, 1 : c + 2] = np.logaddexp(out[c, : c + 1], stay)
+    return out
+
+
+def log_power(c: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
+    """log [z^c] (1 - (1 - z)^discount)^t, that is log S(c, t) + t log discount + log t! - log c!, for c beyond tables.
+
+    Cauchy's integral over p = -log z on the parabola a (1 + iu)^2 around the branch point p = 0, through the saddle
+    point or, where that lies closer to 0 than 3 / c, at 3 / c.
+    """
+    low, high = np.full(c.shape, np.log(1e-30)), np.full(c.shape, np.log(60.0))
+    for _ in range(60):  # the saddle point: t d (1 - e^-p)^(d - 1) e^-p / phi falls to c
+        mid = (low + high) / 2
+        p = np.exp(mid)
+        q = -np.expm1(-p)
+        above = t * discount * q ** (discount - 1) * np.exp(-p) / -np.expm1(discount * np.log(q)) > c
+        low, high = np.where(above, mid, low), np.where(above, high, mid)
+    a = np.maximum(np.exp((low + high) / 2), 3.0 / c)
+    step = np.sqrt(45.0 / (min(1.0, 2 - 2 * discount) * a * c)) / POINTS
+    u = step[..., None] * np.arange(POINTS + 1)
+    p = a[..., None] * (1 + 1j * u) ** 2
+    f = t[..., None] * np.log(1 - (1 - np.exp(-p)) ** discount) + c[..., None] * p
+    peak = f[..., 0].real
+    g = np.where(p.imag <= np.pi, (np.exp(f - peak[..., None]) * (1 + 1j * u)).real, 0.0)
+    g[..., 0] /= 2
+    return peak + np.log(2 * a * step * g.sum(-1) / np.pi)
+
+
+def _pick(logs: np.ndarray, cuts: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A place in each stretch of `logs`, with probability proportional to the exponential."""
+    n = np.diff(cuts)
+    w = np.cumsum(np.exp(logs - np.repeat(np.maximum.reduceat(logs, cuts[:-1]), n)))
+    before = np.concatenate([[0.0], w])[cuts]
+    at = np.searchsorted(w, before[:-1] + rng.random(len(n)) * np.diff(before), side="right")
+    return np.clip(at, cuts[:-1], cuts[1:] - 1) - cuts[:-1]
+
+
+def draw_tables(counts: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of whole pairs, t with probability proportional to S(count, t) weight^t; counts fall.
+
+    Up to STIRLING customers all t are weighed with exact numbers.  Beyond, t is weighed ten deviations to both sides
+    of its mode; log [z^c] phi^t - log t is smooth there and interpolated between NODES exact values.
+    """
+    out = np.ones(len(counts), np.int64)
+    split = int(np.searchsorted(-counts, -STIRLING, side="left"))
+    if split < len(counts):
+        known = log_stirling(int(counts[split]), discount)
+        cuts = np.concatenate([[0], np.cumsum(counts[split:])])
+        i = 0
+        while i < len(cuts) - 1:
+            j = max(i + 1, int(np.searchsorted(cuts, cuts[i] + BLOCK, side="right")) - 1)
+            c, own = counts[split + i : split + j], cuts[i : j + 1] - cuts[i]
+            t = np.arange(1, own[-1] + 1) - np.repeat(own[:-1], c)
+            out[split + i : split + j] = 1 + _pick(known[np.repeat(c, c), t] + t * np.repeat(np.log(weight[split + i : split + j]), c), own, rng)
+            i = j
+    x = np.cos(np.pi * np.arange(NODES) / (NODES - 1))
+    sign = (-1.0) ** np.arange(NODES)
+    sign[[0, -1]] /= 2
+    for i in range(0, split, 64):
+        c, mu = counts[i : min(i + 64, split)].astype(np.float64), weight[i : min(i + 64, split)] / discount
+        low, high = np.full(len(c), np.log(1e-30)), np.full(len(c), np.log(60.0))
+        for _ in range(60):  # tables are mu phi(z) where mu z phi'(z) = c
+            mid = (low + high) / 2
+            p = np.exp(mid)
+            above = mu * discount * (-np.expm1(-p)) ** (discount - 1) * np.exp(-p) > c
+            low, high = np.where(above, mid, low), np.where(above, high, mid)
+        mode = np.clip(1 + mu * -np.expm1(discount * np.log(-np.expm1(-np.exp(low)))), 1, c)
+        wide = 10 * np.sqrt(np.minimum(mode, c - mode + 1)) + 12
+        first, last = np.maximum(np.floor(mode - wide), 1), np.minimum(np.ceil(mode + wide), c)
+        nodes = (first + last)[:, None] / 2 + (last - first)[:, None] / 2 * x
+        whole = np.repeat(c[:, None], NODES, 1)
+        smooth = np.where(nodes < whole, log_power(whole, np.minimum(nodes, whole - 1e-3), discount), whole * np.log(discount)) - np.log(nodes)
+        for k in range(len(c)):
+            t = np.arange(first[k], last[k] + 1)
+            near = t[:, None] - nodes[k]
+            hit = near == 0
+            near[hit] = 1.0
+            part = sign / near
+            value = np.where(hit.any(1), hit @ smooth[k], part @ smooth[k] / part.sum(1))
+            logs = value + np.log(t) + t * np.log(mu[k]) - np.cumsum(np.log(t))
+            out[i + k] = first[k] + _pick(logs, np.array([0, len(t)]), rng)[0]
+    return out
+
+
 def seat_root(customers: np.ndarray, strength_base: float, discount: float, rng: np.random.Generator) -> np.ndarray:
     """Tables of each word when its customers sit down one after another, a new table against old ones at
     strength_base : (seated - discount x tables).  Beyond the first few, customers come in blocks of a sixteenth of
@@ -253,8 +348,8 @@ def seat_root(customers: np.ndarray, strength_base: float, discount: float, rng:
     return tables
 
 
-#: Rows of a model, by kind: 0 keys and counts of an owner's pairs; 1 the tables of its customers and the mean number of
-#: tables of its pairs of several customers; 2 words and their tables, for the root; 3 the same for pairs of one customer.
+#: Rows of a model, by kind: 0 keys and counts of an owner's pairs; 1 the tables of its large pairs, then the table of each
+#: customer of its other pairs of several, and the mean number of tables of both; 2 words and their tables, for the root; 3 the same for pairs of one customer.
 MODEL = "kind int, owner long, root long, a binary, b binary, n1 long, n2 long"
 PAIRS, SEATS, ASK, SINGLE = range(4)
 
@@ -271,12 +366,13 @@ def _for_root(kind: int, owner: int, words: np.ndarray, tables: np.ndarray, offs
 
 
 class Model:
-    """An owner's pairs; those with several customers by falling count; contexts numbered within the owner."""
+    """An owner's pairs; those with several customers by falling count, so that the `large`, of more than SCAN, lead them; contexts numbered within the owner."""
 
     def __init__(self, owner: int, keys: np.ndarray, counts: np.ndarray, table: np.ndarray, mean: np.ndarray):
         self.owner, self.keys, self.counts, self.table, self.mean = owner, keys, counts, table, mean
         several = np.flatnonzero(counts > 1)
         self.several = several[np.argsort(-counts[several], kind="stable")]
+        self.large = int((counts > SCAN).sum())
         context = keys >> np.uint64(32)
         first = np.ones(len(keys), bool)
         first[1:] = context[1:] != context[:-1]
@@ -285,14 +381,29 @@ class Model:
         self.words, self.word_at = np.unique(self.word[self.several], return_inverse=True)
 
     def seating(self) -> Restaurants:
-        c = self.counts[self.several]
+        """Customers of pairs that are not large; tables of contexts count all pairs."""
+        large, small = np.split(self.several, [self.large])
+        c, table = self.counts[small], self.table[self.large :]
         start = np.cumsum(c) - c
-        slot = self.table + np.repeat(start, c)
+        slot = table + np.repeat(start, c)
         occupied = np.bincount(slot, minlength=int(c.sum())) > 0
         tables = np.add.reduceat(occupied.astype(np.int64), start) if len(c) else c
         per_context = np.bincount(self.context[self.counts == 1], minlength=len(self.contexts)).astype(np.int64)
-        np.add.at(per_context, self.context[self.several], tables)
-        return Restaurants(c, self.context[self.several], per_context, self.table.copy())
+        np.add.at(per_context, self.context[small], tables)
+        np.add.at(per_context, self.context[large], self.table[: self.large])
+        return Restaurants(c, self.context[small], per_context, table.copy())
+
+    def sweep(self, discount: float, root: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+        """The tables (large pairs) and customers' tables after a sweep, and all pairs' numbers of tables; root: the parent's probability of each pair's word.
+
+        Given a gamma variate for each context, with shape strength / discount + tables, the tables of its pairs are independent.
+        """
+        seating = self.seating()
+        seating.sweep(discount, root[self.large :], rng, SCAN)
+        gamma = rng.standard_gamma(STRENGTH / discount + seating.context_tables)
+        large = self.several[: self.large]
+        drawn = draw_tables(self.counts[large], discount * gamma[self.context[large]] * root[: self.large], discount, rng)
+        return np.concatenate([drawn, seating.table]), np.concatenate([drawn, seating.tables()])
 
     def seats_row(self, table: np.ndarray, mean: np.ndarray) -> tuple:
         return (SEATS, self.owner, None, table.astype(np.int32).tobytes(), mean.astype(np.float32).tobytes(), 0, 0)
@@ -316,8 +427,9 @@ def _gather(offsets: np.ndarray):
         total = np.add.reduceat(counts[order], np.flatnonzero(new))
         known, total = k[new][total > 0], total[total > 0]
         owner = table["owner"][0].as_py()
-        several = int((total > 1).sum())
-        model = Model(owner, known, total, np.zeros(int(total[total > 1].sum()), np.int64), np.zeros(several))
+        several, small = int((total > 1).sum()), (total > 1) & (total <= SCAN)
+        start = np.concatenate([np.ones(int((total > SCAN).sum()), np.int64), np.zeros(int(total[small].sum()), np.int64)])
+        model = Model(owner, known, total, start, np.zeros(several))
         single = np.unique(model.word[total == 1], return_counts=True)
         asked = np.bincount(model.word_at, minlength=len(model.words))
         out = [(PAIRS, owner, None, known.tobytes(), total.astype(np.uint32).tobytes(), int((total == 1).sum()), int((total == 2).sum())), model.seats_row(model.table, model.mean)]
@@ -384,11 +496,9 @@ def _gibbs(offsets: np.ndarray, discount: float, scale: float, rest: float, keep
         for r in rows:
             if r["root"] is not None:
                 root[cuts[r["root"]] : cuts[r["root"] + 1]] = np.frombuffer(r["share"], np.float32)
-        seating = model.seating()
-        seating.sweep(discount, (root * scale + rest)[model.word_at], np.random.default_rng([seed, model.owner]), SCAN)
-        tables = seating.tables()
+        table, tables = model.sweep(discount, (root * scale + rest)[model.word_at], np.random.default_rng([seed, model.owner]))
         asked = np.bincount(model.word_at, tables, len(model.words)).astype(np.int64)
-        out = _rows([model.seats_row(seating.table, model.mean + keep * tables), *_for_root(ASK, model.owner, model.words, asked, offsets)])
+        out = _rows([model.seats_row(table, model.mean + keep * tables), *_for_root(ASK, model.owner, model.words, asked, offsets)])
         settle()
         return out
 

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from oremill.llm import language_model as lm
 from oremill.llm.common import Scratch
@@ -116,3 +117,60 @@ def test_gibbs_finds_the_posterior():
     # weight of a seating: product over new tables after the first of (1 + d k), of root for each table, and of joins (size - d)
     w = np.array([root * (1 - d) * (2 - d), root**2 * (1 + d) * (1 - d) * 3, root**3 * (1 + d) * (1 + 2 * d)])
     assert np.abs(got - w / w.sum()).max() < 0.02
+
+
+def exact_tables(counts, roots, discount, singles):
+    """Mean tables of the pairs of one context that also has `singles` pairs of one customer, by summing over all numbers of tables."""
+    weights = []
+    for c, root in zip(counts, roots):
+        w = np.full(c + 1, -np.inf)
+        w[1] = 0.0
+        with np.errstate(divide="ignore"):
+            for n in range(1, c):
+                w[1:] = np.logaddexp(w[:-1], np.log(np.maximum(n - discount * np.arange(1, c + 1), 0)) + w[1:])
+        weights.append(w + np.arange(c + 1) * np.log(root))
+    total = sum(counts) + singles + 1
+    rising = np.concatenate([[0.0], np.cumsum(np.log(lm.STRENGTH + discount * np.arange(total)))])
+    means = []
+    for i in range(len(counts)):
+        rest = np.zeros(1)
+        for j in range(len(counts)):
+            if j != i:
+                rest = np.logaddexp.reduce([np.pad(rest + x, (t, len(weights[j]) - 1 - t), constant_values=-np.inf) for t, x in enumerate(weights[j])])
+        logs = np.array([np.logaddexp.reduce(rest + rising[singles + t : singles + t + len(rest)]) for t in range(counts[i] + 1)]) + weights[i]
+        p = np.exp(logs - logs.max())
+        means.append((p * np.arange(len(p))).sum() / p.sum())
+    return means
+
+
+def test_hot_pairs_are_seated_whole():
+    """Tables of pairs far above SCAN customers after a model's usual sweeps, against the exact posterior."""
+    d, counts, roots, singles, contexts = 0.75, [2500, 60, 40], [0.2, 0.1, 0.05], 600, 60
+    n = len(counts) + singles
+    number = np.tile(np.array(counts + [1] * singles, np.uint32), contexts)
+    words = np.tile(np.arange(n, dtype=np.uint32), contexts)
+    sent = {"owner": [0], "contexts": [np.arange(contexts, dtype=np.uint32)], "sizes": [np.full(contexts, n, np.uint32)], "words": [words], "counts": [number]}
+    offsets = np.array([0, n])
+    rows = lm._gather(offsets)(pa.table({k: v if k == "owner" else [v[0].tobytes()] for k, v in sent.items()})).to_pylist()
+    static = pa.table({k: [r[k] for r in rows if r["kind"] == lm.PAIRS] for k in ("owner", "a", "b")})
+    for k in range(lm.SWEEPS):
+        seats = next(r for r in rows if r["kind"] == lm.SEATS)
+        told = pa.table({"root": [None, 0], "share": [seats["a"], np.array(roots, np.float32).tobytes()], "mean": [seats["b"], None]})
+        rows = lm._gibbs(offsets, d, 1.0, 0.0, float(k == lm.SWEEPS - 1), k)(static, told).to_pylist()
+    got = np.frombuffer(next(r for r in rows if r["kind"] == lm.SEATS)["b"], np.float32).reshape(len(counts), contexts).mean(1)
+    want = exact_tables(counts, roots, d, singles)
+    assert want[0] > 1 + lm.SCAN * lm.SWEEPS
+    assert np.abs(got / want - 1).max() < 0.1, (got, want)
+
+
+def test_numbers_of_tables():
+    """Draws on both sides of the table of Stirling numbers against exact weights."""
+    rng = np.random.default_rng(2)
+    for d, n, weight in [(0.75, 100, 5.0), (0.75, 1500, 20.0), (0.4, 1500, 300.0), (0.9, 1500, 3000.0)]:
+        t = np.arange(1, n + 1)
+        logs = lm.log_stirling(n, d)[n, 1:] + t * np.log(weight)
+        p = np.exp(logs - logs.max())
+        mean = (p * t).sum() / p.sum()
+        sd = math.sqrt((p * (t - mean) ** 2).sum() / p.sum())
+        got = lm.draw_tables(np.full(4000, n), np.full(4000, weight), d, rng)
+        assert abs(got.mean() - mean) < 0.08 * sd and abs(got.std() / sd - 1) < 0.06
