@@ -27,13 +27,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest doc_id stays; of equal rows one does."""
-    docs = _documents(docs)
-    found = simhash.near_duplicates(docs, Scratch(spark, "stage_simhash"))
-    chosen = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("chosen")).agg(F.count("*").alias("rows"))
-    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen")))
-    # a doc_id that repeats: one of its rows is enough if all are in its component, which is so for those that were chosen
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.octet_length("text"), F.xxhash64("text")))
+    """Of each component of near-duplicates one row stays: of the smallest doc_id, nulls last, the one with the shortest text."""
+    docs, scratch = _documents(docs), Scratch(spark, "stage_simhash")
+    # a row is known by its doc_id and a hash of all its columns, nulls told apart; rows alike in both are equal
+    row = F.xxhash64(*[x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))])
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    rows = scratch.put("fingerprints", simhash.fingerprinted(docs.withColumn("size", size).withColumn("row", row), "size", "row"))
+    equal = rows.groupBy("fp", "doc_id", "size", "row").agg(F.count("*").alias("rows"))
+    best = equal.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "size", "row", "rows")).alias("best"))
+    named = simhash.named_components(rows, scratch)
+    chosen = best.join(named, F.col("fp") == F.col("fp2")).groupBy("root").agg(F.min("best").alias("best"))
+    chosen = chosen.select(F.col("best.doc_id").alias("chosen_id"), F.col("best.row").alias("chosen_row"), F.col("best.rows").alias("rows"))
+    kept = docs.withColumn("row", row).join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen_id")) & (F.col("row") == F.col("chosen_row")))
+    first = F.row_number().over(Window.partitionBy("doc_id", "row").orderBy(F.octet_length("text")))
     single, several = kept.filter("rows = 1"), kept.filter("rows > 1").withColumn("first", first).filter("first = 1")
     return _documents(single).unionByName(_documents(several))
 

@@ -90,7 +90,8 @@ def fingerprints(col, shingle: int = SHINGLE) -> np.ndarray:
 def _fingerprint(shingle: int):
     def run(batches):
         for batch in byte_rows(SLICE_BYTES, batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(batch.column(1), shingle).view(np.int64))], names=["doc_id", "fp"])
+            names = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(fingerprints(batch.column("text"), shingle).view(np.int64))], names=[*names, "fp"])
 
     return run
 
@@ -202,16 +203,26 @@ def links(prints: DataFrame, scratch: Scratch, radius: int = RADIUS, tile: int =
 
 
 # ---------------------------------------------------------------- operator
-def near_duplicates(docs: DataFrame, scratch: Scratch, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """Per document row: doc_id, fp (the fingerprint as a signed long), component_id."""
-    rows = scratch.put("fingerprints", narrowed(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprint(shingle), "doc_id long, fp long"))
+def fingerprinted(docs: DataFrame, *also: str, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, the long columns `also` and fp of each row."""
+    rows = narrowed(docs, "doc_id", *also, "text").select(F.col("doc_id").cast("long").alias("doc_id"), *also, "text")
+    return rows.mapInArrow(_fingerprint(shingle), ", ".join(f"{c} long" for c in ("doc_id", *also, "fp")))
+
+
+def named_components(rows: DataFrame, scratch: Scratch, radius: int = RADIUS) -> DataFrame:
+    """Each fingerprint of `rows` (fp2) with the least fingerprint (root) and the least doc_id (component_id) of its component."""
     prints = scratch.put("prints", rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     edges = scratch.put("links", links(prints, scratch, radius))
     roots = components(edges, scratch)
     known = prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = known.select("fp", "root").join(ids, "root").select(F.col("fp").alias("fp2"), "component_id")
-    return rows.join(named, F.col("fp") == F.col("fp2")).select("doc_id", "fp", "component_id")
+    return known.select("fp", "root").join(ids, "root").select(F.col("fp").alias("fp2"), "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, scratch: Scratch, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """Per document row: doc_id, fp (the fingerprint as a signed long), component_id."""
+    rows = scratch.put("fingerprints", fingerprinted(docs, shingle=shingle))
+    return rows.join(named_components(rows, scratch, radius), F.col("fp") == F.col("fp2")).select("doc_id", "fp", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,3 +80,18 @@ def test_repeated_and_null_rows(spark):
     for name, stage in p.STAGES:
         docs = stage(spark, docs, SF)
         docs.collect()
+
+
+def test_one_row_a_component_where_ids_repeat_or_are_null(spark):
+    far = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcde"}
+    rows = [
+        (None, far["a"], "en", "s", 1), (None, far["b"], "en", "s", 2), (None, far["b"], "en", "s", 2),  # unrelated texts without an id; a copy
+        (1, far["c"], "en", "s", 3), (1, far["d"], "en", "s", 4),  # one id, two texts
+        (2, far["c"], "en", "s", 5), (3, far["e"], "en", "s", 6), (3, far["c"], "en", "s", 7),  # a copy of 1 under an id whose other row stays
+        (4, far["e"], "en", None, 8), (4, far["e"], None, "en", 8),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = p.drop_near_duplicates(spark, docs, SF).collect()
+    want = [(None, far["a"]), (None, far["b"]), (1, far["c"]), (1, far["d"]), (3, far["e"])]
+    key = lambda r: tuple(map(str, r))
+    assert sorted(((r.doc_id, r.text) for r in got), key=key) == sorted(want, key=key)
