@@ -174,3 +174,8 @@ def test_numbers_of_tables():
         sd = math.sqrt((p * (t - mean) ** 2).sum() / p.sum())
         got = lm.draw_tables(np.full(4000, n), np.full(4000, weight), d, rng)
         assert abs(got.mean() - mean) < 0.08 * sd and abs(got.std() / sd - 1) < 0.06
+
+
+def test_samples_kept():
+    """A score averages three sweeps at least, after one that is not kept."""
+    assert lm.BURN >= 1 and lm.SWEEPS - lm.BURN >= 3
