@@ -14,6 +14,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,15 +33,17 @@ LOWER[0x41:0x5B] += 32
 
 # ---------------------------------------------------------------- scratch space
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where it is unset, one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir; only where it is unset and all run in one process, one of our own."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         held = sc._jsc.sc().getCheckpointDir()
         if held.isDefined():
             named = held.get()
-        else:
+        elif sc.master.startswith("local"):
             named = tempfile.mkdtemp(prefix="oremill-")
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(named)
     return named.rstrip("/")
@@ -108,6 +111,14 @@ def narrowed(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in cols])
 
 
+def parts_for(df: DataFrame, part_bytes: int = 128 << 20) -> int:
+    """Partitions for an exchange of rows like those of `df`: spark.sql.shuffle.partitions, or more if the size of the files it reads asks for them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(size for size in sizes if size < 1 << 60)  # relations that are no files have no size
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), known // part_bytes + 1)
+
+
 def text_bytes(df: DataFrame, col: str = "text") -> int:
     """Bytes of all texts (UTF-8), by one aggregation."""
     return int(df.agg(F.sum(F.octet_length(F.col(col)).cast("long")).alias("b")).first()["b"] or 0)
@@ -146,18 +157,20 @@ def word_bounds(buf: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tup
 
 
 # ---------------------------------------------------------------- hashes
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_BLOCK = 1 << 19
-_power: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+_SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Words beyond this many bytes are hashed by the xxhash library, one by one.
+LANES = 8
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: every input bit reaches every output bit."""
-    x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
+    """A 64-bit finaliser, one to one: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def join_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -165,47 +178,59 @@ def join_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * np.uint64(0x9E3779B97F4A7C15) + (b ^ np.uint64(0x165667B19E3779F9)))
 
 
-def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    held = _power.get(which)
-    if held is None or len(held[0]) <= n:
-        base = _BASES[which]
-        size = max(n, _BLOCK) + 1
-        up = np.full(size, base, np.uint64)
-        down = np.full(size, pow(base, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        table = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(base))
-        held = (np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64), table)
-        if size <= 4 * _BLOCK:
-            _power[which] = held
-    return held
+def lanes_of(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one little-endian number; beyond the end of the buffer they are zero."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: list[np.ndarray], which: int = 0) -> list[np.ndarray]:
-    """A 64-bit hash of the bytes from each start to each of its ends, from prefix sums over blocks of the buffer.
+def masked(lane: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The first `size` bytes (at most 8) of each lane."""
+    return lane & _MASKS[np.minimum(size, 8)]
 
-    The first array of `ends` holds the farthest end of each start and, like `starts`, ascends; `which` picks one of
-    two hash functions.
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word; `which` picks one of two functions.
+
+    Words of up to seven bytes have hashes of their own (a one-to-one function of bytes and length).  Longer ones are
+    taken in eight bytes at a time, each lane mixed into the state of those before it, so that the order and place of
+    every byte counts; words beyond 8 x LANES bytes go through xxhash.
     """
-    out = [np.empty(len(starts), np.uint64) for _ in ends]
-    i, n = 0, len(starts)
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(ends[0], starts[i] + _BLOCK, side="right")))
-        low, high = int(starts[i]), int(ends[0][j - 1])
-        up, down, table = _powers(high - low, which)
-        total = np.zeros(high - low + 1, np.uint64)
-        np.cumsum(table[buf[low:high]] * up[: high - low], out=total[1:])
-        s = starts[i:j] - low
-        base, scale = total[s], down[s]
-        for o, end in zip(out, ends):
-            e = end[i:j] - low
-            o[i:j] = mix((total[e] - base) * scale + (e - s).astype(np.uint64) * np.uint64(0x27D4EB2F165667C5))
-        i = j
+    seed, lanes = np.uint64(_SEEDS[which]), lanes_of(buf)
+    size = ends - starts
+    first = masked(lanes[starts], size)
+    short = size < 8
+    first[short] |= size[short].astype(np.uint64) << np.uint64(56)
+    out = mix(first ^ seed)
+    more = np.flatnonzero((size > 8) & (size <= 8 * LANES))
+    state, at, left = out[more], starts[more] + 8, size[more] - 8
+    while len(more):
+        state = mix((state ^ masked(lanes[at], left)) * np.uint64(0x9FB21C651E98DF25) + seed)
+        out[more] = state
+        go = left > 8
+        more, state, at, left = more[go], state[go], at[go] + 8, left[go] - 8
+    long = np.flatnonzero(~short)
+    out[long] = mix(out[long] ^ (size[long].astype(np.uint64) * np.uint64(0x27D4EB2F165667C5) + seed))
+    for i in np.flatnonzero(size > 8 * LANES).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(buf[starts[i] : ends[i]].tobytes(), _SEEDS[which])
     return out
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of each word."""
-    return span_hashes(buf, starts, [ends], which)[0]
+def same_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """True where the bytes of a word of `buf` are those of the word of `other` in the same place: byte by byte."""
+    size = ends - starts
+    same = size == other_ends - other_starts
+    a, b = lanes_of(buf), lanes_of(other)
+    at, k = np.flatnonzero(same & (size > 0)), 0
+    while len(at) and k < 8 * LANES:
+        left = size[at] - k
+        good = masked(a[starts[at] + k], left) == masked(b[other_starts[at] + k], left)
+        same[at[~good]] = False
+        at, k = at[good & (left > 8)], k + 8
+    for i in at.tolist():
+        same[i] = buf[starts[i] : ends[i]].tobytes() == other[other_starts[i] : other_ends[i]].tobytes()
+    return same
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import LOWER, SPACE_WORD, flatten, span_hashes, word_bounds
+from .common import LOWER, SPACE_WORD, flatten, lanes_of, masked, mix, same_words, word_bounds, word_hashes
 
 _LETTER, _DIGIT, _OTHER = 1, 2, 3
 _CLASS = np.zeros(256, np.uint8)
@@ -58,26 +58,46 @@ def units(col) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarr
         low[inside] = raw[inside]
     edge[starts] = True
     begin = np.flatnonzero(edge)
-    word = np.searchsorted(starts, begin, side="right") - 1
+    leads = np.zeros(n, bool)
+    leads[starts] = True
+    word = np.cumsum(leads[begin]) - 1
     end = np.append(begin[1:], n)
     end = np.minimum(end, ends[word])
-    return low, begin, end, slow_word[word], span_hashes(low, begin, [end])[0], np.searchsorted(begin, offsets)
+    return low, begin, end, slow_word[word], word_hashes(low, begin, end), np.searchsorted(begin, offsets)
+
+
+def distinct(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first unit of each sequence of bytes, and each unit's index among those: equal hashes are held against the bytes."""
+    while True:
+        _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        rep, size = first[back], ends - starts
+        at = np.flatnonzero((rep != np.arange(len(rep))) & ((size > 7) | (size[rep] > 7)))  # shorter ones have hashes of their own
+        bad = at[~same_words(buf, starts[at], ends[at], buf, starts[rep[at]], ends[rep[at]])]
+        if not len(bad):
+            return first, back
+        hashes = hashes.copy()
+        hashes[bad] = mix(hashes[bad] + np.uint64(1))
 
 
 class Cache:
-    """A direct-mapped table from unit hash to `width` numbers: bounded, and looked up for a whole array at once."""
+    """A direct-mapped table from units of up to KEY_BYTES bytes, by their very bytes, to `width` numbers: bounded, and looked up for a whole array at once."""
+
+    KEY_BYTES = 15
 
     def __init__(self, width: int, dtype):
-        self.keys = np.zeros(1 << CACHE_BITS, np.uint64)
+        self.keys = np.zeros((1 << CACHE_BITS, 2), np.uint64)
         self.values = np.zeros((1 << CACHE_BITS, width), dtype)
 
-    def slot(self, hashes: np.ndarray) -> np.ndarray:
-        return (hashes >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
-
-    def hits(self, hashes: np.ndarray) -> np.ndarray:
-        return (self.keys[self.slot(hashes)] == hashes) & (hashes != 0)
+    def find(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Slot and key of each unit, and whether the table holds it; longer units are never held."""
+        lanes, size = lanes_of(buf), ends - starts
+        keys = np.empty((len(starts), 2), np.uint64)
+        keys[:, 0] = masked(lanes[starts], size)
+        rest = np.clip(size - 8, 0, 7)
+        keys[:, 1] = masked(lanes[starts + np.minimum(size, 8)], rest) | size.astype(np.uint64) << np.uint64(56)
+        slot = (hashes >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
+        return slot, keys, (self.keys[slot] == keys).all(axis=1) & (size <= self.KEY_BYTES)
 
-    def put(self, hashes: np.ndarray, values: np.ndarray) -> None:
-        at = self.slot(hashes)
-        self.keys[at], self.values[at] = hashes, values
-        # of hashes that share a slot the last stays, in both arrays
+    def put(self, slot: np.ndarray, keys: np.ndarray, values: np.ndarray) -> None:
+        self.keys[slot], self.values[slot] = keys, values
+        # of units that share a slot the last stays, in both arrays

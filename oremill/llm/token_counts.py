@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import byte_rows, load, narrowed, ragged_arange
-from .pretokens import Cache, units
+from .pretokens import Cache, distinct, units
 
 LIMIT = 2048
 SLICE_BYTES = 2 << 20
@@ -130,16 +130,28 @@ class Merger:
         return fixed
 
 
+_held: dict[str, tuple[Merger, Cache]] = {}
+
+
+def held(path: str) -> tuple[Merger, Cache]:
+    """The merge table and cache of this Python worker, which serve its later tasks too."""
+    if path not in _held:
+        _held.clear()
+        _held[path] = Merger(path), Cache(1, np.int32)
+    return _held[path]
+
+
 def _count(path: str, limit: int):
     def run(batches):
-        merger, cache = Merger(path), Cache(1, np.int64)
+        merger, cache = held(path)
         for batch in byte_rows(SLICE_BYTES, batches):
             names = batch.schema.names
             col = batch.column(names.index("text"))
             buf, starts, ends, slow, hashes, bounds = units(col)
-            new, first = np.unique(hashes, return_index=True)
-            miss = ~cache.hits(new)
-            count = np.where(miss, 0, cache.values[cache.slot(new), 0])
+            first, back = distinct(buf, starts, ends, hashes)
+            slot, keys, known = cache.find(buf, starts[first], ends[first], hashes[first])
+            count = np.where(known, cache.values[slot, 0], 0)
+            miss = np.flatnonzero(~known)
             at = first[miss]
             got = np.zeros(len(at), np.int64)
             easy = ~slow[at]
@@ -149,8 +161,9 @@ def _count(path: str, limit: int):
             got[easy] = merger.counts(flat, size)
             got[~easy] = merger.slow([buf[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[at[~easy]], ends[at[~easy]])])
             count[miss] = got
-            cache.put(new[miss], got[:, None])
-            total = np.concatenate([[0], np.cumsum(count[np.searchsorted(new, hashes)])]) if len(hashes) else np.zeros(1, np.int64)
+            short = miss[(ends - starts)[at] <= cache.KEY_BYTES]
+            cache.put(slot[short], keys[short], count[short, None])
+            total = np.concatenate([[0], np.cumsum(count[back])]) if len(hashes) else np.zeros(1, np.int64)
             tokens = np.diff(total[bounds])
             size = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
             fresh = {"n_bytes": pa.array(size, pa.int64()), "n_tokens": pa.array(tokens, pa.int64()), "over_limit": pa.array(tokens > limit)}

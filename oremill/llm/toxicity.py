@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORD, LOWER, Scratch, byte_rows, find_sorted, flatten, load, narrowed, ragged_arange, span_hashes, word_bounds
+from .common import ALNUM_WORD, LOWER, Scratch, byte_rows, find_sorted, flatten, load, narrowed, ragged_arange, word_bounds, word_hashes
 
 TOXIC_ROWS = 4000
 CLEAN_ROWS = 8000
@@ -52,7 +52,7 @@ def term_grid(col):
     buf, offsets = flatten(col)
     low = LOWER[buf]
     starts, ends, bounds = word_bounds(low, offsets, ALNUM_WORD)
-    hashes = span_hashes(low, starts, [ends, *[np.minimum(ends, starts + k) for k in PREFIXES]])
+    hashes = [word_hashes(low, starts, e) for e in (ends, *[np.minimum(ends, starts + k) for k in PREFIXES])]
     for i, k in enumerate(PREFIXES, 1):
         hashes[i] = np.where(ends - starts > k, hashes[i] ^ np.uint64(0xA5A5A5A5A5A5A5A5 + k), np.uint64(0))
     if len(buf):

@@ -6,6 +6,7 @@ import pyarrow.parquet as pq
 from tokenizers import Tokenizer
 
 from oremill.llm import token_counts
+from tests.llm.confusing import PAIR
 
 ODD = [
     None, "", " ", "a", "aaaaaaaaa", "don't we're I'll 'S !'s ''t", "x<|endoftext|>y <|startoftext|><|ENDOFTEXT|>", "Ünïcode ÀÉÎ œŒ ß ÿ Ÿ × ÷ ª º",
@@ -20,7 +21,7 @@ def library(texts):
 
 
 def check(spark, texts):
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumnRenamed("x", "n_tokens")
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, n_tokens string, n_bytes string")
     got = sorted(token_counts.token_counts(df).collect())
     want = library(texts)
     wrong = [(t, r.n_tokens, w) for t, r, w in zip(texts, got, want) if r.n_tokens != w]
@@ -45,3 +46,13 @@ def test_documents(spark):
 
 def test_empty(spark):
     assert token_counts.token_counts(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_words_that_simple_sums_confuse(spark):
+    check(spark, [*PAIR, " ".join(PAIR), PAIR[0]])
+
+
+def test_repeated_and_null_rows(spark):
+    df = spark.createDataFrame([(1, "two words"), (1, "two words"), (None, "x"), (None, None)], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_bytes, r.n_tokens) for r in token_counts.token_counts(df).collect()), key=str)
+    assert got == [(1, 9, library(["two words"])[0])] * 2 + [(None, 0, 0), (None, 1, 1)]

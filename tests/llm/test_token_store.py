@@ -8,6 +8,7 @@ from tokenizers import Tokenizer
 
 from oremill.llm import token_store
 from oremill.llm.common import Scratch
+from tests.llm.confusing import PAIR
 from tests.llm.test_token_counts import ODD
 
 
@@ -65,3 +66,19 @@ def test_crc_shift():
     a, b = b"abc" * 7, b"xyz12" * 11
     left = token_store.crc_shift(np.array([zlib.crc32(a)]), np.array([len(b)]))[0]
     assert int(left) ^ zlib.crc32(b) == zlib.crc32(a + b)
+
+
+def test_words_that_simple_sums_confuse_keep_their_ids(spark):
+    """Two words of 1,024 letters that collide under every polynomial hash with an odd base."""
+    check(spark, [(1, PAIR[0]), (2, PAIR[1]), (3, PAIR[0] + " " + PAIR[1])])
+
+
+def test_ids_are_put_together_again(spark):
+    texts = [*ODD, " ".join(f"word{i % 700}" for i in range(5000))]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "no id"), (-(1 << 63), "least id")]
+    scratch = Scratch(spark, "t")
+    token_store.write_store(spark.createDataFrame(rows, "doc_id long, text string"), scratch)
+    got = {r.doc_id: (r.start, list(r.ids)) for r in token_store.read_ids(scratch).collect()}
+    tok = Tokenizer.from_file(token_store.vocabulary_path())
+    start = {w[0]: w[1] for w in want(rows)}
+    assert got == {d: (start[d], [*tok.encode(t or "", add_special_tokens=False).ids, 1]) for d, t in rows}
