@@ -7,21 +7,24 @@ representative occurs more than once are extended to twice the length, until non
 A window that repeats has the same representative wherever it stands, so nothing that repeats is lost, and neighbouring
 windows share representatives, so few are sent.
 
-Texts are clustered once into chunks by a hash of doc_id.  A chunk sends each owner (by leading hash bits) its distinct
+Texts are clustered once into chunks by a hash of doc_id and text, so that no doc_id, null or other, holds a chunk to
+itself.  A chunk sends each owner (by leading hash bits) its distinct
 representatives once and gets a bitmap back; that is also a map-side combination, so a passage that a third of all
-documents share costs one entry a chunk.  Bitmaps are small; texts are not shuffled again after the clustering.  At the
-last level entries carry 96 bits of hash and the document in which the chunk has the window first, and the owner marks
-all but those of the smallest doc_id.
+documents share costs one entry a chunk.  Bitmaps are small; texts are not shuffled again after the clustering.  Earlier
+levels only choose what is extended.  At the last level, which decides, windows are told apart by 128 bits from two
+independent hashes of every word, inside a chunk as between chunks, and entries carry the document in which the chunk
+has the window first; the owner marks all but the first document's.
 
 Defined results: null texts have no words and nothing is removed from texts below `window` words; a null doc_id ranks
-first; rows that repeat a doc_id are ordered by their text; an empty table gives an empty result; extra columns are
-ignored.
+with the smallest number; rows that repeat a doc_id are ordered by a hash of their text; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,12 +62,11 @@ class Chunk:
     """The words of a chunk's documents in order, and the windows that are still in question."""
 
     def __init__(self, table: pa.Table, window: int):
-        ids = table["doc_id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        if len(np.unique(ids)) < len(ids):
-            keys = table["text"].to_pylist()
-            order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], keys[i] is not None, keys[i])))
-        self.ids = ids[order]
+        ids = pc.fill_null(table["doc_id"], NO_ID).to_numpy()
+        tie = table["tie"].to_numpy()
+        order = np.lexsort((tie, ids))
+        self.ids, self.tie = ids[order], tie[order]
+        self.doc_id = table["doc_id"].take(pa.array(order))
         self.buf, offsets = flatten(table["text"].take(pa.array(order)))
         self.starts, self.ends, self.bounds = word_bounds(self.buf, offsets, SPACE_WORD)
         self.words = word_hashes(self.buf, self.starts, self.ends)
@@ -72,16 +74,25 @@ class Chunk:
         self.alive = np.flatnonzero(positions_in_rows(self.bounds, window))
 
     def representatives(self, length: int):
-        """Of the live windows: each one's index into the anchors; the anchors' positions; distinct hashes; each anchor's index into those; counts and first positions."""
+        """Of the live windows: each one's index into the anchors; the anchors' positions; distinct hashes and, at the last level, second hashes; each anchor's index into those; counts and first positions."""
         grams = gram_hashes(self.words, length)
         if length < self.window and len(self.alive):
             place = window_argmin(grams, self.window - length + 1)[self.alive]
+            anchors, of = np.unique(place, return_inverse=True)
         else:
-            place = self.alive
-        anchors, of = np.unique(place, return_inverse=True)
+            anchors, of = self.alive, np.arange(len(self.alive))
         # least hashes crowd near 0: mixed again, they spread evenly over the owners
-        values, first, back, count = np.unique(mix(grams[anchors]), return_index=True, return_inverse=True, return_counts=True)
-        return of, anchors, values, back, count, anchors[first]
+        mixed = mix(grams[anchors])
+        if length < self.window:
+            values, first, back, count = np.unique(mixed, return_index=True, return_inverse=True, return_counts=True)
+            return of, anchors, values, None, back, count, anchors[first]
+        second = gram_hashes(word_hashes(self.buf, self.starts, self.ends, 1), length)[anchors] if len(anchors) else mixed
+        order = np.lexsort((second, mixed))  # stable: the first of equals stays the first
+        new = np.ones(len(order), bool)
+        new[1:] = (mixed[order][1:] != mixed[order][:-1]) | (second[order][1:] != second[order][:-1])
+        head, back = order[new], np.empty(len(order), np.int64)
+        back[order] = np.cumsum(new) - 1
+        return of, anchors, mixed[head], second[head], back, np.bincount(back, minlength=len(head)), anchors[head]
 
 
 def _bits(answers: list[tuple[int, bytes]], cuts: np.ndarray, n: int) -> np.ndarray:
@@ -100,7 +111,7 @@ def _replay(texts: pa.Table, answers: pa.Table | None, window: int, owners: int,
         for level, owner, bitmap in zip(*[answers[c].to_pylist() for c in ("level", "owner", "bitmap")]):
             held.setdefault(level, []).append((owner, bitmap))
     for length in levels:
-        of, anchors, values, back, count, first = chunk.representatives(length)
+        of, anchors, values, _, back, count, first = chunk.representatives(length)
         elsewhere = _bits(held.get(length, []), owner_of(values, owners), len(values))
         if length < window:
             chunk.alive = chunk.alive[(elsewhere | (count > 1))[back][of]]
@@ -112,21 +123,20 @@ def _replay(texts: pa.Table, answers: pa.Table | None, window: int, owners: int,
 def _send(window: int, owners: int, done: list[int], length: int):
     def run(texts: pa.Table, answers: pa.Table | None = None) -> pa.Table:
         chunk = _replay(texts, answers, window, owners, done)
-        _, _, values, _, _, first = chunk.representatives(length)
+        _, _, values, other, _, _, first = chunk.representatives(length)
         cuts = owner_of(values, owners)
         full = np.flatnonzero(np.diff(cuts))
         name = texts["chunk"][0].as_py()
         out = {c: [] for c in ("hashes", "extra", "docs", "which")}
         last = length == window
         if last:
-            other = gram_hashes(word_hashes(chunk.buf, chunk.starts, chunk.ends, 1), length)[first].astype(np.uint32)
-            doc = chunk.ids[np.searchsorted(chunk.bounds, first, side="right") - 1]
+            row = np.searchsorted(chunk.bounds, first, side="right") - 1
         for a, b in zip(cuts[full], cuts[full + 1]):
             out["hashes"].append(values[a:b].tobytes())
-            ids, which = np.unique(doc[a:b], return_inverse=True) if last else (None, None)
+            rows, which = np.unique(row[a:b], return_inverse=True) if last else (None, None)
             out["extra"].append(other[a:b].tobytes() if last else None)
-            out["docs"].append(ids.tobytes() if last else None)
-            out["which"].append(which.astype(np.uint16 if len(ids) <= 65536 else np.uint32).tobytes() if last else None)
+            out["docs"].append(np.stack([chunk.ids[rows], chunk.tie[rows]], 1).tobytes() if last else None)
+            out["which"].append(which.astype(np.uint16 if len(rows) <= 65536 else np.uint32).tobytes() if last else None)
         return pa.table({"owner": pa.array(full, pa.int64()), "chunk": pa.array([name] * len(full), pa.int64()), **{c: pa.array(v, pa.binary()) for c, v in out.items()}})
 
     return run
@@ -143,18 +153,16 @@ def _answer(length: int, last: bool):
         cuts = np.cumsum([0] + [len(v) for v in values])
         values = np.concatenate(values)
         if last:
-            extra = np.concatenate([np.frombuffer(r["extra"], np.uint32) for r in rows])
+            extra = np.concatenate([np.frombuffer(r["extra"], np.uint64) for r in rows])
             docs = []
             for r, n in zip(rows, np.diff(cuts)):
-                ids = np.frombuffer(r["docs"], np.int64)
+                ids = np.frombuffer(r["docs"], np.int64).reshape(-1, 2)
                 docs.append(ids[np.frombuffer(r["which"], np.uint16 if len(r["which"]) == 2 * n else np.uint32)])
             docs = np.concatenate(docs)
-            order = np.lexsort((docs, extra, values))
-            new = np.ones(len(order), bool)
-            new[1:] = (values[order][1:] != values[order][:-1]) | (extra[order][1:] != extra[order][:-1])
-            least = docs[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+            order = np.lexsort((docs[:, 1], docs[:, 0], extra, values))
             mark = np.zeros(len(order), bool)
-            mark[order] = docs[order] > least
+            # equal documents are in one chunk, so the first entry of a window is the only one of its document
+            mark[order[1:]] = (values[order][1:] == values[order][:-1]) & (extra[order][1:] == extra[order][:-1])
         else:
             _, back, count = np.unique(values, return_inverse=True, return_counts=True)
             mark = count[back] > 1
@@ -197,7 +205,7 @@ def _keep(window: int, owners: int, levels: list[int]):
         spans = [[[int(x - chunk.bounds[i]), int(y - chunk.bounds[i])] for x, y in zip(begin[cut[i] : cut[i + 1]], stop[cut[i] : cut[i + 1]])] for i in range(len(n))]
         return pa.table(
             {
-                "doc_id": pa.array(chunk.ids),
+                "doc_id": chunk.doc_id,
                 "n_words": pa.array(n, pa.int64()),
                 "n_removed": pa.array(removed, pa.int64()),
                 "removed": pa.array(spans, pa.list_(pa.list_(pa.int32()))),
@@ -215,8 +223,9 @@ def substring_dedup(docs: DataFrame, scratch: Scratch, window: int = WINDOW) ->
     chunks = max(1, -(-text_bytes(texts) // CHUNK_BYTES))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     owners = max(parts, chunks // 4)
-    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    table = scratch.put_bucketed("texts", texts.select(ids.alias("doc_id"), "text", F.pmod(F.xxhash64(ids), F.lit(chunks)).alias("chunk")), "chunk", max(parts, chunks // 4))
+    ids, tie = F.col("doc_id").cast("long"), F.xxhash64("text")
+    chunk = F.pmod(F.xxhash64(ids, "text"), F.lit(chunks))
+    table = scratch.put_bucketed("texts", texts.select(ids.alias("doc_id"), "text", tie.alias("tie"), chunk.alias("chunk")), "chunk", max(parts, chunks // 4))
     levels, answers = level_lengths(window), None
     for k, length in enumerate(levels):
         send = _send(window, owners, levels[:k], length)
@@ -224,8 +233,7 @@ def substring_dedup(docs: DataFrame, scratch: Scratch, window: int = WINDOW) ->
         sent = by_chunk.applyInArrow(_first(send), SENT) if answers is None else by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(send, SENT)
         now = scratch.put(f"answers{length}", sent.groupBy("owner").applyInArrow(_answer(length, length == window), ANSWER))
         answers = now if answers is None else answers.unionByName(now)
-    out = table.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_keep(window, owners, levels), "doc_id long, n_words long, n_removed long, removed array<array<int>>, kept string")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    return table.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_keep(window, owners, levels), "doc_id long, n_words long, n_removed long, removed array<array<int>>, kept string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 
 from oremill.llm import substring_dedup
 from oremill.llm.common import Scratch
+from tests.llm.confusing import PAIR
 
 
 def brute(rows, window):
@@ -55,3 +56,18 @@ def test_edges(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert substring_dedup.substring_dedup(df, Scratch(spark, "t")).collect() == []
+
+
+def test_words_that_simple_sums_confuse(spark):
+    head = " ".join(f"w{i}" for i in range(19))
+    check(spark, [(1, f"{head} {PAIR[0]}"), (2, f"{head} {PAIR[1]}"), (3, f"{head} {PAIR[0]}")])
+
+
+def test_rows_of_one_id_are_dealt_over_chunks(spark, monkeypatch):
+    """Of texts under one id exactly one keeps a shared passage, whichever chunks they lie in."""
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 500)
+    shared = " ".join(f"s{i}" for i in range(25))
+    for doc in (None, 7):
+        df = spark.createDataFrame([(doc, f"own{i} {shared}") for i in range(40)], "doc_id long, text string")
+        got = substring_dedup.substring_dedup(df, Scratch(spark, "t")).collect()
+        assert sorted(r.n_removed for r in got) == [0] + [25] * 39 and {r.doc_id for r in got} == {doc}
