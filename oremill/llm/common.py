@@ -217,11 +217,14 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: in
     return out
 
 
-def same_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
-    """True where the bytes of a word of `buf` are those of the word of `other` in the same place: byte by byte."""
+def same_words(buf, starts, ends, other, other_starts, other_ends, a: np.ndarray | None = None, b: np.ndarray | None = None) -> np.ndarray:
+    """True where the bytes of a word of `buf` are those of the word of `other` in the same place: byte by byte.
+
+    `a` and `b` are the lanes of the two buffers, where the caller has them.
+    """
     size = ends - starts
     same = size == other_ends - other_starts
-    a, b = lanes_of(buf), lanes_of(other)
+    a, b = lanes_of(buf) if a is None else a, lanes_of(other) if b is None else b
     at, k = np.flatnonzero(same & (size > 0)), 0
     while len(at) and k < 8 * LANES:
         left = size[at] - k

@@ -3,10 +3,11 @@
 Every window of 13 item words (an item of fewer words is one window) is a record.  Containment of a whole window is
 asked for, so one shingle of each record is a necessary prefix: the rarest of its shingles, by counts over all
 documents.  Documents are probed with prefix shingles only; a match is held against the positional bound (the window
-may not begin before the document) and the length bound (nor end after it) and verified word by word.
+may not begin before the document) and the length bound (nor end after it) and verified word by word, by the bytes.
 
-The items are taken in blocks of at most BLOCK_BYTES of text; each block is one pass of counting and one of probing,
-so what is sent to executors is bounded whatever the number of items.
+Items longer than PIECE words are cut to pieces that share window - 1 words, and pieces are taken in blocks of about
+BLOCK_BYTES of text; each block is one pass of counting and one of probing.  What is sent to executors for a block, its
+text and six numbers a window, is bounded whatever the number and length of the items.
 
 Defined results: null texts have no words; items without words are ignored; equal item_ids count once and a null
 item_id is written `null`; documents without words are never contaminated; repeated rows are judged each; empty
@@ -20,21 +21,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORD, LOWER, Scratch, byte_rows, find_sorted, flatten, gram_hashes, load, narrowed, positions_in_rows, ragged_arange, text_bytes, word_bounds, word_hashes
+from .common import ALNUM_WORD, LOWER, Scratch, byte_rows, find_sorted, flatten, gram_hashes, lanes_of, load, narrowed, positions_in_rows, ragged_arange, same_words, text_bytes, word_bounds, word_hashes
 
 WINDOW = 13
 SHINGLE = 3
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+PIECE = 2048
 SLICE_BYTES = 4 << 20
 _FILTER_BITS = 20
 
 
-def words_of(col) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two hashes of each word and the rows' offsets among them."""
+def words_of(col) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The lower-cased bytes, each word's hash, begin and end, and the rows' offsets among the words."""
     buf, offsets = flatten(col)
     buf = LOWER[buf]
     starts, ends, bounds = word_bounds(buf, offsets, ALNUM_WORD)
-    return word_hashes(buf, starts, ends, 0), word_hashes(buf, starts, ends, 1), bounds
+    return buf, word_hashes(buf, starts, ends), starts, ends, bounds
+
+
+def _pieces(piece: int, window: int):
+    """Items cut to at most `piece` words, the last window - 1 of which begin the next one as well."""
+
+    def run(batches):
+        for batch in byte_rows(SLICE_BYTES, batches):
+            buf, _, starts, ends, bounds = words_of(batch.column(1))
+            n = np.diff(bounds)
+            count = np.where(n > piece, -(-(n - window + 1) // (piece - window + 1)), (n > 0).astype(np.int64))
+            row = np.repeat(np.arange(len(n)), count)
+            first = bounds[:-1][row] + ragged_arange(count) * (piece - window + 1)
+            last = np.minimum(first + piece, bounds[1:][row]) - 1
+            texts = [buf[a:b].tobytes() for a, b in zip(starts[first].tolist(), ends[last].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(texts, pa.binary()).cast(pa.string())], names=["item_id", "text"])
+
+    return run
 
 
 class Probe:
@@ -56,8 +75,8 @@ class Index:
     """The windows of a block of items: distinct by their words, with their shingles."""
 
     def __init__(self, ids: list[str], texts: pa.Array, window: int, shingle: int):
-        h0, h1, bounds = words_of(texts)
-        self.ids, self.h0, self.h1 = ids, h0, h1
+        self.buf, h0, self.starts, self.ends, bounds = words_of(texts)
+        self.ids = ids
         n = np.diff(bounds)
         windows = np.where(n >= window, n - window + 1, (n > 0).astype(np.int64))
         self.item = np.repeat(np.arange(len(n)), windows)
@@ -74,6 +93,13 @@ class Index:
                 grams[k == size] = gram_hashes(h0, size)[at[k == size]]
         self.grams, self.sizes = grams, k
 
+    def for_probe(self) -> "Index":
+        """Without the shingles: what probing needs besides the prefixes."""
+        lean = object.__new__(Index)
+        lean.ids, lean.buf, lean.starts, lean.ends = self.ids, self.buf, self.starts, self.ends
+        lean.item, lean.start, lean.length = self.item, self.start, self.length
+        return lean
+
     def keys(self, size: int) -> np.ndarray:
         return np.unique(self.grams[self.sizes == size])
 
@@ -99,7 +125,7 @@ def _count(keys: dict[int, np.ndarray]):
         probes = {size: Probe(k) for size, k in keys.items()}
         sums = {size: np.zeros(len(k), np.int64) for size, k in keys.items()}
         for batch in byte_rows(SLICE_BYTES, batches):
-            h0, _, bounds = words_of(batch.column(0))
+            _, h0, _, _, bounds = words_of(batch.column(0))
             for size, probe in probes.items():
                 _, key = probe.find(gram_hashes(h0, size), positions_in_rows(bounds, size))
                 sums[size] += np.bincount(key, minlength=len(sums[size]))
@@ -113,11 +139,11 @@ def _count(keys: dict[int, np.ndarray]):
 def _probe(index: Index, prefixes: dict):
     def run(batches):
         probes = {size: Probe(p[0]) for size, p in prefixes.items()}
-        ids = np.array(index.ids, dtype=object)
+        ids, item_lanes = np.array(index.ids, dtype=object), lanes_of(index.buf)
         for batch in byte_rows(SLICE_BYTES, batches):
             names = batch.schema.names
-            h0, h1, bounds = words_of(batch.column(names.index("text")))
-            total = len(h0)
+            buf, h0, starts, ends, bounds = words_of(batch.column(names.index("text")))
+            lanes, total = lanes_of(buf), len(h0)
             begin, window = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             row_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
             for size, (_, first, of, offset) in prefixes.items():
@@ -129,12 +155,13 @@ def _probe(index: Index, prefixes: dict):
                 row = row_of[at]
                 keep = (start >= bounds[row]) & (start + index.length[w] <= bounds[row + 1])
                 start, w = start[keep], w[keep]
-                for j in range(WINDOW if len(w) == 0 else int(index.length[w].max())):
+                for j in range(int(index.length[w].max()) if len(w) else 0):
                     if not len(w):
                         break
-                    inside = j < index.length[w]
-                    a, b = np.minimum(start + j, total - 1), np.minimum(index.start[w] + j, len(index.h0) - 1)
-                    same = ~inside | ((h0[a] == index.h0[b]) & (h1[a] == index.h1[b]))
+                    inside = np.flatnonzero(j < index.length[w])
+                    a, b = start[inside] + j, index.start[w[inside]] + j
+                    same = np.ones(len(w), bool)
+                    same[inside] = same_words(buf, starts[a], ends[a], index.buf, index.starts[b], index.ends[b], lanes, item_lanes)
                     start, w = start[same], w[same]
                 begin.append(start)
                 window.append(w)
@@ -160,21 +187,25 @@ def _probe(index: Index, prefixes: dict):
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, scratch: Scratch, window: int = WINDOW, shingle: int = SHINGLE, keep_text: bool = False) -> DataFrame:
-    """Per document row: doc_id, n_words, n_hit, hit (bit mask over its words, null: none), items, contaminated."""
-    spark = scratch.spark
-    items = narrowed(items, "item_id", "text")
-    blocks = max(1, -(-text_bytes(items) // BLOCK_BYTES))
+    """Per document row: doc_id, n_words, n_hit, hit (bit mask over its words, null: none), items, contaminated.
+
+    With keep_text the documents' own columns stay, but for those of a name given here.
+    """
+    items = narrowed(items, "item_id", "text").select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text")
+    pieces = scratch.put("pieces", items.mapInArrow(_pieces(max(PIECE, 2 * window), window), "item_id string, text string").withColumn("piece", F.xxhash64("item_id", "text")))
+    blocks = max(1, -(-text_bytes(pieces) // BLOCK_BYTES))
     empty = [F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(None).cast("binary").alias("hit"), F.array().cast("array<string>").alias("items")]
-    held = docs.select(*(docs.columns if keep_text else [F.col("doc_id"), F.col("text")]), *empty)
+    own = [c for c in docs.columns if c not in ("n_words", "n_hit", "hit", "items", "contaminated")]
+    held = docs.select(*([F.col(f"`{c}`") for c in own] if keep_text else [F.col("doc_id"), F.col("text")]), *empty)
     for b in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).filter(F.length("text") > 0).select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text").collect()
+        block = pieces.filter(F.pmod("piece", F.lit(blocks)) == b).select("item_id", "text").distinct().collect()  # about BLOCK_BYTES of text
         index = Index([r["item_id"] for r in block], pa.array([r["text"] for r in block], pa.large_string()), window, shingle)
         sizes = {int(s): index.keys(int(s)) for s in np.unique(index.sizes)}
         counts = {s: np.zeros(len(k), np.int64) for s, k in sizes.items()}
         summed = narrowed(docs, "text").mapInArrow(_count(sizes), "size int, key long, n long").groupBy("size", "key").agg(F.sum("n").alias("n"))
         for r in summed.toLocalIterator():  # at most one row for each shingle of the block
             counts[r["size"]][r["key"]] = r["n"]
-        held = held.mapInArrow(_probe(index, index.prefixes(counts)), held.schema)
+        held = held.mapInArrow(_probe(index.for_probe(), index.prefixes(counts)), held.schema)
         if blocks > 1:
             held = scratch.put(f"block{b}", held)
             scratch.drop(f"block{b - 1}")

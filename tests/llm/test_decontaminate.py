@@ -5,6 +5,7 @@ import re
 
 from oremill.llm import decontaminate as d
 from oremill.llm.common import Scratch
+from tests.llm.confusing import PAIR
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -29,7 +30,7 @@ def brute(text, items):
 def check(spark, docs, items):
     df = spark.createDataFrame([(*r, 7) for r in docs], "doc_id long, text string, hit int")
     it = spark.createDataFrame([(*r, "x") for r in items], "item_id long, text string, n_words string")
-    got = d.decontaminate(df.select("doc_id", "text"), it, Scratch(spark, "t")).collect()
+    got = d.decontaminate(df, it, Scratch(spark, "t")).collect()
     key = lambda r: (str(r[0]), *map(str, r[1:]))
     assert sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in got), key=key) == sorted(((i, *brute(t, items)) for i, t in docs), key=key)
 
@@ -64,3 +65,19 @@ def test_empty(spark):
     check(spark, docs, [])
     df = spark.createDataFrame([], "doc_id long, text string")
     assert d.decontaminate(df, spark.createDataFrame(items, "item_id long, text string"), Scratch(spark, "t")).collect() == []
+
+
+def test_long_items_are_cut_to_pieces(spark, monkeypatch):
+    monkeypatch.setattr(d, "PIECE", 20)
+    check(spark, *cases())
+
+
+def test_words_that_simple_sums_confuse(spark):
+    check(spark, [(1, PAIR[0]), (2, PAIR[1]), (3, "x " + PAIR[1])], [(1, PAIR[1])])
+
+
+def test_columns_of_the_same_names(spark):
+    df = spark.createDataFrame([(1, "some words here", "mine", "own", 5)], "doc_id long, text string, hit string, items string, n_words int")
+    it = spark.createDataFrame([(7, "words here")], "item_id long, text string")
+    row = d.decontaminate(df, it, Scratch(spark, "t"), keep_text=True).collect()[0]
+    assert (row.doc_id, row.text, row.n_words, row.n_hit, list(row["items"])) == (1, "some words here", 3, 2, ["7"])
