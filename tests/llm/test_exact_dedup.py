@@ -47,10 +47,24 @@ def test_rice_round_trip():
             assert (x.rice_decode(n, k, code) == v).all()
 
 
-def test_equal_fingerprints_of_different_texts(spark, monkeypatch):
-    """With a fingerprint of one value, bytes alone tell groups apart."""
-    df = spark.createDataFrame([(i, f"t{i % 5}", 0) for i in range(40)], "doc_id long, norm string, print long")
-    scratch = Scratch(spark, "t")
-    suspects = df.withColumn("sha", F.sha2("norm", 256))
-    got = x.verified(suspects, scratch).collect()
-    assert {(r.doc_id, r.keep_id, r.group_size) for r in got} == {(i, 35 + i % 5, 8) for i in range(40)}
+def test_equal_digests_of_different_texts(spark, monkeypatch):
+    """With a digest of one value, bytes alone tell groups apart."""
+    df = spark.createDataFrame([(i, f"t{i % 5}".encode(), 0, "same", 0, i) for i in range(40)], "doc_id long, norm binary, print long, sha string, slice long, pos long")
+    got = x.verified(df, Scratch(spark, "t")).collect()
+    assert sorted((bytes(r.other).decode(), r.keep_id, r.group_size) for r in got) == [(f"t{k}", 35 + k, 8) for k in range(5)]
+
+
+def test_an_owner_holds_a_fingerprint_once_a_slice(spark):
+    """A million equal texts are one coded value and one repeat bit in each slice that has them."""
+    import pyarrow as pa
+
+    sha = hashlib.sha256(b"copy").digest()
+    batch = pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([sha * 1_000_000], pa.binary())], names=["slice", "shas"])
+    (sent,) = x._send(4)(iter([batch]))
+    assert sent.column("n").to_pylist() == [1] and len(sent.column("code")[0].as_py()) < 32
+    (bits,) = x._answer(pa.Table.from_batches([sent]))["bitmap"].to_pylist()
+    assert bits == b"\x80"
+
+
+def test_ids_at_the_end_of_the_range(spark):
+    check(spark, [(-(1 << 63), "a"), (None, "a"), (None, "b"), (None, "b"), (-(1 << 63), "c")])
