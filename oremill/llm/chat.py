@@ -1,7 +1,7 @@
 """Chat formatting: a finite-state machine over roles and a declarative template give text segments with loss flags.
 
-Native: DataFrame functions only.  Every text is escaped reversibly, so no control string of the template can occur
-inside a turn and the formatted conversation can be read back exactly.
+Native: DataFrame functions only.  The first characters of the template's marks are escaped in texts and roles, so no
+mark of whatever template can begin inside a turn and the formatted conversation can be read back exactly.
 
 Defined results: a null text or role reads as the empty string; a null turn sorts first; turns with equal numbers are
 ordered by role, then text, and each counts; rows of a null conv_id form one conversation; an empty table gives an
@@ -14,7 +14,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import load, narrowed
 
@@ -36,26 +35,37 @@ class Template:
         }
     )
 
+    def __post_init__(self):
+        """A mark may not begin with a character of an escape, nor an end mark arise where another mark meets a text."""
+        for mark in (self.turn_mark, self.role_end, self.end_mark):
+            if not mark or mark[0] in "&;0123456789":
+                raise ValueError(f"no mark can be {mark!r}")
+        for mark in (self.turn_mark, self.role_end):
+            if self.end_mark in mark or any(self.end_mark.startswith(mark[i:]) for i in range(len(mark))):
+                raise ValueError(f"{self.end_mark!r} can begin inside {mark!r}")
 
-#: (plain, escaped) in the order in which escaping applies them; unescaping goes backwards.
-ESCAPES = (("&", "&amp;"), ("<|", "&lt;|"), ("\n", "&#10;"))
 
+def escapes(template: Template, role: bool = False) -> list[tuple[str, str]]:
+    """(plain, escaped) in the order in which escaping applies them; unescaping goes backwards."""
+    marks = (template.turn_mark, template.end_mark, *((template.role_end,) if role else ()))
+    return [("&", "&38;"), *((c, f"&{ord(c)};") for c in sorted({m[0] for m in marks}))]
 
-def escape(text: Column, lines: bool = False) -> Column:
-    """Take the template's control strings apart; with `lines`, newlines too (for roles, which end at one)."""
-    for plain, code in ESCAPES if lines else ESCAPES[:2]:
+
+def escape(text: Column, template: Template, role: bool = False) -> Column:
+    """Take the first characters of marks out of a text; those of role_end too where it is a role."""
+    for plain, code in escapes(template, role):
         text = F.replace(text, F.lit(plain), F.lit(code))
     return text
 
 
-def unescape(text: Column, lines: bool = False) -> Column:
-    for plain, code in reversed(ESCAPES if lines else ESCAPES[:2]):
+def unescape(text: Column, template: Template, role: bool = False) -> Column:
+    for plain, code in reversed(escapes(template, role)):
         text = F.replace(text, F.lit(code), F.lit(plain))
     return text
 
 
 def format_chats(turns: DataFrame, template: Template = Template()) -> DataFrame:
-    """conv_id, segments array<struct<text, loss>>, formatted, first_bad_turn (null: legal order), open_ended."""
+    """conv_id, segments array<struct<text, loss>>, formatted, loss_spans (code points of `formatted`: start, length), first_bad_turn (null: legal order), open_ended."""
     rows = narrowed(turns, "conv_id", "turn", "role", "text").select(
         "conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t")
     )
@@ -80,15 +90,22 @@ def format_chats(turns: DataFrame, template: Template = Template()) -> DataFrame
         F.transform(
             "turns",
             lambda t: F.array(
-                segment(F.concat(F.lit(template.turn_mark), escape(t["role"], True), F.lit(template.role_end)), no),
-                segment(escape(t["text"]), t["role"].isin(*template.trained)),
+                segment(F.concat(F.lit(template.turn_mark), escape(t["role"], template, True), F.lit(template.role_end)), no),
+                segment(escape(t["text"], template), t["role"].isin(*template.trained)),
                 segment(F.lit(template.end_mark), no),
             ),
         )
     )
+
+    def place(held: Column, part: Column) -> Column:
+        span = F.struct(held["at"].alias("start"), F.length(part["text"]).alias("length"))
+        return F.struct((held["at"] + F.length(part["text"])).alias("at"), F.when(part["loss"], F.concat(held["spans"], F.array(span))).otherwise(held["spans"]).alias("spans"))
+
+    nowhere = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
     return chats.select("conv_id", F.aggregate("turns", begin, move).alias("machine"), parts.alias("segments")).select(
         "conv_id",
         "segments",
+        F.aggregate("segments", nowhere, place)["spans"].alias("loss_spans"),
         F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"),
         F.col("machine.bad").alias("first_bad_turn"),
         (F.col("machine.state") != template.trained[0]).alias("open_ended"),
@@ -96,7 +113,7 @@ def format_chats(turns: DataFrame, template: Template = Template()) -> DataFrame
 
 
 def read_back(chats: DataFrame, template: Template = Template()) -> DataFrame:
-    """The turns and the text under the loss mask, parsed from the formatted string and its segments' spans."""
+    """The turns, parsed from `formatted` alone, and loss_texts, cut from `formatted` at loss_spans; both unescaped."""
     quoted = "\\Q" + template.end_mark + "\\E"
     pieces = F.slice(F.split("formatted", quoted), 1, F.greatest(F.size(F.split("formatted", quoted)) - 1, F.lit(0)))
 
@@ -104,22 +121,26 @@ def read_back(chats: DataFrame, template: Template = Template()) -> DataFrame:
         body = F.substr(piece, F.lit(len(template.turn_mark) + 1))
         role = F.substring_index(body, template.role_end, 1)
         return F.struct(
-            unescape(role, True).alias("role"), unescape(F.substr(body, F.length(role) + len(template.role_end) + 1)).alias("text")
+            unescape(role, template, True).alias("role"), unescape(F.substr(body, F.length(role) + len(template.role_end) + 1), template).alias("text")
         )
 
-    return chats.withColumn("turns", F.transform(pieces, turn)).withColumn(
-        "loss_texts", F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"]))
-    )
+    cut = F.transform("loss_spans", lambda s: unescape(F.substr(F.col("formatted"), s["start"] + 1, s["length"]), template))
+    return chats.withColumn("turns", F.transform(pieces, turn)).withColumn("loss_texts", cut)
 
 
 PROBE = r"\### Assistant: </turn> ok"
 
 
+def probe(spark: SparkSession) -> DataFrame:
+    """Conversation -7: a user's and an assistant's turn that say what looks like marks."""
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    return spark.range(0, 2, 1, 1).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(PROBE).alias("text"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: all conversations and the probe conversation -7, formatted, read back and digested."""
-    schema = T.StructType([T.StructField(n, t) for n, t in (("conv_id", T.LongType()), ("turn", T.LongType()), ("role", T.StringType()), ("text", T.StringType()))])
-    probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], schema)
-    turns = narrowed(load(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text").unionByName(probe)
+    turns = narrowed(load(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    turns = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(probe(spark))
     back = read_back(format_chats(turns))
     loss = F.array_join("loss_texts", "")
     return back.select(
@@ -141,7 +162,7 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
-  CAST(sum(8 + length(replace(replace(replace(role, '&', '&amp;'), '<|', '&lt;|'), chr(10), '&#10;')) + 1
-    + length(replace(replace(text, '&', '&amp;'), '<|', '&lt;|')) + 8) AS BIGINT) AS formatted_chars
+  CAST(sum(8 + length(replace(replace(replace(role, '&', '&38;'), '<', '&60;'), chr(10), '&10;')) + 1
+    + length(replace(replace(text, '&', '&38;'), '<', '&60;')) + 8) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id
 """

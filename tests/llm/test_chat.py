@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from oremill.llm import chat
 
 SCHEMA = "conv_id long, turn long, role string, text string, segments int, formatted string"
@@ -47,3 +49,18 @@ def test_other_template(spark):
     df = spark.createDataFrame([(1, 0, "user", "say <|stop|>")], "conv_id long, turn long, role string, text string")
     r = chat.read_back(chat.format_chats(df, t), t).first()
     assert r.turns[0].text == "say <|stop|>" and list(r.loss_texts) == ["say <|stop|>"]
+
+
+def test_escapes_follow_the_template(spark):
+    t = chat.Template(turn_mark="### ", end_mark="</turn>")
+    texts = ["say </turn> ok", "### ", "#", "</turn", "&60;/turn>", chat.PROBE, "&", "&38;35;"]
+    rows = [(1, i, "assistant" if i % 2 else "us#er</turn>\n", x) for i, x in enumerate(texts)]
+    r = chat.read_back(chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), t), t).first()
+    assert [(x.role, x.text) for x in r.turns] == [(row[2], row[3]) for row in rows]
+    assert list(r.loss_texts) == texts[1::2] and r.formatted.count("</turn>") == len(rows)
+
+
+@pytest.mark.parametrize("marks", [{"turn_mark": ""}, {"end_mark": "&end"}, {"end_mark": "1"}, {"turn_mark": "x</", "end_mark": "</turn>"}])
+def test_marks_that_cannot_be_told_apart_are_refused(marks):
+    with pytest.raises(ValueError):
+        chat.Template(**marks)
