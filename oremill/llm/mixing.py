@@ -4,8 +4,9 @@ Native: DataFrame functions only.  Documents of a source are put in a pseudo-ran
 Each gets a virtual finish time, the words of its source up to and with it divided by the source's target; the mix
 takes documents in the order of finish times, all sources together, up to the total budget.
 
-Prefix sums over a source are taken in two steps, over buckets of the order key and inside each bucket, and the cut
-by a histogram of finish times and the exact order inside one of its bins: no task holds a whole source.
+Prefix sums over a source are taken in two steps, over buckets of the order key, as many as the rows ask for, and inside
+each bucket; the cut is found by a histogram of finish times whose cutting bin is divided again until it holds no more
+than EXACT rows, and by the exact order inside that: no task holds a whole source, or a share of it that grows.
 
 Defined results: null text has size 0; documents without a source form the last source; rows that repeat a doc_id are
 documents of their own; where there are no words every target is 0; an empty table gives an empty result; extra
@@ -14,6 +15,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +25,9 @@ from .common import Scratch, load, narrowed
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 MOST = 2
-BINS_PER_TARGET = 1 << 14
-LAST_BIN = 1 << 17
+BINS = 1 << 14
+EXACT = 1 << 16
+BUCKET_ROWS = 1 << 16
 
 
 def n_words(text: Column) -> Column:
@@ -53,8 +57,11 @@ def targets(sized: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: int
 def plan_mix(sized: DataFrame, scratch: Scratch, seed: str = "mix", budget: float = BUDGET, most: int = MOST) -> DataFrame:
     """`sized` (doc_id, source, size; a table) with source_size, target, finish of each epoch and taken, in queue order."""
     goal = scratch.put("goal", targets(sized, budget=budget, most=most))
-    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    keyed = sized.withColumn("key", key).withColumn("bucket", F.substring("key", 1, 3))
+    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), "size"))))
+    digits, rows = 3, sized.count()
+    while rows >> 4 * digits > BUCKET_ROWS:
+        digits += 1
+    keyed = sized.withColumn("key", key).withColumn("bucket", F.substring("key", 1, digits))
     inner = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -78,30 +85,26 @@ def plan_mix(sized: DataFrame, scratch: Scratch, seed: str = "mix", budget: floa
     queued = scratch.put("queued", queued)
     times = [f"finish{e + 1}" for e in range(most)]
     each = queued.select("size", F.explode(F.array(*times)).alias("finish")).filter("size > 0")
-    bin_of = F.least(F.floor(F.col("finish") * BINS_PER_TARGET), F.lit(LAST_BIN)).cast("int")
-    total = F.sum("sum").over(Window.orderBy("bin"))
-    all_words = queued.agg(F.sum("size")).first()[0] or 0
-    words = int(budget * all_words)
-    bins = each.groupBy(bin_of.alias("bin")).agg(F.sum("size").alias("sum")).withColumn("upto", total)
-    full = bins.filter(F.col("upto") <= words).agg(F.max("bin"), F.max("upto")).first()
-    after, done = (-1 if full[0] is None else full[0]), full[1] or 0
-    cut_bin = bins.filter(F.col("bin") > after).agg(F.min("bin")).first()[0]
-    cut = (after + 1) / BINS_PER_TARGET
-    strict = True
-    if cut_bin is not None:
-        row = (
-            each.filter(bin_of == cut_bin)
-            .groupBy("finish")
-            .agg(F.sum("size").alias("sum"))
-            .withColumn("upto", F.sum("sum").over(Window.orderBy("finish")) + done)
-            .filter(F.col("upto") <= words)
-            .agg(F.max("finish"))
-            .first()
-        )
-        if row[0] is not None:
-            cut, strict = row[0], False
-    elif full[0] is not None:
-        cut = float("inf")
+    all_words, longest = queued.agg(F.sum("size"), F.max(times[-1])).first()
+    words, low, done = int(budget * (all_words or 0)), 0.0, 0
+    high, cut, strict = (longest or 0.0) * (1 + 1e-9) + 1e-300, float("inf"), True
+    while True:
+        # what finishes before `low` is in the mix, `done` words of it; what finishes from `high` on is not
+        width = (high - low) / BINS
+        span = each.filter((F.col("finish") >= low) & (F.col("finish") < high))
+        bin_of = F.least(F.floor((F.col("finish") - low) / width), F.lit(BINS - 1)).cast("int")
+        bins = span.groupBy(bin_of.alias("bin")).agg(F.sum("size").alias("sum"), F.count("*").alias("rows"), F.min("finish").alias("first"), F.max("finish").alias("last"))
+        over = bins.withColumn("upto", F.sum("sum").over(Window.orderBy("bin"))).filter(F.col("upto") > words - done).orderBy("bin").first()
+        if over is None:  # all of it is
+            cut, strict = high, True
+            break
+        done += over["upto"] - over["sum"]
+        low, high = over["first"], math.nextafter(over["last"], math.inf)
+        if over["rows"] <= EXACT or over["first"] == over["last"] or width < 1e-12 * high:
+            inner = each.filter((F.col("finish") >= low) & (F.col("finish") < high)).groupBy("finish").agg(F.sum("size").alias("sum"))
+            last = inner.withColumn("upto", F.sum("sum").over(Window.orderBy("finish")) + done).filter(F.col("upto") <= words).agg(F.max("finish")).first()[0]
+            cut, strict = (low, True) if last is None else (last, False)
+            break
     inside = lambda c: (F.col(c) < F.lit(cut)) if strict else (F.col(c) <= F.lit(cut))
     copies = sum((inside(c).cast("long") for c in times), F.lit(0))
     return queued.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).orderBy("finish1", "source", "doc_id")
