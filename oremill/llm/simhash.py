@@ -4,8 +4,8 @@
 2. Equal fingerprints become one row, by aggregation, so groups of exact copies cost nothing further.
 3. Fingerprints are laid in tiles by the population counts of their four 16-bit words.  Two fingerprints within the
    radius have counts that differ by no more than the radius in sum, so only such pairs of tiles are compared, with
-   numpy exclusive-or and bit counts.  Tiles are split to at most TILE rows, a unit of work holds one part of a tile
-   and one part of each of its neighbours, and a unit gives a forest of its links, never all pairs of a group.
+   numpy exclusive-or and bit counts.  Only tiles beyond TILE rows are split, each by its own size; a unit of work holds
+   one part of a tile and one part of each of its neighbours, and gives a forest of its links, never all pairs.
 4. Connected components of the links.
 
 Defined results: null and word-less texts have fingerprint 0 and are linked like others; fewer words than a shingle
@@ -176,30 +176,27 @@ def links(prints: DataFrame, scratch: Scratch, radius: int = RADIUS, tile: int =
     pops = [F.bit_count(F.shiftrightunsigned(F.col("fp"), 16 * w).bitwiseAND(F.lit(0xFFFF))) for w in range(4)]
     code = sum((p.cast("long") * 32 ** (3 - w) for w, p in enumerate(pops)), F.lit(0).cast("long"))
     tiled = prints.select(code.alias("tile"), "fp")
-    sizes = tiled.groupBy("tile").count().agg(F.max("count"), F.sum("count")).first()
-    parts = max(1, -(-(sizes[0] or 0) // tile))
-    tiles = tiled.groupBy("tile", F.pmod(F.xxhash64("fp"), F.lit(parts)).alias("part")).agg(F.collect_list("fp").alias("fps"))
-    tiles = scratch.put("tiles", tiles.mapInArrow(_pack, "tile long, part long, fps binary"))
-    # a unit (tile, part of it, part of its neighbours): own rows once a unit, a neighbour's rows to each part of the tile
+    # there are at most 17^4 tiles, so tables of a row a tile can be broadcast
+    sizes = scratch.put("sizes", tiled.groupBy("tile").agg(F.count("*").alias("rows")).withColumn("parts", F.ceil(F.col("rows") / tile).cast("long")))
+    widest, total = sizes.agg(F.max("parts"), F.sum("rows")).first()
+    widest = widest or 1
     shift = [sum(x * 32 ** (3 - w) for w, x in enumerate(d)) for d in steps(radius)]
-    each = F.sequence(F.lit(0), F.lit(parts - 1))
-    number = lambda t, i, j: (t * parts + i) * parts + j
-    mine = tiles.select(F.explode(F.transform(each, lambda j: number(F.col("tile"), F.col("part"), j.cast("long")))).alias("unit"), F.lit(True).alias("own"), "fps")
-    others = tiles.select(
-        F.explode(
-            F.flatten(
-                F.transform(
-                    F.array(*[F.lit(s).cast("long") for s in shift]),
-                    lambda s: F.transform(F.filter(each, lambda i: (s != 0) | (i < F.col("part"))), lambda i: number(F.col("tile") - s, i.cast("long"), F.col("part"))),
-                )
-            )
-        ).alias("unit"),
-        F.lit(False).alias("own"),
-        "fps",
+    around = F.explode(F.array(*[F.lit(s).cast("long") for s in shift]))
+    own = sizes.select(F.col("tile").alias("here"), "parts")
+    tiles = tiled.join(F.broadcast(own), F.col("tile") == F.col("here")).groupBy("tile", F.pmod(F.xxhash64("fp"), F.col("parts")).alias("part")).agg(F.collect_list("fp").alias("fps"))
+    tiles = scratch.put("tiles", tiles.mapInArrow(_pack, "tile long, part long, fps binary"))
+    # a unit (tile, part of it, part of its neighbours): own rows in each of its units, a neighbour's rows in one for each part of the tile
+    number = lambda t, i, j: (t * widest + i) * widest + j
+    each = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    near = sizes.select(around.alias("s"), (F.col("tile") - F.col("s")).alias("to"), "parts").join(F.broadcast(sizes.select(F.col("tile").alias("to"))), "to")
+    reach = near.groupBy("to").agg(F.max("parts").alias("reach"))
+    mine = tiles.join(F.broadcast(reach), F.col("tile") == F.col("to")).select(F.explode(F.transform(each(F.col("reach")), lambda j: number(F.col("tile"), F.col("part"), j))).alias("unit"), F.lit(True).alias("own"), "fps")
+    others = tiles.select("part", "fps", around.alias("s"), (F.col("tile") - F.col("s")).alias("to")).join(F.broadcast(own), F.col("to") == F.col("here"))
+    others = others.select(
+        F.explode(F.transform(F.filter(each(F.col("parts")), lambda i: (F.col("s") != 0) | (i < F.col("part"))), lambda i: number(F.col("to"), i, F.col("part")))).alias("unit"), F.lit(False).alias("own"), "fps"
     )
-    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((sizes[1] or 0) * 8 * (len(shift) + 1) * parts // UNIT_BYTES) + 1)
-    units = mine.unionByName(others.join(tiles.select(F.col("tile").alias("there")).distinct(), F.floor(F.col("unit") / (parts * parts)) == F.col("there"), "left_semi"))
-    return units.groupBy(F.pmod(F.xxhash64("unit"), F.lit(groups)).alias("g")).applyInArrow(_compare(radius), "u long, v long")
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((total or 0) * 8 * (len(shift) + 1) * min(widest, 64) // UNIT_BYTES) + 1)
+    return mine.unionByName(others).groupBy(F.pmod(F.xxhash64("unit"), F.lit(groups)).alias("g")).applyInArrow(_compare(radius), "u long, v long")
 
 
 # ---------------------------------------------------------------- operator
