@@ -11,7 +11,8 @@ of tables, all that the model reads of a seating, is drawn from its conditional
 tables of each restaurant and word, and the root's probabilities, are averaged over the rest, and documents are scored
 by the averaged predictive probabilities.
 
-Exchange: texts are clustered once into chunks by a hash of doc_id.  Chunks send owners their distinct words, then
+Exchange: texts are clustered once into chunks by a hash of doc_id and text; words go by 64-bit hashes, of which two of
+n words agree with a chance of n^2 / 2^65 (words of up to seven bytes: never with one another).  Chunks send owners their distinct words, then
 their distinct word pairs, once each with their counts (a map-side combination, so no word or pair meets in one task
 more than once a chunk), and get word numbers, counts, probabilities and seating back.  Nothing grows on the driver
 but one number an owner.
@@ -37,7 +38,6 @@ CHUNK_BYTES = 4 << 20
 SWEEPS, BURN, SCAN = 4, 1, 32
 STRENGTH = 1.0
 END = np.uint64(0x7A3C9D1E5F20B846)
-NO_ID = -(1 << 63)
 PARTS, HELD_OUT = 7, 2
 #: Largest count whose distribution of tables is read from a table of Stirling numbers; nodes of interpolation and points of quadrature beyond it.
 STIRLING, NODES, POINTS = 1024, 16, 48
@@ -49,8 +49,15 @@ def owner_cuts(hashes: np.ndarray, owners: int) -> np.ndarray:
     return np.searchsorted(lead, np.arange(owners + 1, dtype=np.uint64))
 
 
-def is_held_out(ids: np.ndarray) -> np.ndarray:
-    return np.array([i != NO_ID and zlib.crc32(str(i).encode()) % PARTS == HELD_OUT for i in ids.tolist()], bool)
+def is_held_out(ids: list[int | None]) -> np.ndarray:
+    return np.array([i is not None and zlib.crc32(str(i).encode()) % PARTS == HELD_OUT for i in ids], bool)
+
+
+def u32(x: np.ndarray) -> bytes:
+    """Numbers as unsigned 32-bit; one that does not fit stops the run."""
+    if len(x) and int(x.max()) >= 1 << 32:
+        raise OverflowError("a count beyond 32 bits: use smaller chunks, or more owners")
+    return x.astype(np.uint32).tobytes()
 
 
 # ---------------------------------------------------------------- chunks
@@ -59,7 +66,7 @@ class Chunk:
 
     def __init__(self, texts: pa.Table):
         self.name = texts["chunk"][0].as_py()
-        self.ids = texts["doc_id"].to_numpy()
+        self.ids = texts["doc_id"]
         buf, offsets = flatten(texts["text"])
         buf = LOWER[buf]
         starts, ends, bounds = word_bounds(buf, offsets, SPACE_WORD)
@@ -70,7 +77,7 @@ class Chunk:
         word = np.ones(len(tokens), bool)
         word[last] = False
         tokens[word] = word_hashes(buf, starts, ends)
-        self.held = is_held_out(self.ids)
+        self.held = is_held_out(self.ids.to_pylist())
         self.train = np.repeat(~self.held, n)
         self.words, self.at = np.unique(tokens, return_inverse=True)
 
@@ -160,7 +167,7 @@ def _send_pairs(owners: int, offsets: np.ndarray, begin: int):
             out["contexts"].append(u[at].astype(np.uint32).tobytes())
             out["sizes"].append(np.diff(np.append(at, b - a)).astype(np.uint32).tobytes())
             out["words"].append(chunk.pair_word[a:b].astype(np.uint32).tobytes())
-            out["counts"].append(chunk.pair_train[a:b].astype(np.uint32).tobytes())
+            out["counts"].append(u32(chunk.pair_train[a:b]))
         settle()
         return pa.table({"owner": pa.array(full, pa.int64()), "chunk": pa.array([chunk.name] * len(full), pa.int64()), **{c: pa.array(v, pa.binary()) for c, v in out.items()}})
 
@@ -362,7 +369,7 @@ def _rows(rows: list[tuple]) -> pa.Table:
 def _for_root(kind: int, owner: int, words: np.ndarray, tables: np.ndarray, offsets: np.ndarray) -> list[tuple]:
     """Customers for the root, one row for each owner of words."""
     cuts = np.searchsorted(words, offsets)
-    return [(kind, owner, o, words[cuts[o] : cuts[o + 1]].astype(np.uint32).tobytes(), tables[cuts[o] : cuts[o + 1]].astype(np.uint32).tobytes(), 0, 0) for o in np.flatnonzero(np.diff(cuts)).tolist()]
+    return [(kind, owner, o, u32(words[cuts[o] : cuts[o + 1]]), u32(tables[cuts[o] : cuts[o + 1]]), 0, 0) for o in np.flatnonzero(np.diff(cuts)).tolist()]
 
 
 class Model:
@@ -411,7 +418,7 @@ class Model:
 
 def _load(static: pa.Table, a: bytes, b: bytes) -> Model:
     row = static.select(["owner", "a", "b"]).to_pylist()[0]
-    return Model(row["owner"], np.frombuffer(row["a"], np.uint64), np.frombuffer(row["b"], np.uint32).astype(np.int64), np.frombuffer(a, np.int32).astype(np.int64), np.frombuffer(b, np.float32).astype(np.float64))
+    return Model(row["owner"], np.frombuffer(row["a"], np.uint64), np.frombuffer(row["b"], np.int64), np.frombuffer(a, np.int32).astype(np.int64), np.frombuffer(b, np.float32).astype(np.float64))
 
 
 def _gather(offsets: np.ndarray):
@@ -432,7 +439,7 @@ def _gather(offsets: np.ndarray):
         model = Model(owner, known, total, start, np.zeros(several))
         single = np.unique(model.word[total == 1], return_counts=True)
         asked = np.bincount(model.word_at, minlength=len(model.words))
-        out = [(PAIRS, owner, None, known.tobytes(), total.astype(np.uint32).tobytes(), int((total == 1).sum()), int((total == 2).sum())), model.seats_row(model.table, model.mean)]
+        out = [(PAIRS, owner, None, known.tobytes(), total.astype(np.int64).tobytes(), int((total == 1).sum()), int((total == 2).sum())), model.seats_row(model.table, model.mean)]
         out = _rows(out + _for_root(ASK, owner, model.words, asked, offsets) + _for_root(SINGLE, owner, *single, offsets))
         settle()
         return out
@@ -589,7 +596,7 @@ def _score(owners: int, offsets: np.ndarray, begin: int, begin_count: int, token
         n = len(chunk.ids)
         out = pa.table(
             {
-                "doc_id": pa.array(chunk.ids),
+                "doc_id": chunk.ids,
                 "held_out": pa.array(chunk.held),
                 "n_tokens": pa.array(np.diff(chunk.bounds), pa.int64()),
                 "n_known": pa.array(total((count > 0).astype(np.int64)), pa.int64()),
@@ -617,8 +624,8 @@ def score_documents(docs: DataFrame, scratch: Scratch, sweeps: int = SWEEPS, bur
     chunks = max(1, -(-text_bytes(texts) // CHUNK_BYTES))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     owners = max(parts, chunks // 2)
-    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    table = scratch.put_bucketed("texts", texts.select(ids.alias("doc_id"), "text", F.pmod(F.xxhash64(ids), F.lit(chunks)).alias("chunk")), "chunk", max(parts, chunks // 4))
+    chunk = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), "text"), F.lit(chunks))  # no doc_id, null or other, holds a chunk to itself
+    table = scratch.put_bucketed("texts", texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", chunk.alias("chunk")), "chunk", max(parts, chunks // 4))
     by_chunk = lambda: table.groupBy("chunk")
 
     sent = by_chunk().applyInArrow(_words(owners), "owner long, chunk long, words binary, counts binary")
@@ -632,7 +639,7 @@ def score_documents(docs: DataFrame, scratch: Scratch, sweeps: int = SWEEPS, bur
     if begin + owners >= 1 << 32:
         raise ValueError("more than 2^32 distinct words")
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary")) % PARTS != HELD_OUT
-    starts = table.filter(crc | (F.col("doc_id") == NO_ID)).count()
+    starts = table.filter(F.coalesce(crc, F.lit(True))).count()
     named = words.select("chunk", "owner", "ranks", "counts")
 
     pairs = lambda: by_chunk().cogroup(named.groupBy("chunk")).applyInArrow(_send_pairs(owners, offsets, begin), SENT_PAIRS)
@@ -676,11 +683,10 @@ def score_documents(docs: DataFrame, scratch: Scratch, sweeps: int = SWEEPS, bur
     scratch.release()
     numbers = named.select("chunk", F.lit(0).alias("kind"), "owner", F.col("ranks").alias("a"), F.col("counts").alias("b"))
     answers = numbers.unionByName(seats).unionByName(roots)
-    out = by_chunk().cogroup(answers.groupBy("chunk")).applyInArrow(
+    return by_chunk().cogroup(answers.groupBy("chunk")).applyInArrow(
         _score(owners, offsets, begin, starts, tokens, types, discount),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
