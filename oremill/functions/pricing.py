@@ -50,10 +50,21 @@ def parse_prices(text) -> Column:
     return F.pandas_udf(_offers, PRICE)(text)
 
 
-def price_band(prices: DataFrame, keys: list[str], amount: Column) -> DataFrame:
-    """Exact quartiles of the paid amounts by `keys`, and the number of free tiers; no row's band is null without paid ones."""
-    paid = F.when(amount > 0, amount)
-    q = F.percentile(paid, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return prices.groupBy(*keys).agg(F.count(paid).alias("n"), F.count_if(amount == 0).alias("free_tier_count"), q.alias("q")).select(
+def priced_amounts(claims: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys, amount, rows): the monthly amounts of price strings; each distinct string of a key is parsed once."""
+    strings = claims.groupBy(*keys, text).agg(F.count("*").alias("rows"))
+    each = strings.select(*keys, "rows", F.explode(parse_prices(text)).alias("p"))
+    return each.groupBy(*keys, F.col("p.amount_monthly").alias("amount")).agg(F.sum("rows").alias("rows"))
+
+
+def price_band(amounts: DataFrame, keys: list[str]) -> DataFrame:
+    """Exact quartiles of the paid amounts (amount, rows) by `keys`, and the number of free tiers; no row's band is null without paid ones.
+
+    Amounts are whole cents up to a bound, so the counted amounts of a key are few whatever its rows.
+    """
+    paid = F.col("amount") > 0
+    q = F.percentile(F.when(paid, F.col("amount")), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.when(paid, F.col("rows")).otherwise(1))
+    n = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("rows"))), F.lit(0))
+    return amounts.groupBy(*keys).agg(n(paid).alias("n"), n(F.col("amount") == 0).alias("free_tier_count"), q.alias("q")).select(
         *keys, "n", "free_tier_count", F.col("q")[0].alias("p25"), F.col("q")[1].alias("median_monthly"), F.col("q")[2].alias("p75")
     )

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import html
+import operator
+import re
 from urllib.parse import parse_qsl, urlencode, urlsplit
 
 import pandas as pd
@@ -11,20 +14,30 @@ from pyspark.sql import functions as F
 
 from .vocabulary import HIGH_INTENT, INTENTS, PRICE_SIGNAL, STOP_WORDS, TRACKING
 
-_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&"))
+#: White space beyond the blank, as Unicode has it.
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: Letters that match an ASCII letter where case is ignored, besides its own two forms.
+_FOLDS = {"\u017f": "s", "\u0130": "i", "\u0131": "i", "\u212a": "k"}
 
 
 def squeeze(text: Column) -> Column:
-    """White space (Unicode) collapsed to one space and stripped."""
-    return F.btrim(F.regexp_replace(text, r"(?U)\s+", " "))
+    """White space (Unicode) collapsed to one space and stripped; texts without any but single blanks are left as they are."""
+    odd = F.rlike(text, F.lit("[^\\x21-\\x7e\\u00a1-\\u167f ]|  "))
+    return F.btrim(F.when(odd, F.regexp_replace(F.translate(text, _SPACES, " " * len(_SPACES)), " {2,}", " ")).otherwise(text))
+
+
+def decoded(text: Column) -> Column:
+    """Common HTML entities decoded, in texts that have any; `html_text` knows the full table."""
+    plain = text
+    for code, char in _ENTITIES:
+        plain = F.replace(plain, F.lit(code), F.lit(char))
+    return F.when(F.contains(text, F.lit("&")), plain).otherwise(text)
 
 
 def norm_text(text: Column) -> Column:
-    """Common HTML entities decoded, white space collapsed; null as empty.  `html_text` decodes the full entity table."""
-    text = F.coalesce(text, F.lit(""))
-    for code, plain in _ENTITIES:
-        text = F.replace(text, F.lit(code), F.lit(plain))
-    return squeeze(text)
+    """Common HTML entities decoded, white space collapsed; null as empty."""
+    return squeeze(decoded(F.coalesce(text, F.lit(""))))
 
 
 def _html_text(texts: pd.Series) -> pd.Series:
@@ -38,7 +51,12 @@ def html_text(text) -> Column:
 
 def near_key(text: Column) -> Column:
     """Lower-cased words only: what near-duplicates agree on."""
-    return F.btrim(F.regexp_replace(F.regexp_replace(F.lower(norm_text(text)), r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
+    return F.btrim(F.regexp_replace(F.lower(decoded(F.coalesce(text, F.lit("")))), r"[^\p{L}\p{N}_]+", " "))
+
+
+def key_hash(key: Column) -> Column:
+    """128 bits that stand for a long key in exchanges; null for an empty one."""
+    return F.when(key != "", F.md5(key.cast("binary")))
 
 
 def canonical_url(url: Column) -> Column:
@@ -92,17 +110,44 @@ def matches(text: Column, pattern: str) -> Column:
     return F.rlike(F.coalesce(text, F.lit("")), F.lit("(?iU)" + pattern))
 
 
-def intents(text: Column) -> Column:
-    """All families whose pattern occurs, in their fixed order."""
-    return F.array_compact(F.array(*[F.when(matches(text, p), F.lit(name)) for name, p in INTENTS.items()]))
+def folded(text: Column) -> Column:
+    """Lower case, with every letter that matches an ASCII letter turned into it."""
+    return F.lower(F.translate(F.coalesce(text, F.lit("")), "".join(_FOLDS), "".join(_FOLDS.values())))
+
+
+def anchors(pattern: str) -> list[str]:
+    """One string for each alternative of `pattern` that any match of it holds, lower-cased: its longest literal stretch."""
+    found, depth, start = [], 0, 0
+    for i, c in enumerate(pattern + "|"):
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            part = re.sub(r"\([^()]*\)\??|\[[^\]]*\][*+?]?|\\[bBwWsSdD][*+?]?|\\?.[*?]|[.+]", "\0", pattern[start:i].replace("\\$", "$").replace("\\.", "\0"))
+            found.append(max(part.split("\0"), key=len).lower())
+            start = i + 1
+    return found
+
+
+def may_match(fold: Column, pattern: str) -> Column:
+    """False only where `pattern` cannot occur in the text of this fold: plain substring search, far cheaper than the pattern."""
+    return functools.reduce(operator.or_, [F.contains(fold, F.lit(a)) for a in dict.fromkeys(anchors(pattern))])
+
+
+def found(text: Column, fold: Column, pattern: str) -> Column:
+    return may_match(fold, pattern) & matches(text, pattern)
+
+
+def intents(text: Column, fold: Column | None = None) -> Column:
+    """All families whose pattern occurs, in their fixed order; `fold` is folded(text), where it is at hand as a column."""
+    fold = folded(text) if fold is None else fold
+    return F.array_compact(F.array(*[F.when(found(text, fold, p), F.lit(name)) for name, p in INTENTS.items()]))
 
 
 def is_high_intent(labels: Column) -> Column:
     return F.arrays_overlap(labels, F.array(*map(F.lit, HIGH_INTENT)))
 
 
-def has_price_signal(text: Column) -> Column:
-    return matches(text, PRICE_SIGNAL)
+def has_price_signal(text: Column, fold: Column | None = None) -> Column:
+    return found(text, folded(text) if fold is None else fold, PRICE_SIGNAL)
 
 
 def sentences(text: Column, least: int = 12, most: int = 12) -> Column:
@@ -118,8 +163,9 @@ def squeeze_ends(text: Column) -> Column:
 def compress(text: Column, limit: int = 100) -> Column:
     """First sentence, white space collapsed; if longer than `limit`, cut at a word and closed with an ellipsis."""
     text = F.coalesce(text, F.lit(""))
-    first = F.split(text, "[.?!]", 2)[0]
-    flat = squeeze(F.when(squeeze(first) == "", text).otherwise(first))
+    first = F.regexp_extract(text, r"^[^.?!]*", 0)
+    blank = F.btrim(F.translate(first, _SPACES, " " * len(_SPACES))) == ""
+    flat = squeeze(F.when(blank, text).otherwise(first))
     head = F.substring(flat, 1, limit - 1)
     at_word = F.when(F.contains(head, F.lit(" ")), F.regexp_replace(head, r" [^ ]*$", "")).otherwise(head)
     return F.when(F.length(flat) <= limit, flat).otherwise(F.concat(F.regexp_replace(at_word, "[ \t,;:—-]+$", ""), F.lit("…")))
@@ -171,3 +217,39 @@ def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(F.coalesce((F.size(a) > 0) & (F.size(a) == F.size(b)), F.lit(False)), F.coalesce(F.try_divide(dot(a, b), norm), F.lit(0.0))).otherwise(0.0)
+
+
+# ---------------------------------------------------------------- rendering and Python's own arithmetic
+def html_escape(text: Column) -> Column:
+    """The five characters that HTML reserves, as entities."""
+    out = F.coalesce(text, F.lit(""))
+    for char, code in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(char), F.lit(code))
+    return out
+
+
+def title_case(text: Column) -> Column:
+    """Every run of letters with its first one upper-cased and the others lower-cased, whatever stands before it."""
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"(\p{L}+|\P{L}+)"), 1), F.initcap), "")
+
+
+def percent(share: Column) -> Column:
+    return F.concat(F.bround(share * 100, 0).cast("int").cast("string"), F.lit("%"))
+
+
+def cut(text: Column, most: int) -> Column:
+    return F.substring(F.coalesce(text, F.lit("")), 1, most)
+
+
+def py_round(value, digits: int) -> Column:
+    """Python's rounding: of the binary value, half to even.  An Arrow UDF, for the few rows of reports and scores."""
+    return F.pandas_udf(lambda s: s.map(lambda v: v if v != v else round(v, digits)), "double")(value)
+
+
+def register(spark) -> None:
+    """The functions that SQL users may want by name."""
+    from .pricing import PRICE, _offers
+
+    spark.udf.register("html_text", F.pandas_udf(_html_text, "string"))
+    spark.udf.register("canonical_url", F.pandas_udf(_decoded, "string"))
+    spark.udf.register("parse_prices", F.pandas_udf(_offers, PRICE))

@@ -38,6 +38,48 @@ def greedy_clusters(rows: DataFrame, threshold: float, block: str) -> DataFrame:
     return rows.select(block, "ord", "embedding").groupBy(block).applyInPandas(scan, f"{block} {kind}, ord long, cluster long")
 
 
+DENSE_FROM = 40
+
+
+def density_available() -> bool:
+    """Whether the two optional libraries of density clustering are there."""
+    import importlib.util
+
+    return all(importlib.util.find_spec(name) for name in ("umap", "hdbscan"))
+
+
+def density_clusters(rows: DataFrame, block: str) -> DataFrame:
+    """(block, ord, cluster) by density after a projection to few dimensions; noise stays alone.  One task a block."""
+
+    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+        import hdbscan
+        import umap
+
+        pdf = pdf.sort_values("ord", kind="stable")
+        n = len(pdf)
+        flat = umap.UMAP(n_components=min(10, max(2, n // 10)), metric="cosine", random_state=42).fit_transform(np.array(pdf["embedding"].tolist()))
+        found = hdbscan.HDBSCAN(min_cluster_size=3).fit_predict(flat)
+        noise = found < 0
+        found[noise] = found.max(initial=-1) + 1 + np.arange(noise.sum())
+        return pd.DataFrame({block: pdf[block], "ord": pdf["ord"], "cluster": found})
+
+    kind = dict(rows.dtypes)[block]
+    return rows.select(block, "ord", "embedding").groupBy(block).applyInPandas(scan, f"{block} {kind}, ord long, cluster long")
+
+
+def clusters(rows: DataFrame, threshold: float, block: str) -> DataFrame:
+    """Density clusters of blocks of DENSE_FROM rows or more that all have vectors, where the libraries are there; greedy ones of the others.
+
+    Blocks of fewer than two rows are left out.
+    """
+    size = rows.groupBy(block).agg(F.count("*").alias("n"), F.count_if(F.size("embedding") > 0).alias("v")).filter("n > 1")
+    if not density_available():
+        return greedy_clusters(rows.join(size.select(block), block, "left_semi"), threshold, block)
+    dense = (F.col("n") >= DENSE_FROM) & (F.col("v") == F.col("n"))
+    of = lambda cond: rows.join(size.filter(cond).select(block), block, "left_semi")
+    return density_clusters(of(dense), block).unionByName(greedy_clusters(of(~dense), threshold, block))
+
+
 def groups(clustered: DataFrame, block: str, least: int = 2, most: int = 10) -> DataFrame:
     """Clusters of `least` rows or more with their members, the `most` largest of each block, earlier ones first among equals."""
     g = clustered.groupBy(block, "cluster").agg(F.count("*").alias("members"), F.min("ord").alias("first_ord")).filter(F.col("members") >= least)
@@ -52,6 +94,14 @@ def mode_by(rows: DataFrame, key: str, value: Column, order: Column, k: int = 1)
     return counted.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).drop("o")
 
 
+def modes(rows: DataFrame, key: str, columns: list[str], order: Column) -> DataFrame:
+    """One row a key with the most frequent non-empty value of each column, first seen first among equals: one pass for all."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("value")) for c in columns]))
+    counted = rows.select(key, order.alias("o"), each.alias("e")).select(key, "o", "e.c", "e.value").filter("value <> ''").groupBy(key, "c", "value").agg(F.count("*").alias("n"), F.min("o").alias("o"))
+    best = counted.groupBy(key, "c").agg(F.max_by("value", F.struct("n", -F.col("o"))).alias("value"))
+    return best.groupBy(key).pivot("c", columns).agg(F.first("value"))
+
+
 def labels(rows: DataFrame, key: str) -> DataFrame:
     """(key, label): the three most frequent title words and the most frequent intent; rows: ord, title, intent_labels."""
     each = lambda c: rows.select(key, "ord", F.posexplode(c).alias("pos", "value"))

@@ -4,25 +4,29 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def first_of(rows: DataFrame, key: Column, order: Column, name: str = "original") -> DataFrame:
-    """The id of the first row with an equal key; rows without a key are their own."""
-    w = Window.partitionBy(F.when(key != "", key).otherwise(F.concat(F.lit("\0"), F.col("id")))).orderBy(order)
-    return rows.withColumn(name, F.first_value("id").over(w))
+    """The id of the first row with an equal key; rows without a key (null or empty) are their own.
+
+    Firsts are found by a map-side minimum and met in a join, so copies of one key, however many, are not sorted in one
+    task; `rows` is read twice and should be a stored table without long columns.
+    """
+    made = rows.withColumn("__key", F.when(key != "", key))
+    firsts = made.filter("__key IS NOT NULL").groupBy("__key").agg(F.min_by("id", order).alias("__first")).withColumnRenamed("__key", "__key2")
+    return made.join(firsts, F.col("__key") == F.col("__key2"), "left").withColumn(name, F.coalesce("__first", "id")).drop("__key", "__key2", "__first")
 
 
 def duplicates(rows: DataFrame) -> DataFrame:
-    """`rows` (id, ord, content_hash, near_dup_key) with is_duplicate_of and dedupe_stage: exact first, then near among the rest.
+    """`rows` (id, ord, content_hash, near_key_hash) with is_duplicate_of and dedupe_stage: exact first, then near among the rest.
 
     Later rows link to the first row of their hash even if that is itself a near duplicate.
     """
     exact = first_of(rows, F.col("content_hash"), F.col("ord"), "exact_of")
     alive = F.col("exact_of") == F.col("id")
-    w = Window.partitionBy(F.when(alive & (F.col("near_dup_key") != ""), F.col("near_dup_key")).otherwise(F.concat(F.lit("\0"), F.col("id")))).orderBy("ord")
-    near = exact.withColumn("near_of", F.first_value("id").over(w))
+    near = first_of(exact.withColumn("__near", F.when(alive, F.col("near_key_hash"))), F.col("__near"), F.col("ord"), "near_of").drop("__near")
     stage = F.when(~alive, "exact").when(F.col("near_of") != F.col("id"), "near")
     link = F.when(~alive, F.col("exact_of")).when(F.col("near_of") != F.col("id"), F.col("near_of"))
     return near.withColumn("is_duplicate_of", link).withColumn("dedupe_stage", stage).drop("exact_of", "near_of")

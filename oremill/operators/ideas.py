@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..functions.vocabulary import BANDS, CLAIM_INTENTS, FAST_FORMS, FORMS, GROSS_MARGIN, PAYBACK_MONTHS, WEIGHTS
-from .cluster import mode_by
+from ..functions.vocabulary import BANDS, CLAIM_INTENTS, FAST_FORMS, FEATURES, FORMS, GROSS_MARGIN, PAYBACK_MONTHS, WEIGHTS
+from .cluster import modes
 
 HEURISTIC = "heuristic-0.2"
+FEATURE_NAMES = FEATURES
 
 
 def has(label: str) -> Column:
@@ -49,8 +50,8 @@ def last_claims(claims: DataFrame) -> DataFrame:
 
 
 def features(rows: DataFrame, claims: DataFrame, key: str) -> DataFrame:
-    """The 14 features of each key; either side is aggregated before they meet."""
-    share = lambda c: F.round(F.avg(F.coalesce(c, F.lit(False)).cast("int")), 4)
+    """The 14 features of each key from `rows` (labelled) and `claims`; either side is aggregated before they meet."""
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("int"))
     ev = rows.groupBy(key).agg(
         F.count("*").alias("unique_evidence_count"),
         F.count_distinct(F.nullif("domain", F.lit(""))).alias("unique_domain_count"),
@@ -62,8 +63,9 @@ def features(rows: DataFrame, claims: DataFrame, key: str) -> DataFrame:
         F.bool_or(has("comparison")).alias("comparison_present"),
         F.bool_or(has("budget_roi")).alias("budget_roi_present"),
         F.count_if(has("anti_demand")).alias("anti_demand_count"),
-        F.count_if(t.has_price_signal(F.concat_ws(" ", "title", "snippet"))).alias("row_price_signals"),
+        F.count_if("priced").alias("row_price_signals"),
     )
+    ev = ev.withColumns({c: t.py_round(c, 4) for c in ("high_intent_share", "workaround_share", "switching_share")})
     brands = claims.select(key, F.explode("incumbents").alias("b")).filter("b <> ''").groupBy(key).agg(F.count_distinct("b").alias("incumbent_count"))
     cl = claims.groupBy(key).agg(F.count_if(F.coalesce(F.col("price_signal") != "", F.lit(False))).alias("claim_price_signals"), F.max("urgency").alias("max_claim_urgency"), F.count("*").alias("claim_count"))
     none = {"claim_price_signals": 0, "incumbent_count": 0, "max_claim_urgency": 0.0, "claim_count": 0}
@@ -71,21 +73,49 @@ def features(rows: DataFrame, claims: DataFrame, key: str) -> DataFrame:
     return met.withColumn("explicit_price_signal_count", F.col("row_price_signals") + F.col("claim_price_signals")).drop("row_price_signals", "claim_price_signals")
 
 
-def hypotheses(rows: DataFrame, claims: DataFrame, key: str, rights_clear: DataFrame, evidence_key: str = "id") -> DataFrame:
-    """One hypothesis a key: the modes of its claims, evidence for and against, channel, form and compliance."""
-    mode = lambda c: mode_by(claims, key, F.col(c), F.col("ord")).select(key, F.col("value").alias(c))
+def stance(rows: DataFrame, claims: DataFrame, evidence_key: str = "id") -> DataFrame:
+    """`rows` with for_it (supports a hypothesis: states a need or has a claim) and against_it (says there is no demand)."""
     cited = claims.select(F.col("evidence_id").alias(evidence_key)).distinct().withColumn("cited", F.lit(True))
-    r = rows.join(cited, evidence_key, "left")
     against = has("anti_demand")
     pro = ~against & (any_of((*CLAIM_INTENTS, "solution_aware")) | F.coalesce("cited", F.lit(False)))
-    ids = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("ord", evidence_key)))), lambda s: s[evidence_key])
-    ev = r.groupBy(key).agg(
-        ids(pro).alias("evidence_for"), ids(against).alias("evidence_against"), F.bool_or(t.is_high_intent(F.col("intent_labels")) | has("comparison")).alias("reachable"), F.bool_or(has("workaround")).alias("worked_around")
-    )
+    return rows.join(cited, evidence_key, "left").withColumn("for_it", pro).withColumn("against_it", against).drop("cited")
+
+
+def evidence_links(rows: DataFrame, claims: DataFrame, key: str, evidence_key: str = "id") -> DataFrame:
+    """(key, side, place, evidence_id): the evidence of each hypothesis as rows, that for it before that against it, in order."""
+    held = stance(rows, claims, evidence_key).filter("for_it OR against_it")
+    side = F.when(F.col("for_it"), "for").otherwise("against")
+    return held.select(key, side.alias("side"), F.col("ord").alias("place"), F.col(evidence_key).alias("evidence_id"))
+
+
+def numbered_links(links: DataFrame, key: str, buckets: int = 256) -> DataFrame:
+    """`links` with place from 1 on within each key, evidence for it first: counts of buckets of the order, then places inside each bucket.
+
+    Buckets are ranges of the order column between its extremes, so no task sorts a whole key.
+    """
+    span = links.agg(F.min("place").alias("low"), F.max("place").alias("high")).first()
+    low, width = span["low"] or 0, max(1, ((span["high"] or 0) - (span["low"] or 0)) // buckets + 1)
+    order = (F.col("side") == "against").cast("long") * (buckets + 1) + F.floor((F.col("place") - low) / width)
+    held = links.withColumn("bucket", order)
+    counts = held.groupBy(key, "bucket").agg(F.count("*").alias("n"))
+    before = counts.select(key, "bucket", (F.sum("n").over(Window.partitionBy(key).orderBy("bucket")) - F.col("n")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy(key, "bucket").orderBy("place", "evidence_id"))
+    return held.withColumn("inside", inside).join(before, [key, "bucket"]).withColumn("place", F.col("before") + F.col("inside")).drop("bucket", "before", "inside")
+
+
+def hypotheses(rows: DataFrame, claims: DataFrame, key: str, rights_clear: DataFrame, evidence_key: str = "id") -> DataFrame:
+    """One hypothesis a key: the modes of its claims, how much evidence is for and against it, channel, form and compliance.
+
+    Which evidence that is stays in rows (evidence_links), since no key's evidence is bounded.
+    """
+    ev = stance(rows, claims, evidence_key).groupBy(key).agg(
+        F.count_if("for_it").alias("evidence_for"), F.count_if("against_it").alias("evidence_against"),
+        F.bool_or(t.is_high_intent(F.col("intent_labels")) | has("comparison")).alias("reachable"), F.bool_or(has("workaround")).alias("worked_around"),
+    )
     names = claims.select(key, F.explode("incumbents").alias("b")).filter("b <> ''").groupBy(key).agg(F.array_sort(F.collect_set("b")).alias("incumbents"))
     some = claims.groupBy(key).agg(F.lit(True).alias("claimed"))
     met = ev
-    for side in (*map(mode, ("persona", "job", "obstacle", "current_workaround")), names, some, rights_clear):
+    for side in (modes(claims, key, ["persona", "job", "obstacle", "current_workaround"], F.col("ord")), names, some, rights_clear):
         met = met.join(side, key, "left")
     service = F.col("worked_around") | F.coalesce("claimed", F.lit(False))
     return met.select(
@@ -109,7 +139,7 @@ def forms(hypotheses: DataFrame, spark: SparkSession) -> DataFrame:
 
 
 def dimensions() -> dict[str, Column]:
-    """The ten dimensions over features, hypothesis and form columns, each between 0 and 10."""
+    """The ten dimensions over features, hypothesis and form columns, each between 0 and 10 (formulas and constants: fixed values)."""
     n = lambda c: F.col(c).cast("double")
     yes = lambda c, points, other=0: F.when(F.coalesce(c, F.lit(False)), float(points)).otherwise(float(other))
     filled = lambda c: F.coalesce(F.length(c) > 0, F.lit(False))
@@ -146,7 +176,7 @@ def scored(rows: DataFrame, weights: dict[str, float] | None = None, reviewed: C
     reached = F.coalesce(*[F.when(F.col("total") >= floor, F.lit(name)) for name, floor in BANDS], F.lit("archive"))
     capped = F.when((F.size("failed_gates") > 0) & reached.isin("paid_validation", "interview"), "collect_more").otherwise(reached)
     waits = (capped == "paid_validation") & ~reviewed
-    return out.withColumn("score_total", F.round("total", 1)).withColumn("awaiting_review", waits).withColumn("band", F.when(waits, "interview").otherwise(capped))
+    return out.withColumn("score_total", t.py_round("total", 1)).withColumn("awaiting_review", waits).withColumn("band", F.when(waits, "interview").otherwise(capped))
 
 
 def top_ideas(ideas: DataFrame, key: str, k: int = 3) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import RedisplayError
+
 NGRAM = 7
 
 
@@ -40,22 +42,60 @@ def missing(references: DataFrame, rows: DataFrame) -> DataFrame:
     return references.select("id").distinct().join(rows.select("id"), "id", "left_anti")
 
 
+def words_of(text: Column) -> Column:
+    """Lower-cased words between white space."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
+
+
 def word_grams(texts: DataFrame, key: str, text: Column, n: int = NGRAM) -> DataFrame:
-    """(key, pos, gram): hashes of n words in a row and their words, case ignored."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
-    held = texts.select(key, words.alias("words"))
-    grams = F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: F.array_join(F.slice("words", i, n), " "))
-    return held.filter(F.size("words") >= n).select(key, F.posexplode(grams).alias("pos", "gram"))
+    """(key, pos, gram): n words in a row from each position (from 1), case ignored, as a pair of 64-bit hashes that stands for them."""
+    held = texts.select(key, words_of(text).alias("words")).filter(F.size("words") >= n)
+
+    def gram(i: Column) -> Column:
+        part = F.slice("words", i, n)
+        return F.struct(F.xxhash64(part).alias("a"), F.xxhash64(F.lit(n), part).alias("b"))
+
+    return held.select(key, F.posexplode(F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), gram)).alias("pos", "gram")).withColumn("pos", F.col("pos") + 1)
 
 
 def shared_runs(artifacts: DataFrame, sources: DataFrame, a: str, b: str, n: int = NGRAM) -> DataFrame:
-    """Pairs that share n words in a row: (a, b, longest, span).
+    """Pairs that share n words in a row: (a, b, longest, at), the length of the longest shared stretch and where in `a` the first one begins.
 
-    Grams meet in an equi-join; runs of consecutive positions on one diagonal give the longest shared stretch.  Grams of
-    the artifact side that do not occur on the other never enter the window.
+    Grams meet in an equi-join of hashes, after those of the first side that the other lacks are dropped; runs of
+    consecutive positions on one diagonal give the longest shared stretch.
     """
-    met = artifacts.select(a, F.col("pos").alias("pa"), "gram").join(sources.select(b, F.col("pos").alias("pb"), "gram"), "gram")
+    known = sources.select("gram").distinct()
+    held = artifacts.join(known, "gram", "left_semi")
+    met = held.select(a, F.col("pos").alias("pa"), "gram").join(sources.select(b, F.col("pos").alias("pb"), "gram"), "gram")
     diagonal = met.withColumn("d", F.col("pa") - F.col("pb"))
     run = F.col("pa") - F.row_number().over(Window.partitionBy(a, b, "d").orderBy("pa"))
-    runs = diagonal.withColumn("run", run).groupBy(a, b, "d", "run").agg((F.count("*") + n - 1).alias("longest"), F.min("pa").alias("at"), F.min_by("gram", "pa").alias("gram"))
-    return runs.groupBy(a, b).agg(F.max("longest").alias("longest"), F.min_by("gram", "at").alias("span"))
+    runs = diagonal.withColumn("run", run).groupBy(a, b, "d", "run").agg((F.count("*") + n - 1).alias("longest"), F.min("pa").alias("at"))
+    return runs.groupBy(a, b).agg(F.max("longest").alias("longest"), F.min("at").alias("at"))
+
+
+def with_span(runs: DataFrame, texts: DataFrame, a: str, text: Column, n: int = NGRAM) -> DataFrame:
+    """`runs` with the first n words that each pair shares."""
+    words = texts.select(F.col(a).alias("__a"), words_of(text).alias("__words"))
+    return runs.join(words, F.col(a) == F.col("__a")).withColumn("span", F.array_join(F.slice("__words", F.col("at"), n), " ")).drop("__a", "__words")
+
+
+def redisplayed(artifacts: DataFrame, rows: DataFrame, fields: list[str], n: int = NGRAM) -> DataFrame:
+    """(artifact, evidence_id, field, span): stretches of n words of `rows` (id, fields) that `artifacts` (artifact, text) show."""
+    shown = word_grams(artifacts, "artifact", F.col("text"), n)
+    each = [word_grams(rows, "id", F.col(f), n).withColumn("field", F.lit(f)) for f in fields]
+    held = each[0]
+    for other in each[1:]:
+        held = held.unionByName(other)
+    met = shown.select("artifact", "pos", "gram").join(held.select(F.col("id").alias("evidence_id"), "field", "gram").distinct(), "gram")
+    first = met.groupBy("artifact", "evidence_id", "field").agg(F.min("pos").alias("at"))
+    return with_span(first, artifacts, "artifact", F.col("text"), n).drop("at")
+
+
+def assert_not_redisplayed(artifacts: DataFrame, rows: DataFrame, fields: list[str], cited: DataFrame | None = None, n: int = NGRAM) -> None:
+    """Raises on the first violation; fails closed where a cited id (id) has no row to be held against."""
+    lost = missing(cited, rows).orderBy("id").first() if cited is not None else None
+    if lost:
+        raise RedisplayError(f"cited row {lost['id']} is not there")
+    first = redisplayed(artifacts, rows, fields, n).orderBy("artifact", "evidence_id", "field").first()
+    if first:
+        raise RedisplayError(f"{first['artifact']} shows {first['evidence_id']}.{first['field']}: {first['span']!r}")

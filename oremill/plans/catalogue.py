@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evidence_queries, operation_queries
+from . import evidence_queries, operation_queries, run_queries
 
-QUERIES: dict = {**evidence_queries.QUERIES, **operation_queries.QUERIES}
-ORACLES: dict = {**evidence_queries.ORACLES, **operation_queries.ORACLES}
+QUERIES: dict = {**evidence_queries.QUERIES, **operation_queries.QUERIES, **run_queries.QUERIES}
+ORACLES: dict = {**evidence_queries.ORACLES, **operation_queries.ORACLES, **run_queries.ORACLES}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..functions.pricing import parse_prices, price_band
+from ..functions.pricing import parse_prices, price_band, priced_amounts
 from ..functions.vocabulary import BANDS, FAST_FORMS, FORMS, HIGH_INTENT, STOP_WORDS, TRACKING, WEIGHTS
 from ..operators import cluster, dedupe, ideas, policy, reports
 from ..sources import views as v
@@ -25,14 +25,15 @@ def query(name, sql=None):
     return keep
 
 
-def deduped(spark, sf):
-    return dedupe.duplicates(v.hashed(v.evidence(spark, sf)))
+def deduped(spark, sf, labels=False):
+    return dedupe.duplicates(v.Stored(spark, sf, "dedupe", hashes=True, labels=labels).evidence)
 
 
 @query("q01_intent_share", f"""WITH {DUPES}, x AS (SELECT unnest({labels("title || ' ' || snippet")}) AS intent FROM dd WHERE is_duplicate_of IS NULL)
 SELECT intent, count(*) AS n, count(*) / CAST((SELECT count(*) FROM dd WHERE is_duplicate_of IS NULL) AS DOUBLE) AS share FROM x GROUP BY intent""")
 def intent_share(spark, sf):
-    return reports.intent_share(v.labelled(dedupe.originals(deduped(spark, sf))))
+    originals = dedupe.originals(deduped(spark, sf, labels=True)).select("id", "intent_labels")
+    return reports.intent_share(Scratch(spark, "intent_share").put(originals))
 
 
 @query("q02_canonical_domain", f"""
@@ -53,7 +54,7 @@ def content_hash(spark, sf):
 
 @query("q04_exact_dedupe", f"WITH {DUPES} SELECT id, exact_of FROM dd")
 def exact_dedupe(spark, sf):
-    return dedupe.first_of(v.hashed(v.evidence(spark, sf)), F.col("content_hash"), F.col("ord"), "exact_of").select("id", "exact_of")
+    return dedupe.first_of(v.Stored(spark, sf, "exact", hashes=True, labels=False).evidence.select("id", "ord", "content_hash"), F.col("content_hash"), F.col("ord"), "exact_of").select("id", "exact_of")
 
 
 @query("q05_near_dedupe", f"WITH {DUPES} SELECT dedupe_stage AS stage, id AS duplicate, is_duplicate_of AS original FROM dd WHERE is_duplicate_of IS NOT NULL")
@@ -96,7 +97,7 @@ i AS (SELECT source, value, row_number() OVER (PARTITION BY source ORDER BY n DE
   FROM (SELECT source, ord, unnest(intent_labels) AS value, unnest(range(len(intent_labels))) AS pos FROM lb) GROUP BY source, value))
 SELECT s.source, (SELECT string_agg(value, ' ' ORDER BY k) FROM r WHERE r.source = s.source AND k <= 3) || ' [' || (SELECT value FROM i WHERE i.source = s.source AND k = 1) || ']' AS label FROM (SELECT DISTINCT source FROM lb) s""")
 def cluster_label(spark, sf):
-    return cluster.labels(v.labelled(v.evidence(spark, sf)), "source")
+    return cluster.labels(v.Stored(spark, sf, "labels").evidence, "source")
 
 
 SENTENCES = "list_filter(list_transform(string_split(regexp_replace(regexp_replace({x}, '([.!?])[\\s\\x0b]+', '\\1' || chr(10), 'g'), '\\n+', chr(10), 'g'), chr(10)), lambda s: regexp_replace(s, '^[\\s\\x0b]+|[\\s\\x0b]+$', '', 'g')), lambda s: length(s) >= 12)[1:12]"
@@ -130,19 +131,18 @@ a AS (SELECT vertical, CASE WHEN price_signal LIKE '%year' THEN round(x / 12, 2)
   quantile_cont(m, 0.25) AS p25, quantile_cont(m, 0.5) AS median_monthly, quantile_cont(m, 0.75) AS p75 FROM a WHERE m <= 2500 AND m > 0 GROUP BY vertical)"""
 
 
-def band_of(spark, sf):
-    prices = v.claims(spark, sf).select("vertical", F.explode(parse_prices("price_signal")).alias("p"))
-    return price_band(prices, ["vertical"], F.col("p.amount_monthly"))
+def band_of(claims):
+    return price_band(priced_amounts(claims, ["vertical"], "price_signal"), ["vertical"])
 
 
 @query("q14_price_band", f"WITH {BAND} SELECT vertical, n, free_tier_count, round(p25, 6) AS p25, round(median_monthly, 6) AS median_monthly, round(p75, 6) AS p75 FROM band")
 def band(spark, sf):
-    return band_of(spark, sf).select("vertical", "n", "free_tier_count", *[F.round(c, 6).alias(c) for c in ("p25", "median_monthly", "p75")])
+    return band_of(v.claims(spark, sf)).select("vertical", "n", "free_tier_count", *[F.round(c, 6).alias(c) for c in ("p25", "median_monthly", "p75")])
 
 
 @query("q15_price_signal_count", f"WITH {LABELLED} SELECT vertical, count(*) FILTER (WHERE priced) AS priced FROM lb GROUP BY vertical")
 def price_signal_count(spark, sf):
-    return v.evidence(spark, sf).groupBy("vertical").agg(F.count_if(t.has_price_signal(F.concat_ws(" ", "title", "snippet"))).alias("priced"))
+    return v.labelled(v.evidence(spark, sf)).groupBy("vertical").agg(F.count_if("priced").alias("priced"))
 
 
 SHARE = "round(avg(CASE WHEN {c} THEN 1.0 ELSE 0.0 END), 4)"
@@ -155,13 +155,13 @@ fc AS (SELECT vertical, count(price_signal) AS cp, count(DISTINCT brand) AS incu
 feat AS (SELECT fe.* EXCLUDE (rp), rp + coalesce(cp, 0) AS explicit_price_signal_count, coalesce(incumbent_count, 0) AS incumbent_count, coalesce(max_claim_urgency, 0) AS max_claim_urgency, coalesce(claim_count, 0) AS claim_count FROM fe LEFT JOIN fc USING (vertical))"""
 
 
-def features_of(spark, sf):
-    return ideas.features(v.labelled(v.evidence(spark, sf)), v.claims(spark, sf), "vertical")
+def features_of(held):
+    return ideas.features(held.evidence, held.claims, "vertical")
 
 
 @query("q16_features", f"WITH {FEATURE_SQL} SELECT * FROM feat")
 def features(spark, sf):
-    return features_of(spark, sf)
+    return features_of(v.Stored(spark, sf, "features"))
 
 
 @query("q17_modes", f"""WITH {CLAIMS}, m AS (SELECT vertical, persona AS value, count(*) AS n, row_number() OVER (PARTITION BY vertical ORDER BY count(*) DESC, min(ord), persona) AS place FROM claims WHERE persona <> '' GROUP BY vertical, persona)
@@ -187,14 +187,20 @@ hyp AS (SELECT vertical, persona AS buyer, job, obstacle AS pain, current_workar
   FROM he LEFT JOIN m_persona USING (vertical) LEFT JOIN m_job USING (vertical) LEFT JOIN m_obstacle USING (vertical) LEFT JOIN m_current_workaround USING (vertical) LEFT JOIN hb USING (vertical) LEFT JOIN clear USING (vertical))"""
 
 
-def hypotheses_of(spark, sf):
-    rows = v.labelled(v.evidence(spark, sf))
-    return ideas.hypotheses(rows, v.claims(spark, sf), "vertical", policy.rights_clear(rows, v.policies(spark), "vertical"))
+def hypotheses_of(held):
+    return ideas.hypotheses(held.evidence, held.claims, "vertical", policy.rights_clear(held.evidence, v.policies(held.spark), "vertical"))
 
 
-@query("q18_hypothesis", f"WITH {HYP_SQL} SELECT * REPLACE (array_to_string(evidence_for, ',') AS evidence_for, array_to_string(evidence_against, ',') AS evidence_against) FROM hyp")
+@query("q18_hypothesis", f"WITH {HYP_SQL} SELECT * REPLACE (len(evidence_for) AS evidence_for, len(evidence_against) AS evidence_against) FROM hyp")
 def hypothesis(spark, sf):
-    return hypotheses_of(spark, sf).withColumns({c: F.array_join(c, ",") for c in ("evidence_for", "evidence_against")})
+    return hypotheses_of(v.Stored(spark, sf, "hypothesis"))
+
+
+@query("q59_evidence_links", f"""WITH {HYP_SQL}, links AS (SELECT vertical, 'for' AS side, unnest(evidence_for) AS evidence_id FROM hyp UNION ALL SELECT vertical, 'against', unnest(evidence_against) FROM hyp)
+SELECT links.vertical, side, ord AS place, evidence_id FROM links JOIN ev ON ev.id = links.evidence_id""")
+def evidence_links(spark, sf):
+    held = v.Stored(spark, sf, "evidence_links")
+    return ideas.evidence_links(held.evidence, held.claims, "vertical")
 
 
 FORMS_SQL = "forms(form_ord, form, pitch, idea_pricing, smallest_paid_test, mvp_sketch) AS (VALUES " + ", ".join("(" + ", ".join([str(i), *map(quoted, f)]) + ")" for i, f in enumerate(FORMS)) + ")"
@@ -204,7 +210,7 @@ IDEA_SQL = f"""{HYP_SQL}, {FORMS_SQL}, idea AS (SELECT hyp.*, form_ord, form, re
 
 @query("q19_forms", f"WITH {IDEA_SQL} SELECT vertical, form, pitch, idea_pricing, smallest_paid_test, mvp_sketch FROM idea")
 def forms(spark, sf):
-    return ideas.forms(hypotheses_of(spark, sf), spark).select("vertical", "form", "pitch", "idea_pricing", "smallest_paid_test", "mvp_sketch")
+    return ideas.forms(hypotheses_of(v.Stored(spark, sf, "forms")), spark).select("vertical", "form", "pitch", "idea_pricing", "smallest_paid_test", "mvp_sketch")
 
 
 DIMS = {
@@ -224,24 +230,26 @@ scored AS (SELECT *, CASE WHEN len(failed) > 0 AND reached IN ('paid_validation'
   round(total, 1) AS score_total FROM bnd)"""
 
 
-def scored_of(spark, sf):
-    return ideas.scored(ideas.forms(hypotheses_of(spark, sf), spark).join(features_of(spark, sf), "vertical"))
+def scored_of(held):
+    """Scored ideas, stored: one row for each of a hypothesis's six forms."""
+    return held.scratch.put(ideas.scored(ideas.forms(hypotheses_of(held), held.spark).join(features_of(held), "vertical")))
 
 
 @query("q20_scores", f"WITH {SCORE_SQL} SELECT vertical, form, {', '.join(f'round({d}, 6) AS {d}' for d in DIMS)}, round(total, 6) AS total, array_to_string(failed, ',') AS failed_gates FROM scored")
 def scores(spark, sf):
-    return scored_of(spark, sf).select("vertical", "form", *[F.round(d, 6).alias(d) for d in ideas.dimensions()], F.round("total", 6).alias("total"), F.array_join("failed_gates", ",").alias("failed_gates"))
+    return scored_of(v.Stored(spark, sf, "scores")).select("vertical", "form", *[F.round(d, 6).alias(d) for d in ideas.dimensions()], F.round("total", 6).alias("total"), F.array_join("failed_gates", ",").alias("failed_gates"))
 
 
 @query("q21_bands", f"WITH {SCORE_SQL} SELECT vertical, form, score_total, band, awaiting_review FROM scored")
 def bands(spark, sf):
-    return scored_of(spark, sf).select("vertical", "form", "score_total", "band", "awaiting_review")
+    return scored_of(v.Stored(spark, sf, "bands")).select("vertical", "form", "score_total", "band", "awaiting_review")
 
 
 @query("q22_top3_ideas", f"""WITH {SCORE_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY vertical ORDER BY total DESC, form_ord) AS place FROM scored), {BAND.replace(CLAIMS + ', ', '')}
 SELECT vertical, CAST(place AS INT) AS place, form, pitch, score_total, band, CAST(floor(median_monthly + 0.5) AS INT) AS price_monthly, round(floor(median_monthly + 0.5) * 0.85 * 6, 2) AS cac_ceiling FROM r LEFT JOIN band USING (vertical) WHERE place <= 3""")
 def top3_ideas(spark, sf):
-    spec = ideas.experiment_spec(ideas.top_ideas(scored_of(spark, sf), "vertical").join(band_of(spark, sf), "vertical", "left"))
+    held = v.Stored(spark, sf, "top_ideas")
+    spec = ideas.experiment_spec(ideas.top_ideas(scored_of(held), "vertical").join(band_of(held.claims), "vertical", "left"))
     return spec.select("vertical", "place", "form", "pitch", "score_total", "band", F.col("economics_guardrail.price_monthly").cast("int").alias("price_monthly"), F.col("economics_guardrail.cac_ceiling").alias("cac_ceiling"))
 
 
@@ -257,18 +265,19 @@ def competitor_map(spark, sf):
 @query("q24_alternatives", f"""WITH {LABELLED}, {CLAIMS} SELECT vertical, (SELECT count(DISTINCT lower(trim(brand))) FROM claims c WHERE c.vertical = lb.vertical) AS direct,
   (SELECT count(current_workaround) FROM claims c WHERE c.vertical = lb.vertical) AS workarounds, count(*) FILTER (WHERE list_contains(intent_labels, 'anti_demand')) AS do_nothing FROM lb GROUP BY vertical""")
 def alternatives(spark, sf):
-    return reports.alternatives(v.claims(spark, sf), v.labelled(v.evidence(spark, sf)), "vertical")
+    held = v.Stored(spark, sf, "alternatives")
+    return reports.alternatives(held.claims, held.evidence, "vertical")
 
 
 @query("q27_review_queue", f"""WITH {SCORE_SQL}, f AS (SELECT vertical, list_sort(list_distinct(flatten(list(failed)))) AS g FROM scored GROUP BY vertical)
 SELECT vertical, any_value(array_to_string(g, ',')) AS missing_gates, max(score_total) AS best_score, count(*) AS ideas, bool_or(band = 'interview') AS awaiting FROM scored JOIN f USING (vertical) GROUP BY vertical""")
 def review_queue(spark, sf):
-    scored = scored_of(spark, sf)
-    return reports.review_queue(hypotheses_of(spark, sf), scored, "vertical").withColumn("missing_gates", F.array_join("missing_gates", ","))
+    scored = scored_of(v.Stored(spark, sf, "review_queue"))
+    return reports.review_queue(scored.select("vertical").distinct(), scored, "vertical").withColumn("missing_gates", F.array_join("missing_gates", ","))
 
 
 @query("q28_evidence_pack", f"""WITH {LABELLED}, {CLAIMS},
 c AS (SELECT vertical, 'claim' AS kind, row_number() OVER (PARTITION BY vertical ORDER BY urgency DESC, ord) AS place, evidence_id AS ref FROM claims), e AS (SELECT vertical, 'evidence' AS kind, row_number() OVER (PARTITION BY vertical ORDER BY ord) AS place, id AS ref FROM lb)
 SELECT vertical, kind, CAST(place AS INT) AS place, ref FROM c WHERE place <= 10 UNION ALL SELECT vertical, kind, CAST(place AS INT), ref FROM e WHERE place <= 8""")
 def evidence_pack(spark, sf):
-    return reports.evidence_pack(v.labelled(v.evidence(spark, sf)), v.claims(spark, sf), "vertical")
+    return reports.evidence_pack(v.evidence(spark, sf), v.claims(spark, sf), "vertical")

@@ -10,6 +10,7 @@ from ..functions.vocabulary import OUTCOME_KINDS, PAID_KINDS, PURPOSES, READY_OU
 from ..operators import experiments, ideas, lineage, policy, reports
 from ..sources import payloads
 from ..sources import views as v
+from ..sources.scratch import Scratch
 from ..streaming import daily
 from .common_sql import CLAIMS, EV, EXPERIMENTS, IDEAS, OUTCOMES, POLICY, sql_list
 
@@ -85,7 +86,10 @@ def gate_all(spark, sf):
     return policy.gate_all(rows, p, "language", "AGGREGATE").join(policy.rights_clear(rows, p, "language"), "language")
 
 
-@query("q34_policy_lint", """SELECT * FROM (VALUES ('google_ads', 'enabled without the right to collect'), ('reddit', 'external inference without authorisation')) x(source, problem)""")
+@query("q34_policy_lint", f"""WITH {POLICY}, f AS (SELECT * REPLACE (enabled OR source = 'google_ads' AS enabled, external_inference OR source = 'reddit' AS external_inference) FROM pol)
+SELECT source, 'enabled without the right to collect' AS problem FROM f WHERE enabled AND NOT collect_enabled UNION ALL SELECT source, 'raw payloads without a retention limit' FROM f WHERE store_raw AND retention_days IS NULL
+UNION ALL SELECT source, 'external inference without authorisation' FROM f WHERE external_inference AND NOT authorised UNION ALL SELECT '', 'the registry is empty' FROM (SELECT count(*) AS n FROM f) WHERE n = 0
+UNION ALL SELECT '', 'no source is enabled' FROM (SELECT count(*) FILTER (WHERE enabled) AS n FROM f) WHERE n = 0""")
 def policy_lint(spark, sf):
     """The registry with two faults put in."""
     p = v.policies(spark)
@@ -176,14 +180,15 @@ def grams(spark, sf):
 @query("q41_redisplay_7gram", f"WITH {GRAMS} SELECT doc_id, item_id, count(DISTINCT gram) AS shared FROM met GROUP BY doc_id, item_id")
 def redisplay(spark, sf):
     a, b = grams(spark, sf)
-    return a.join(b.drop("pos"), "gram").groupBy("doc_id", "item_id").agg(F.count_distinct("gram").alias("shared"))
+    each = lambda df, key: df.select(key, "gram").distinct()
+    return each(a, "doc_id").join(each(b, "item_id"), "gram").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
 
 
 @query("q42_longest_ngram", f"""WITH {GRAMS}, r AS (SELECT *, pa - row_number() OVER (PARTITION BY doc_id, item_id, pa - pb ORDER BY pa) AS run FROM met), n AS (SELECT doc_id, item_id, count(*) + 6 AS l FROM r GROUP BY doc_id, item_id, pa - pb, run)
 SELECT doc_id, item_id, max(l) AS longest, (SELECT arg_min(gram, pa) FROM met m WHERE m.doc_id = n.doc_id AND m.item_id = n.item_id) AS span FROM n GROUP BY doc_id, item_id""")
 def longest_ngram(spark, sf):
     a, b = grams(spark, sf)
-    return lineage.shared_runs(a, b, "doc_id", "item_id")
+    return lineage.with_span(lineage.shared_runs(a, b, "doc_id", "item_id"), v.table(spark, sf, "documents"), "doc_id", F.col("text")).drop("at")
 
 
 @query("q43_missing_lineage", f"WITH {CLAIMS}, {EV} SELECT DISTINCT evidence_id AS id FROM claims WHERE evidence_id NOT IN (SELECT id FROM ev WHERE lang <> 'de')")
@@ -252,8 +257,6 @@ def query_merge(spark, sf):
 @query("q49_outcome_export", f"WITH {OUTCOMES} SELECT id AS outcome_id, experiment_id, kind, value, strftime(observed_at, '%Y-%m-%dT%H:%M:%S') AS observed_at FROM outs")
 def outcome_export(spark, sf):
     """Written as CSV and read back."""
-    from ..sources.scratch import Scratch
-
     path = f"{Scratch(spark, 'outcome_export').root}/csv"
     payloads.export_outcomes(v.outcomes(spark, sf), path)
     return spark.read.schema("outcome_id string, experiment_id string, kind string, value string, observed_at string").option("header", True).option("escape", "\\").csv(path)
@@ -288,14 +291,11 @@ def rank_windows(spark, sf):
 @query("q54_stream_daily", "SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_daily(spark, sf):
     """The events table read as a stream until nothing is left."""
-    import uuid
-
-    from ..sources.scratch import Scratch
-
-    held = Scratch(spark, "stream_daily").put(v.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")))
-    name = f"daily_{uuid.uuid4().hex[:12]}"
-    daily.run_available(daily.daily_counts(spark.readStream.schema(held.schema).parquet(held.inputFiles()[0].rsplit("/", 1)[0]), "ts", "event_type"), name)
-    return spark.table(name).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    scratch = Scratch(spark, "stream_daily")
+    held = scratch.put(v.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    stream = spark.readStream.schema(held.schema).parquet(f"{scratch.root}/1")
+    found = daily.run_available(daily.daily_counts(stream, "ts", "event_type"), scratch, "daily")
+    return found.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 @query("q55_policy_snapshot", f"WITH {EV}, {POLICY} SELECT id, {', '.join(f'coalesce({n}, false) AS {n}' for n in RIGHT_NAMES)} FROM ev LEFT JOIN pol USING (source)")

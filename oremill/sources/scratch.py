@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 class Scratch:
-    """Tables of one run below spark.checkpoint.dir, or below a folder of our own where that is unset."""
+    """Tables of one run below spark.checkpoint.dir, or, where that is unset and all run in one process, below a folder of our own."""
 
     def __init__(self, spark: SparkSession, name: str):
         named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         self.spark = spark
         self.root = f"{(named or tempfile.mkdtemp(prefix='oremill-')).rstrip('/')}/oremill/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0

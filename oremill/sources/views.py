@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions.vocabulary import RIGHT_NAMES, RIGHTS
+from .scratch import Scratch
 
 VERTICALS = ("alpha", "beta", "gamma")
 SOURCES = tuple(RIGHTS)
@@ -52,7 +53,39 @@ def hashed(ev: DataFrame) -> DataFrame:
 
 
 def labelled(ev: DataFrame) -> DataFrame:
-    return ev.withColumn("intent_labels", t.intents(F.concat_ws(" ", "title", "snippet")))
+    """`ev` with intent_labels and priced; the folded text is a column of its own, so that it is made once a row."""
+    folds = ev.withColumn("__text", F.concat_ws(" ", "title", "snippet")).withColumn("__fold", t.folded(F.col("__text")))
+    text, fold = F.col("__text"), F.col("__fold")
+    return folds.withColumn("intent_labels", t.intents(text, fold)).withColumn("priced", t.has_price_signal(text, fold)).drop("__text", "__fold")
+
+
+def keyed(ev: DataFrame) -> DataFrame:
+    """`ev` with what duplicates are found by, without its text: content_hash and a hash of the near-duplicate key."""
+    return hashed(ev).withColumn("near_key_hash", t.key_hash(F.col("near_dup_key"))).drop("near_dup_key")
+
+
+class Stored:
+    """The evidence and claims of one run, written once without their texts, so that a query scans documents once."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, name: str, hashes: bool = False, labels: bool = True):
+        self.spark, self.sf_dir, self.scratch = spark, sf_dir, Scratch(spark, name)
+        self.hashes, self.labels = hashes, labels
+        self._evidence = self._claims = None
+
+    @property
+    def evidence(self) -> DataFrame:
+        if self._evidence is None:
+            rows = evidence(self.spark, self.sf_dir)
+            rows = keyed(rows) if self.hashes else rows
+            rows = labelled(rows) if self.labels else rows
+            self._evidence = self.scratch.put(rows.drop("snippet", "url"))
+        return self._evidence
+
+    @property
+    def claims(self) -> DataFrame:
+        if self._claims is None:
+            self._claims = self.scratch.put(claims(self.spark, self.sf_dir))
+        return self._claims
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,15 +4,19 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from oremill.errors import FitRefused, LabelDiversityError, LeakageError, RedisplayError
+from oremill.functions import text
 from oremill.functions.vocabulary import FEATURES, WEIGHTS
 from oremill.operators import cluster, dedupe, experiments, ideas, lineage, policy, reports
 from oremill.sources import payloads, views
+from oremill.sources.scratch import Scratch
 from oremill.streaming import daily
 
 
 def test_exact_and_near(spark):
     rows = [("ev1", 1, "h1", "alpha beta"), ("ev2", 2, "h1", "alpha beta"), ("ev3", 3, "h2", "alpha beta"), ("ev4", 4, "h3", "other thing"), ("ev5", 5, "h4", ""), ("ev6", 6, "h5", ""), ("ev7", 7, "h2", "alpha beta")]
-    got = {r.duplicate: (r.stage, r.original) for r in dedupe.pair_list(dedupe.duplicates(spark.createDataFrame(rows, "id string, ord int, content_hash string, near_dup_key string"))).collect()}
+    df = spark.createDataFrame(rows, "id string, ord int, content_hash string, near_dup_key string").withColumn("near_key_hash", text.key_hash(F.col("near_dup_key")))
+    got = {r.duplicate: (r.stage, r.original) for r in dedupe.pair_list(dedupe.duplicates(df)).collect()}
     assert got == {"ev2": ("exact", "ev1"), "ev3": ("near", "ev1"), "ev7": ("exact", "ev3")}
 
 
@@ -121,18 +125,21 @@ def test_experiments(spark):
     assert experiments.accepted(checked).count() == 0 and experiments.accepted(checked, True).count() == 1
 
 
-def test_fit(spark):
+def test_fit(spark, monkeypatch):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(300, 2))
     y = (x[:, 0] * 2 - x[:, 1] + rng.normal(size=300) > 0).astype(int)
     df = spark.createDataFrame([(float(a), float(b), 3.0, int(c)) for (a, b), c in zip(x, y)], "a double, b double, c double, label int")
     model = experiments.fit_logistic(df, ("a", "b", "c"))
     assert model["weights"]["a"] > 1 and model["weights"]["b"] < -0.5 and model["weights"]["c"] == 0
-    big = experiments.fit_logistic(df, ("a", "b", "c"), most_rows=10)
-    assert abs(big["weights"]["a"] - model["weights"]["a"]) < 0.05
+    monkeypatch.setattr(experiments, "BLOCK_ROWS", 50)
+    spread = experiments.fit_logistic(df, ("a", "b", "c"), rounds=40)
+    monkeypatch.setattr(experiments, "BLOCK_ROWS", 1000)
+    alone = experiments.fit_logistic(df, ("a", "b", "c"), rounds=40)
+    assert spread["rounds"] == alone["rounds"] and all(abs(spread["weights"][f] - alone["weights"][f]) < 1e-9 for f in "abc")
     p = df.select(experiments.predicted(df, model).alias("p"), "label").collect()
     assert sum((r.p > 0.5) == r.label for r in p) > 240
-    with pytest.raises(experiments.FitRefused):
+    with pytest.raises(LabelDiversityError):
         experiments.fit_logistic(df.filter("label = 1"), ("a", "b"))
 
 
@@ -143,5 +150,42 @@ def test_reports_and_stream(spark, tmp_path):
     rows = spark.createDataFrame([(1, "2024-01-01 00:00:00", "h"), (2, "2024-01-01 05:00:00", "h"), (3, "2024-01-02 00:00:00", "g")], "id int, ts string, content_hash string").withColumn("ts", F.to_timestamp("ts"))
     rows.write.parquet(str(tmp_path / "s"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "s"))
-    daily.run_available(daily.first_seen(stream, "ts"), "seen", "append")
-    assert spark.table("seen").count() == 2
+    assert daily.run_available(daily.first_seen(stream, "ts"), Scratch(spark, "t"), "seen", "append").count() == 2
+
+
+def test_stream_leaders_and_landing(spark, tmp_path):
+    rows = [("a", "2024-01-01 00:00:00", "x", [1.0, 0.0]), ("b", "2024-01-01 01:00:00", "x", [0.99, 0.02]), ("c", "2024-01-01 02:00:00", "x", [0.0, 1.0]), ("d", "2024-01-01 02:00:00", "y", [1.0, 0.0]), ("e", "2024-01-01 03:00:00", "y", None)]
+    df = spark.createDataFrame(rows, "id string, ts string, block string, embedding array<double>").withColumn("ts", F.to_timestamp("ts"))
+    df.coalesce(1).write.parquet(str(tmp_path / "v"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "v"))
+    got = daily.run_available(daily.leaders(stream, "ts", "block", 0.9), Scratch(spark, "t"), "leaders", "append")
+    assert {r.id: r.leader for r in got.collect()} == {"a": "a", "b": "a", "c": "c", "d": "d", "e": "e"}
+    events = spark.createDataFrame([("view", "a", "i", "2024-01-01 00:10:00"), ("view", "a", "i", "2024-01-01 00:20:00"), ("view", "z", "i", "2024-01-01 00:20:00"), ("dance", "a", "i", "2024-01-01 00:20:00")], "name string, variant string, idea_id string, at string")
+    events.withColumn("at", F.to_timestamp("at")).write.parquet(str(tmp_path / "e"))
+    stream = spark.readStream.schema(daily.LANDING_SCHEMA).parquet(str(tmp_path / "e"))
+    assert [r.n for r in daily.run_available(daily.landing_counts(stream), Scratch(spark, "t"), "landing").collect()] == [2]
+    old = spark.createDataFrame([("1", "searxng", "2001-01-01"), ("2", "searxng", "2999-01-01"), ("3", "nobody", "2001-01-01")], "id string, source string, at string")
+    assert sorted(r.id for r in daily.kept_until(old, "at", views.policies(spark)).collect()) == ["2", "3"]
+
+
+def test_redisplay_fails_closed(spark):
+    rows = spark.createDataFrame([("e1", "t", "one two three four five six seven eight")], "id string, title string, snippet string")
+    shown = lambda x: spark.createDataFrame([("page", x)], "artifact string, text string")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    lineage.assert_not_redisplayed(shown("ONE two three four five six"), rows, ["title", "snippet"], ids("e1"))
+    with pytest.raises(RedisplayError, match="page shows e1.snippet: 'two three four five six seven eight'"):
+        lineage.assert_not_redisplayed(shown("so: Two three four five six SEVEN eight"), rows, ["title", "snippet"])
+    with pytest.raises(RedisplayError, match="e2"):
+        lineage.assert_not_redisplayed(shown("own words"), rows, ["snippet"], ids("e1", "e2"))
+
+
+def test_calibration_refuses_leaks(spark):
+    snaps = spark.createDataFrame([("i",)], "idea_id string")
+    exps = spark.createDataFrame([("x", "i", 1, "kill")], "id string, idea_id string, created_at int, decision string")
+    outs = lambda value: spark.createDataFrame([("o", "x", "kill", value)], "id string, experiment_id string, kind string, value string")
+    assert experiments.calibration_dataset(snaps, exps, outs("{}")).first().outcomes == 1
+    with pytest.raises(LeakageError, match="outcome o"):
+        experiments.calibration_dataset(snaps, exps, outs('{"from": "ev_0012ab"}'))
+    assert experiments.parse_l2(None) == 0.01 and experiments.parse_l2("0") == 0
+    with pytest.raises(FitRefused):
+        experiments.parse_l2("-1")
