@@ -50,13 +50,40 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Parquet tables of one operator run, below the shared folder; `drop` removes one as soon as it has served."""
+    """Parquet tables of one operator run, below the shared folder; `drop` removes one as soon as it has served.
+
+    As a context it removes all of them if the run fails, and all but what `finish` wrote if it does not.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/oremill/{name}-{uuid.uuid4().hex[:12]}"
         self.tables: list[str] = []
 
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, kind, error, trace) -> None:
+        if kind is not None:
+            self.clear()
+
+    def clear(self, keep: str | None = None) -> None:
+        """Remove every table but `keep`."""
+        for table in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        self.tables = []
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for held in fs.listStatus(path) if fs.exists(path) else []:
+            if held.getPath().getName() != keep:
+                fs.delete(held.getPath(), True)
+
+    def finish(self, df: DataFrame) -> DataFrame:
+        """Write the result and remove everything that led to it."""
+        out = self.put("out", df)
+        self.clear("out")
+        return out
+
     def put(self, name: str, df: DataFrame) -> DataFrame:
         """Write `df` and read it back: a cut of the lineage that survives the loss of any executor."""
         path = f"{self.root}/{name}"

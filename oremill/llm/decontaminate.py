@@ -209,6 +209,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, scratch: Scratch, window: i
         if blocks > 1:
             held = scratch.put(f"block{b}", held)
             scratch.drop(f"block{b - 1}")
+    scratch.drop("pieces")
     return held.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
 
 

@@ -197,10 +197,8 @@ def exact_dedup(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8: every row of documents."""
-    scratch = Scratch(spark, "exact_dedup")
-    out = scratch.put("out", exact_dedup(load(spark, sf_dir, "documents"), scratch))
-    scratch.drop("slices", "rows", "groups")
-    return out
+    with Scratch(spark, "exact_dedup") as scratch:
+        return scratch.finish(exact_dedup(load(spark, sf_dir, "documents"), scratch))
 
 
 ORACLE = """

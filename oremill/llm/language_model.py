@@ -691,10 +691,8 @@ def score_documents(docs: DataFrame, scratch: Scratch, sweeps: int = SWEEPS, bur
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4: every document; rows of fold 2 of 7 are never learned from."""
-    scratch = Scratch(spark, "language_model")
-    out = scratch.put("out", score_documents(load(spark, sf_dir, "documents"), scratch))
-    scratch.drop("texts", "words", "base", "model", f"state{SWEEPS - 1}", "seats", "roots", *[f"root{k}" for k in range(SWEEPS)])
-    return out
+    with Scratch(spark, "language_model") as scratch:
+        return scratch.finish(score_documents(load(spark, sf_dir, "documents"), scratch))
 
 
 ORACLE = None  # sampled; the tests check counts and base scores exactly and the model's normalisation and held-out gain

@@ -116,8 +116,8 @@ def size_table(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: every document."""
-    scratch = Scratch(spark, "mixing")
-    return plan_mix(size_table(load(spark, sf_dir, "documents"), scratch), scratch).select("doc_id", "size", "source_size", "target", "taken")
+    with Scratch(spark, "mixing") as scratch:
+        return scratch.finish(plan_mix(size_table(load(spark, sf_dir, "documents"), scratch), scratch).select("doc_id", "size", "source_size", "target", "taken"))
 
 
 ORACLE = r"""

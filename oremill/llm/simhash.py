@@ -224,8 +224,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, shingle: int = SHINGLE, r
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: every document."""
-    found = near_duplicates(load(spark, sf_dir, "documents"), Scratch(spark, "simhash"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    with Scratch(spark, "simhash") as scratch:
+        found = near_duplicates(load(spark, sf_dir, "documents"), scratch)
+        return scratch.finish(found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
 ORACLE = None  # XXH64 is no SQL function; the tests compare with brute force

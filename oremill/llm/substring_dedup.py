@@ -238,11 +238,9 @@ def substring_dedup(docs: DataFrame, scratch: Scratch, window: int = WINDOW) ->
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: every document."""
-    scratch = Scratch(spark, "substring_dedup")
-    found = substring_dedup(load(spark, sf_dir, "documents"), scratch)
-    out = scratch.put("out", found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")))
-    scratch.drop("texts", *[f"answers{n}" for n in level_lengths(WINDOW)])
-    return out
+    with Scratch(spark, "substring_dedup") as scratch:
+        found = substring_dedup(load(spark, sf_dir, "documents"), scratch)
+        return scratch.finish(found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")))
 
 
 ORACLE = r"""

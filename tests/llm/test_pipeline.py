@@ -77,9 +77,32 @@ def test_toxic_stage_removes_what_labels_mark(spark):
 def test_repeated_and_null_rows(spark):
     rows = [(None, None, None, None, None), (1, "a b c", "en", "s", 5), (1, "a b c", "en", "s", 5), (1, "x y z w v", "en", "s", 9), (2, "", "en", None, 0), (3, "a b c d e f", None, "t", 11)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    none, clean = (None, None), "a b c d e f"
+    key = lambda r: tuple(map(str, r))
+    seen = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=key)
+    all_rows = sorted([none, (1, "a b c"), (1, "a b c"), (1, "x y z w v"), (2, ""), (3, clean)], key=key)
+    assert seen(p.drop_toxic(spark, docs, SF)) == all_rows
+    assert seen(p.drop_contaminated(spark, docs, SF)) == all_rows
+    # words alone are alike to no other text; the null and the empty text have one fingerprint
+    assert seen(p.drop_near_duplicates(spark, docs, SF)) == sorted([(1, "a b c"), (1, "x y z w v"), (2, ""), (3, clean)], key=key)
+    mixed = seen(p.mix_sources(spark, docs, SF))
+    size = lambda rows: sum(len((t or "").split()) for _, t in rows)
+    assert set(mixed) <= set(all_rows) and abs(size(mixed) - 1.5 * size(all_rows)) <= 6
+    tokens = p.write_tokens(spark, docs, SF).collect()
+    assert sorted((r.doc_id for r in tokens), key=str) == sorted([None, 1, 1, 1, 2, 3], key=str) and all(r.verified for r in tokens)
     for name, stage in p.STAGES:
-        docs = stage(spark, docs, SF)
-        docs.collect()
+        assert stage(spark, docs.limit(0), SF).collect() == []
+
+
+def test_run_leaves_its_result_and_the_store(spark):
+    import os
+
+    from oremill.llm.common import shared_dir
+
+    before = set(os.listdir(f"{shared_dir(spark)}/oremill"))
+    assert p.run(spark, SF).count() > 0
+    left = {n.rsplit("-", 1)[0]: os.listdir(f"{shared_dir(spark)}/oremill/{n}") for n in set(os.listdir(f"{shared_dir(spark)}/oremill")) - before}
+    assert {n for n, tables in left.items() if tables} == {"pipeline", "stage_tokens"}
 
 
 def test_one_row_a_component_where_ids_repeat_or_are_null(spark):
