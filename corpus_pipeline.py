@@ -1,7 +1,14 @@
 """A training-corpus pipeline: each stage applies one corpus operator to all that the stage before it kept.
 
-Every stage but the last returns the columns of documents.  Rows are told apart by doc_id and, where that repeats, by
-their text, so that a stage keeps or drops rows without moving texts more than once.
+Every stage but the last returns the columns of documents.  Rows are told apart by doc_id and, where that is null or
+repeats, by their other columns, so that a stage keeps or drops rows without moving texts more than once.
+
+Defined results, for every stage: null texts read as empty; a null doc_id is kept as null; rows that repeat are rows of
+their own, but for near duplicates, of which one stays; an empty table stays empty; columns beyond those of documents
+are left out.
+
+The near-duplicate stage links fingerprints as op7 does (three-word shingles, three bits), which its contract fixes:
+that finds texts that differ in few words of many, and leaves most pairs of a five-word similarity between 0.8 and 0.9.
 """
 
 from __future__ import annotations
@@ -15,20 +22,30 @@ from oremill.llm.common import Scratch, load
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+_held: list[Scratch] = []
+
+
+def _scratch(spark: SparkSession, name: str) -> Scratch:
+    """A stage's own tables, which `run` removes when the stage's result is written."""
+    _held.append(Scratch(spark, name))
+    return _held[-1]
+
+
 def _documents(df: DataFrame) -> DataFrame:
     return df.select(*[c for c in COLUMNS if c in df.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.5 stay; the model learns from labelled documents outside fold 0 of 5."""
+    """Documents that score below 0.5 stay, null and empty texts (score 0) among them; the model learns from labelled
+    documents outside fold 0 of 5, and without usable labels every document stays."""
     docs = _documents(docs)
-    model = toxicity.fit(docs, load(spark, sf_dir, "labels"), Scratch(spark, "stage_toxicity"), ~toxicity.fold(F.col("doc_id"), 5, 0))
+    model = toxicity.fit(docs, load(spark, sf_dir, "labels"), _scratch(spark, "stage_toxicity"), ~toxicity.fold(F.col("doc_id"), 5, 0))
     return toxicity.score(docs, model).filter("score < 0.5").drop("score", "offending")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates one row stays: of the smallest doc_id, nulls last, the one with the shortest text."""
-    docs, scratch = _documents(docs), Scratch(spark, "stage_simhash")
+    docs, scratch = _documents(docs), _scratch(spark, "stage_simhash")
     # a row is known by its doc_id and a hash of all its columns, nulls told apart; rows alike in both are equal
     row = F.xxhash64(*[x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))])
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
@@ -45,14 +62,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth of the words lies inside benchmark windows stay, those without words among them."""
     docs = _documents(docs)
-    found = decontaminate.decontaminate(docs, load(spark, sf_dir, "benchmark"), Scratch(spark, "stage_decontaminate"), keep_text=True)
+    found = decontaminate.decontaminate(docs, load(spark, sf_dir, "benchmark"), _scratch(spark, "stage_decontaminate"), keep_text=True)
     return _documents(found.filter(~F.col("contaminated")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document, 0 to 2, as the mix takes."""
-    docs, scratch = _documents(docs), Scratch(spark, "stage_mixing")
+    """As many copies of each document, 0 to 2, as the mix takes; documents without words stand in the queue like others."""
+    docs, scratch = _documents(docs), _scratch(spark, "stage_mixing")
     plan = mixing.plan_mix(mixing.size_table(docs, scratch), scratch)
     order = Window.partitionBy("doc_id", "source", "size").orderBy(F.col("copies").desc())
     plan = plan.select("doc_id", "source", "size", "copies").withColumn("place", F.row_number().over(order)).filter("copies > 0")
@@ -66,7 +84,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and verified, read back from the token store."""
+    """doc_id, start, n_tokens, ids_crc32 and verified, read back from the token store, which stays."""
     return token_store.store_and_read(_documents(docs), Scratch(spark, "stage_tokens"))
 
 
@@ -83,9 +101,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again."""
-    docs, scratch = load(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = scratch.put(f"{k}-{name}", stage(spark, docs, sf_dir))
-        if k:
-            scratch.drop(f"{k - 1}-{STAGES[k - 1][0]}")
+    docs = load(spark, sf_dir, "documents")
+    with Scratch(spark, "pipeline") as scratch:
+        for k, (name, stage) in enumerate(STAGES):
+            docs = scratch.put(f"{k}-{name}", stage(spark, docs, sf_dir))
+            while _held:
+                _held.pop().clear()
+            if k:
+                scratch.drop(f"{k - 1}-{STAGES[k - 1][0]}")
     return docs
