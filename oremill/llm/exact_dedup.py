@@ -184,7 +184,8 @@ def exact_dedup(docs: DataFrame, scratch: Scratch) -> DataFrame:
     lying = slices.filter(F.col("kind") == TEXTS).drop("kind")
     rows = scratch.put("rows", lying.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(_mark(owners), ROWS))
     suspects = rows.filter("norm IS NOT NULL")
-    found = verified(suspects, scratch).withColumnsRenamed({"print": "p", "sha": "s"})
+    # stored, so that either side of the join is a plain exchange, whose hot keys adaptive execution splits
+    found = scratch.put("named", verified(suspects, scratch).withColumnsRenamed({"print": "p", "sha": "s"}))
     # suspects meet their groups by digest; texts are looked at again only under a digest that has several
     same = (F.col("print") == F.col("p")) & (F.col("sha") == F.col("s"))
     several = found.filter("other IS NOT NULL")
