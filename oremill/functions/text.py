@@ -112,34 +112,43 @@ def matches(text: Column, pattern: str) -> Column:
 
 def folded(text: Column) -> Column:
     """Lower case, with every letter that matches an ASCII letter turned into it."""
-    return F.lower(F.translate(F.coalesce(text, F.lit("")), "".join(_FOLDS), "".join(_FOLDS.values())))
+    text = F.coalesce(text, F.lit(""))
+    odd = F.rlike(text, F.lit(f"[{''.join(_FOLDS)}]"))
+    return F.lower(F.when(odd, F.translate(text, "".join(_FOLDS), "".join(_FOLDS.values()))).otherwise(text))
 
 
-def anchors(pattern: str) -> list[str]:
-    """One string for each alternative of `pattern` that any match of it holds, lower-cased: its longest literal stretch."""
+def alternatives(pattern: str) -> list[tuple[str, str]]:
+    """The alternatives of `pattern`, lower-cased, each with a string that any match of it holds: its longest literal stretch."""
     found, depth, start = [], 0, 0
     for i, c in enumerate(pattern + "|"):
         depth += (c == "(") - (c == ")")
         if c == "|" and not depth:
-            part = re.sub(r"\([^()]*\)\??|\[[^\]]*\][*+?]?|\\[bBwWsSdD][*+?]?|\\?.[*?]|[.+]", "\0", pattern[start:i].replace("\\$", "$").replace("\\.", "\0"))
-            found.append(max(part.split("\0"), key=len).lower())
+            one = pattern[start:i]
+            part = re.sub(r"\([^()]*\)\??|\[[^\]]*\][*+?]?|\\[bBwWsSdD][*+?]?|\\?.[*?]|[.+]", "\0", one.replace("\\$", "$").replace("\\.", "\0"))
+            found.append((one, max(part.split("\0"), key=len).lower()))
             start = i + 1
     return found
 
 
-def may_match(fold: Column, pattern: str) -> Column:
-    """False only where `pattern` cannot occur in the text of this fold: plain substring search, far cheaper than the pattern."""
-    return functools.reduce(operator.or_, [F.contains(fold, F.lit(a)) for a in dict.fromkeys(anchors(pattern))])
+def literal_first(alternative: str) -> str:
+    """The same alternative with a word boundary before leading letters looked for behind them, so that a search is one for the letters."""
+    m = re.match(r"\\b([a-z ]+)(?![a-z ?*+])", alternative) or re.match(r"\\b([a-z ]+)(?=[a-z ][?*+])", alternative)
+    return f"{m[1]}(?<=\\b{m[1]}){alternative[m.end():]}" if m else alternative
+
 
+def found(fold: Column, pattern: str) -> Column:
+    """Whether `pattern` (lower case) occurs in a folded text.
 
-def found(text: Column, fold: Column, pattern: str) -> Column:
-    return may_match(fold, pattern) & matches(text, pattern)
+    An alternative is only tried on texts that hold its literal stretch, by plain substring search, which is far cheaper.
+    """
+    each = dict.fromkeys(alternatives(pattern))
+    return functools.reduce(operator.or_, [F.contains(fold, F.lit(a)) & F.rlike(fold, F.lit("(?U)" + literal_first(one))) for one, a in each])
 
 
 def intents(text: Column, fold: Column | None = None) -> Column:
     """All families whose pattern occurs, in their fixed order; `fold` is folded(text), where it is at hand as a column."""
     fold = folded(text) if fold is None else fold
-    return F.array_compact(F.array(*[F.when(found(text, fold, p), F.lit(name)) for name, p in INTENTS.items()]))
+    return F.array_compact(F.array(*[F.when(found(fold, p), F.lit(name)) for name, p in INTENTS.items()]))
 
 
 def is_high_intent(labels: Column) -> Column:
@@ -147,7 +156,7 @@ def is_high_intent(labels: Column) -> Column:
 
 
 def has_price_signal(text: Column, fold: Column | None = None) -> Column:
-    return found(text, folded(text) if fold is None else fold, PRICE_SIGNAL)
+    return found(folded(text) if fold is None else fold, PRICE_SIGNAL)
 
 
 def sentences(text: Column, least: int = 12, most: int = 12) -> Column:

@@ -64,6 +64,12 @@ def report(vertical: str, sections: dict[str, DataFrame], mode: str) -> str:
     return reports.markdown(f"Evidence report: {vertical}", sections) + f"\nVectors: {mode}\n"
 
 
+def pack_text(name: str, pack: DataFrame) -> str:
+    """A reviewer's pack (kind, place, ref, text) of one hypothesis, a section a kind."""
+    kinds = ("claim", "evidence", "idea", "feature", "awaiting")
+    return reports.markdown(name, {k: pack.filter(F.col("kind") == k).orderBy("place").select("place", "ref", "text") for k in kinds})
+
+
 # ---------------------------------------------------------------- landing pages
 def landing_content(hypotheses: DataFrame, experiments: DataFrame) -> DataFrame:
     """(idea_id, variant, headline, lead, price, call): two variants of what a page says.

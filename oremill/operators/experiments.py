@@ -88,8 +88,9 @@ def import_refusals(rows: DataFrame, experiments: DataFrame) -> DataFrame:
     known = experiments.select(F.col("id").alias("experiment_id"), F.col("status").alias("experiment_status"))
     met = rows.join(known, "experiment_id", "left")
     target = F.element_at(F.create_map(*[F.lit(x) for kv in DECISION_STATUS.items() for x in kv]), F.col("kind"))
+    malformed = F.col("malformed").isNotNull() if "malformed" in rows.columns else F.lit(False)
     refusal = (
-        F.when(F.col("experiment_id").isNull() | F.col("kind").isNull(), "wrong number of columns")
+        F.when(F.col("experiment_id").isNull() | F.col("kind").isNull() | malformed, "wrong number of columns")
         .when(~F.col("kind").isin(*OUTCOME_KINDS), "unknown kind")
         .when(parsed.isNull(), "value is not JSON")
         .when(~is_object, "value is not an object")

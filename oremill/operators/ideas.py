@@ -25,12 +25,20 @@ def segments(rows: DataFrame, text: Column) -> DataFrame:
     return rows.select("id", F.posexplode(t.sentences(text)).alias("ordinal", "segment"))
 
 
-def heuristic_claims(labelled: DataFrame) -> DataFrame:
-    """One claim for each row that states a problem, asks for a feature or works around something."""
+def obstacle() -> Column:
+    """What a row complains of: a title that asks, else the first sentence of its text, else its title."""
     title, snippet = F.coalesce("title", F.lit("")), F.coalesce("snippet", F.lit(""))
-    lifted = F.when(F.endswith(title, F.lit("?")), title).when(snippet != "", snippet).otherwise(title)
+    return t.compress(F.when(F.endswith(title, F.lit("?")), title).when(snippet != "", snippet).otherwise(title))
+
+
+def heuristic_claims(labelled: DataFrame) -> DataFrame:
+    """One claim for each row that states a problem, asks for a feature or works around something.
+
+    Rows that were stored without their texts have their obstacle as a column.
+    """
+    said = F.col("obstacle") if "obstacle" in labelled.columns else obstacle()
     return labelled.filter(any_of(CLAIM_INTENTS)).select(
-        F.col("id").alias("evidence_id"), F.col("ord"), F.when(has("workaround"), "workaround").otherwise("pain").alias("claim_type"), t.compress(lifted).alias("obstacle"),
+        F.col("id").alias("evidence_id"), F.col("ord"), F.when(has("workaround"), "workaround").otherwise("pain").alias("claim_type"), said.alias("obstacle"),
         F.lit("problem_aware").alias("commercial_intent"), F.lit(0.4).alias("urgency"), F.lit(0.3).alias("confidence"), F.lit(HEURISTIC).alias("model_version"),
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import NGram
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,13 +50,9 @@ def words_of(text: Column) -> Column:
 
 def word_grams(texts: DataFrame, key: str, text: Column, n: int = NGRAM) -> DataFrame:
     """(key, pos, gram): n words in a row from each position (from 1), case ignored, as a pair of 64-bit hashes that stands for them."""
-    held = texts.select(key, words_of(text).alias("words")).filter(F.size("words") >= n)
-
-    def gram(i: Column) -> Column:
-        part = F.slice("words", i, n)
-        return F.struct(F.xxhash64(part).alias("a"), F.xxhash64(F.lit(n), part).alias("b"))
-
-    return held.select(key, F.posexplode(F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), gram)).alias("pos", "gram")).withColumn("pos", F.col("pos") + 1)
+    held = texts.select(key, words_of(text).alias("words"))
+    grams = NGram(n=n, inputCol="words", outputCol="grams").transform(held).select(key, F.posexplode("grams").alias("pos", "words"))
+    return grams.select(key, (F.col("pos") + 1).alias("pos"), F.struct(F.xxhash64("words").alias("a"), F.xxhash64(F.lit(n), "words").alias("b")).alias("gram"))
 
 
 def shared_runs(artifacts: DataFrame, sources: DataFrame, a: str, b: str, n: int = NGRAM) -> DataFrame:

@@ -61,3 +61,8 @@ def sources(policy: DataFrame, enabled_only: bool = False) -> DataFrame:
 
 def query_grid(queries: DataFrame, spark: SparkSession, names: list[str]) -> DataFrame:
     return queries.join(F.broadcast(spark.createDataFrame([(n,) for n in names], "source string")))  # a few constant names
+
+
+def version(policy: DataFrame) -> int:
+    """The registry's version: 0 where it states none."""
+    return int((policy.agg(F.max("policy_version")).first()[0] if "policy_version" in policy.columns else 0) or 0)

@@ -69,7 +69,7 @@ def dedupe_summary(spark, sf):
 
 
 def vectors(spark, sf):
-    return v.table(spark, sf, "embeddings").select(F.col("vec_id").alias("ord"), "embedding", F.col("label").cast("string").alias("label"), F.lit("all").alias("block"))
+    return v.table(spark, sf, "embeddings").select(F.col("vec_id").alias("ord"), "embedding", F.col("label").cast("string").alias("label"), v.pick(v.VERTICALS, F.col("vec_id")).alias("block"))
 
 
 @query("q07_semantic_pairs", """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
@@ -116,7 +116,7 @@ f AS (SELECT id, intent_labels, trim(regexp_replace(CASE WHEN trim(regexp_extrac
 SELECT id AS evidence_id, CASE WHEN list_contains(intent_labels, 'workaround') THEN 'workaround' ELSE 'pain' END AS claim_type,
   CASE WHEN length(s) <= 100 THEN s ELSE regexp_replace(CASE WHEN contains(s[1:99], ' ') THEN regexp_replace(s[1:99], ' [^ ]*$', '') ELSE s[1:99] END, '[ \t,;:—-]+$', '') || '…' END AS obstacle FROM f""")
 def heuristic_claims(spark, sf):
-    return ideas.heuristic_claims(v.labelled(v.evidence(spark, sf))).select("evidence_id", "claim_type", "obstacle")
+    return ideas.heuristic_claims(v.Stored(spark, sf, "claims").evidence).select("evidence_id", "claim_type", "obstacle")
 
 
 @query("q13_price_parse", f"""WITH {CLAIMS}, p AS (SELECT ord, CAST(regexp_extract(price_signal, '\\$(\\d+)', 1) AS DOUBLE) AS v, price_signal FROM claims)
@@ -142,7 +142,8 @@ def band(spark, sf):
 
 @query("q15_price_signal_count", f"WITH {LABELLED} SELECT vertical, count(*) FILTER (WHERE priced) AS priced FROM lb GROUP BY vertical")
 def price_signal_count(spark, sf):
-    return v.labelled(v.evidence(spark, sf)).groupBy("vertical").agg(F.count_if("priced").alias("priced"))
+    rows = v.evidence(spark, sf).select("vertical", t.folded(F.concat_ws(" ", "title", "snippet")).alias("fold"))
+    return rows.groupBy("vertical").agg(F.count_if(t.has_price_signal(F.lit(None), F.col("fold"))).alias("priced"))
 
 
 SHARE = "round(avg(CASE WHEN {c} THEN 1.0 ELSE 0.0 END), 4)"

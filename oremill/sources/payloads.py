@@ -19,7 +19,7 @@ def records(payloads: DataFrame, limit: int = 10) -> DataFrame:
     """One row a result; the limit counts results before those without a URL are dropped."""
     each = payloads.select("query", "source", F.posexplode(F.slice("results", 1, limit)).alias("pos", "r")).filter(F.coalesce(F.col("r.url") != "", F.lit(False)))
     return each.select(
-        "query", "source", "pos", F.col("r.url").alias("url"), t.norm_text(F.col("r.title")).alias("title"), t.norm_text(F.col("r.content")).alias("snippet"),
+        "query", "source", "pos", F.col("r.url").alias("url"), t.html_text(F.col("r.title")).alias("title"), t.html_text(F.col("r.content")).alias("snippet"),
         F.array_join(F.coalesce("r.engines", F.array().cast("array<string>")), ", ").alias("engine"), F.col("r.score").alias("score"), F.col("r.publishedDate").alias("published_at"),
     )
 
@@ -39,7 +39,7 @@ def natural_id(prefix: str, *parts: Column) -> Column:
 
 def evidence_rows(found: DataFrame, policy: DataFrame, vertical: str, fetched_at: Column) -> DataFrame:
     allowed = rights.decisions(found.withColumn("purpose", F.lit("STORE_DERIVED")), policy).filter("allowed").drop("allowed", "reason", "purpose")
-    url = t.canonical_url(F.col("url"))
+    url = t.canonical_url_decoded(F.col("url"))  # collected URLs may hold percent escapes; the native form serves those that do not
     rows = allowed.withColumn("canonical_url", url).withColumn("domain", t.host_of(url)).withColumn("content_hash", t.content_hash(url, F.col("title"), F.col("snippet")))
     p = F.broadcast(policy.select(F.col("source").alias("p_source"), rights.snapshot(policy, F.col("source")).alias("rights_profile")))
     return (
@@ -90,4 +90,6 @@ def export_outcomes(outcomes: DataFrame, path: str) -> None:
 
 
 def import_outcomes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("experiment_id string, kind string, value string").option("header", True).option("escape", '"').csv(path)
+    """Rows of three columns; one with more or fewer is kept whole in `malformed`."""
+    shape = "experiment_id string, kind string, value string, malformed string"
+    return spark.read.schema(shape).option("header", True).option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "malformed").csv(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions.vocabulary import RIGHT_NAMES, RIGHTS
+from ..operators.ideas import obstacle
 from .scratch import Scratch
 
 VERTICALS = ("alpha", "beta", "gamma")
@@ -77,7 +78,7 @@ class Stored:
         if self._evidence is None:
             rows = evidence(self.spark, self.sf_dir)
             rows = keyed(rows) if self.hashes else rows
-            rows = labelled(rows) if self.labels else rows
+            rows = labelled(rows.withColumn("obstacle", obstacle())) if self.labels else rows
             self._evidence = self.scratch.put(rows.drop("snippet", "url"))
         return self._evidence
 

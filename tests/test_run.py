@@ -163,3 +163,12 @@ def test_report(spark):
     sections = artifacts.report_sections(frames["marked"], s.claims.filter("vertical = 'beta'"), frames["ideas"], F.col("fetched_at"))
     text = artifacts.report("beta", sections, "none")
     assert all(f"## {name}" in text for name in sections) and "Vectors: none" in text
+
+
+def test_outcome_files_with_odd_rows(spark, tmp_path):
+    from oremill.operators import experiments
+
+    (tmp_path / "o.csv").write_text('experiment_id,kind,value\nx,email_signup,{}\nx,email_signup\nx,email_signup,{},more\nx,email_signup,"{""a"": 1}"\n')
+    known = spark.createDataFrame([("x", "running")], "id string, status string")
+    rows = payloads.import_outcomes(spark, str(tmp_path / "o.csv"))
+    assert sorted(str(r.refusal) for r in experiments.import_refusals(rows, known).collect()) == ["None", "None", "wrong number of columns", "wrong number of columns"]
