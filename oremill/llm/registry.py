@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, language_model, mixing, simhash, substring_dedup, token_counts, token_store, toxicity
+from . import chat, decontaminate, exact_dedup, fill_in_middle, fingerprints, hard_negatives, language_model, mixing, simhash, substring_dedup, token_counts, token_store, toxicity
 
 _OPERATORS = {
     "op1_substring_dedup": substring_dedup,
@@ -15,6 +15,9 @@ _OPERATORS = {
     "op8_exact_dedup": exact_dedup,
     "op9_chat_formatting": chat,
     "op10_decontamination": decontaminate,
+    "op11_fingerprints": fingerprints,
+    "op12_hard_negatives": hard_negatives,
+    "op13_fill_in_middle": fill_in_middle,
 }
 
 QUERIES = {name: module.query for name, module in _OPERATORS.items()}
