@@ -8,6 +8,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +30,8 @@ class Context:
         self.policies = cfg.load_policies(spark, args.policies) if args.policies else views.policies(spark)
         self.verticals = cfg.load_verticals(args.verticals) if args.verticals else {}
         self.rubric = cfg.load_rubric(args.rubric) if args.rubric else cfg.Rubric()
-        self.now = F.lit(args.now).cast("timestamp") if args.now else F.current_timestamp()
+        # one time for all of a command's jobs
+        self.now = F.lit(args.now or datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp")
 
     def slugs(self) -> list[str]:
         return [v.slug for v in cfg.chosen(self.verticals, self.args.vertical, self.args.all)]
@@ -193,21 +195,36 @@ def landing(c: Context) -> None:
 
 
 def deletions(c: Context) -> None:
-    """Rows past their source's retention, and all that hangs on them, leave the store; one audit row a source."""
-    scratch = Scratch(c.spark, "purge")
-    gone = scratch.put(lineage.expired(c.store.scan("evidence_event"), c.policies, F.to_date(c.now)))
+    """Rows past their source's retention, or withdrawn by it (--notices), and all that hangs on them, leave the store."""
+    held = c.store.scan("evidence_event")
+    with Scratch(c.spark, "purge") as scratch:
+        if c.args.notices:
+            notices = c.spark.read.schema("source string, canonical_url string").option("header", True).csv(c.args.notices)
+            gone, reason = lineage.withdrawn(held, notices), "upstream"
+        else:
+            gone, reason = lineage.expired(held, c.policies, c.now), "retention"
+        show(purge(c.store, scratch.put(gone.select("id", "source")), reason, c.now, scratch))
+
+
+def purge(held: store.Store, gone: DataFrame, reason: str, now, scratch: Scratch) -> DataFrame:
+    """Delete rows (id, source) along their lineage: children go, links of duplicates are mended, an audit row a source is kept."""
     names = {"claims": "pain_claim", "segments": "text_segment", "memberships": "cluster_member"}
-    counts, left = lineage.delete(gone, {k: c.store.scan(t) for k, t in names.items()} | {"payloads": c.store.scan("raw_payload")})
-    audit = scratch.put(lineage.audit(gone, counts, "retention").withColumn("created_at", c.now))
-    for k, t in (names | {"payloads": "raw_payload"}).items():
-        c.store.replace(t, left[k])
+    counts, left = lineage.delete(gone, {k: held.scan(t) for k, t in names.items()} | {"payloads": held.scan("raw_payload")})
+    audit = lineage.audit(gone, counts, reason).withColumn("created_at", now)
+    named = scratch.put(audit.withColumn("id", payloads.natural_id("del", F.col("source"), F.lit(reason), now.cast("string"))))
     sizes = left["memberships"].groupBy(F.col("cluster_id").alias("id")).agg(F.count("*").alias("n"))
-    c.store.replace("cluster", scratch.put(c.store.scan("cluster").join(sizes, "id", "left").withColumn("member_count", F.coalesce("n", F.lit(0)))))
-    c.store.replace("evidence_event", c.store.scan("evidence_event").join(gone.select("id"), "id", "left_anti"))
-    named = audit.withColumn("id", payloads.natural_id("del", F.col("source"), c.now.cast("string")))
-    c.store.append("deletion_event", named)
-    c.store.append("deleted_evidence", gone.join(named.select("source", F.col("id").alias("deletion_id")), "source").select("deletion_id", F.col("id").alias("evidence_id")))
-    show(audit)
+    clusters = scratch.put(held.scan("cluster").join(sizes, "id", "left").withColumn("member_count", F.coalesce("n", F.lit(0))))
+    rows = held.scan("evidence_event")
+    links = rows.select("id", F.unix_micros("fetched_at").alias("ord"), "is_duplicate_of", "dedupe_stage")
+    mended = lineage.relinked(links, gone, scratch.put).drop("ord")
+    kept = scratch.put(rows.drop("is_duplicate_of", "dedupe_stage").join(mended, "id"))
+    for k, t in (names | {"payloads": "raw_payload"}).items():
+        held.replace(t, left[k])
+    held.replace("cluster", clusters)
+    held.replace("evidence_event", kept)
+    held.append("deletion_event", named)
+    held.append("deleted_evidence", gone.join(named.select("source", F.col("id").alias("deletion_id")), "source").select("deletion_id", F.col("id").alias("evidence_id")))
+    return named
 
 
 def competitors(c: Context) -> None:
@@ -265,7 +282,7 @@ def parser() -> argparse.ArgumentParser:
     command("ideas", idea_list, ("--vertical", text), ("--band", text))
     command("bootstrap", bootstrap, ("--id", {"required": True}))
     command("landing", landing, ("--id", {"required": True}))
-    command("deletions", deletions)
+    command("deletions", deletions, ("--notices", text))
     command("competitors", competitors, vertical=True)
     command("queries", queries, ("--answer", text), vertical=True)
     command("verticals", vertical_list)

@@ -12,9 +12,10 @@ NGRAM = 7
 
 
 def expired(rows: DataFrame, policy: DataFrame, now: Column) -> DataFrame:
-    """Rows older than their source's retention; sources without a limit keep theirs."""
+    """Rows older than their source's retention, to the time of day; sources without a limit keep theirs."""
     p = F.broadcast(policy.select(F.col("source").alias("p_source"), "retention_days").filter("retention_days IS NOT NULL"))
-    return rows.join(p, F.col("source") == F.col("p_source")).filter(F.col("fetched_at") < F.date_sub(now, F.col("retention_days"))).drop("p_source")
+    deadline = now.cast("timestamp") - F.make_dt_interval(F.col("retention_days"))
+    return rows.join(p, F.col("source") == F.col("p_source")).filter(F.col("fetched_at").cast("timestamp") < deadline).drop("p_source")
 
 
 def withdrawn(rows: DataFrame, notices: DataFrame) -> DataFrame:
@@ -38,6 +39,39 @@ def audit(gone: DataFrame, counts: DataFrame, reason: str, key: str = "evidence_
     return met.groupBy("source").agg(F.count("*").alias("deleted"), *sums).withColumn("reason", F.lit(reason))
 
 
+def relinked(rows: DataFrame, gone: DataFrame, keep) -> DataFrame:
+    """What is left of `rows` (id, ord, is_duplicate_of, dedupe_stage, ...) once `gone` (id) are deleted: no link leads to a deleted row.
+
+    A row whose original goes is linked to the nearest survivor further up; where all of them go, the first of the rows that
+    are left without one, by ord and id, becomes an original, and the others are linked to it.  Ways through deleted rows are
+    halved each round (pointer jumping), so a chain of n takes log2(n) rounds; `keep` writes a round's table.  Links that go
+    round in a ring, which no run writes, are refused.
+    """
+    dead = gone.select("id").distinct()
+    left = rows.join(dead, "id", "left_anti")
+    link = F.col("is_duplicate_of")
+    above = rows.join(dead, "id", "left_semi").select("id", link.alias("to"))
+    dead_to = dead.select(F.col("id").alias("to"), F.lit(True).alias("dead"))
+    first = above.join(dead_to, "to", "left")
+    # a way ends at a survivor (`over`), or at a deleted original (`over`, and `to` names that original as `root`)
+    way = keep(first.select("id", F.coalesce("to", "id").alias("to"), F.coalesce(~F.col("dead"), F.lit(True)).alias("over"), F.col("to").isNull().alias("root")))
+    before = None
+    while (open_ways := way.filter("NOT over").count()) and open_ways != before:
+        before = open_ways
+        step = way.select(F.col("id").alias("to"), F.col("to").alias("__to"), F.col("over").alias("__over"), F.col("root").alias("__root"))
+        further = way.filter("NOT over").join(step, "to").select("id", F.col("__to").alias("to"), F.col("__over").alias("over"), F.col("__root").alias("root"))
+        way = keep(way.filter("over").unionByName(further))
+    if open_ways:
+        raise ValueError("links of duplicates go round in a ring")
+    ends = way.select(F.col("id").alias("is_duplicate_of"), F.col("to").alias("__to"), F.col("root").alias("__root"))
+    met = left.join(ends, "is_duplicate_of", "left")
+    heirs = met.filter("__root").groupBy("__to").agg(F.min_by("id", F.struct("ord", "id")).alias("__heir"))
+    led = met.join(heirs, "__to", "left")
+    promoted = F.coalesce(F.col("__heir") == F.col("id"), F.lit(False))
+    new_link = F.when(promoted, F.lit(None)).otherwise(F.coalesce("__heir", "__to", "is_duplicate_of"))
+    return led.withColumns({"is_duplicate_of": new_link, "dedupe_stage": F.when(~promoted, F.col("dedupe_stage"))}).select(*rows.columns)
+
+
 def missing(references: DataFrame, rows: DataFrame) -> DataFrame:
     """Referenced ids (id) without a row: the guard fails closed on any."""
     return references.select("id").distinct().join(rows.select("id"), "id", "left_anti")

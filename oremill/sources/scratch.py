@@ -25,3 +25,14 @@ class Scratch:
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Remove every table of the run, once nothing reads them any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, kind, error, trace) -> None:
+        self.clear()
