@@ -17,7 +17,7 @@ from . import settings as cfg
 from .functions.vocabulary import FEATURES
 from .operators import artifacts, experiments, lineage, policy, reports, review
 from .plans import run
-from .sources import payloads, store, views
+from .sources import payload_source, payloads, store, views
 from .sources.scratch import Scratch
 
 
@@ -63,21 +63,31 @@ def policies(c: Context) -> None:
 
 
 def collect(c: Context) -> None:
-    """Replay payload files: gate them, log the runs, store the rows of each vertical's queries."""
-    raw = payloads.read_payloads(c.spark, c.args.payloads)
-    seeds = cfg.seed_queries(c.spark, [cfg.find_vertical(c.verticals, s) for s in c.slugs()])
-    new = seeds.withColumn("id", payloads.natural_id("q", F.col("vertical"), F.col("text"))).withColumn("created_at", c.now)
-    held = payloads.upsert(c.store.scan("query"), c.store.shaped("query", new), ["text", "vertical"])
-    c.store.replace("query", Scratch(c.spark, "queries").put(held))
-    raw = raw.join(c.store.scan("query").select(F.col("text").alias("query"), F.col("id").alias("query_id"), "vertical"), "query")
-    if c.args.source:
-        raw = raw.filter(F.col("source") == c.args.source)
-    runs = payloads.batches(raw, c.policies, c.args.limit or c.settings.results_per_query)
-    log = runs.join(c.store.scan("query").select(F.col("text").alias("query"), F.col("id").alias("query_id")), "query")
-    c.store.append("source_run", log.withColumn("id", payloads.natural_id("run", F.col("query_id"), F.col("source"), c.now.cast("string"))).withColumn("started_at", c.now).withColumn("finished_at", c.now))
-    for slug in c.slugs():
-        mine = raw.filter(F.col("vertical") == slug).drop("vertical")
-        found = payloads.evidence_rows(payloads.records(mine, c.args.limit or c.settings.results_per_query), c.policies, slug, c.now)
+    """Replay payload files: gate them, log the runs, store the rows of each vertical's queries.
+
+    --payloads names a folder of folders `source=NAME`, of which only those that may be collected are read, or files that
+    name their source in each line.
+    """
+    chosen = [cfg.find_vertical(c.verticals, s) for s in c.slugs()]
+    new = cfg.seed_queries(c.spark, chosen).withColumn("id", payloads.natural_id("q", F.col("vertical"), F.col("text"))).withColumn("created_at", c.now)
+    with Scratch(c.spark, "collect") as scratch:
+        c.store.replace("query", scratch.put(payloads.upsert(c.store.scan("query"), c.store.shaped("query", new), ["text", "vertical"])))
+        queries = c.store.scan("query", F.col("vertical").isin(*[v.slug for v in chosen])).select(F.col("text").alias("query"), F.col("id").alias("query_id"), "vertical")
+        names = payload_source.folders(c.spark, c.args.payloads)
+        if names:
+            raw = payload_source.read_gated(c.spark, c.args.payloads, c.policies)
+            wanted = [(v.slug, s) for v in chosen for s in v.sources or c.settings.sources or names]
+            requests = queries.join(F.broadcast(c.spark.createDataFrame(wanted, "vertical string, source string")), "vertical")  # a few names a vertical
+        else:
+            raw = payloads.read_payloads(c.spark, c.args.payloads)
+            sources = raw.select("query", "source").distinct()
+            requests, names = sources.join(queries, "query"), [r["source"] for r in raw.select("source").distinct().collect() if r["source"]]
+        if c.args.source:
+            requests = requests.filter(F.col("source") == c.args.source)
+        runs, found = payloads.collected(raw, requests, names, c.policies, c.args.limit or c.settings.results_per_query, c.now)
+        runs, found = scratch.put(runs), scratch.put(found)
+        held = c.store.scan("source_run").select("id")
+        c.store.append("source_run", runs.withColumnRenamed("source_run_id", "id").withColumn("started_at", c.now).withColumn("finished_at", c.now).join(held, "id", "left_anti"))
         c.store.append("evidence_event", found.join(c.store.scan("evidence_event").select("id"), "id", "left_anti"))
     show(reports.collection_summary(c.store.scan("source_run")))
 

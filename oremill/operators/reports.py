@@ -28,7 +28,11 @@ def collection_summary(runs: DataFrame) -> DataFrame:
 
 def velocity(rows: DataFrame, key: str, day: Column) -> DataFrame:
     """The last day's count against the mean of the earlier days that have rows; null for a single day."""
-    daily = rows.groupBy(key, day.alias("day")).agg(F.count("*").alias("n"))
+    return velocity_of(rows.groupBy(key, day.alias("day")).agg(F.count("*").alias("n")), key)
+
+
+def velocity_of(daily: DataFrame, key: str) -> DataFrame:
+    """`velocity` from counts (key, day, n)."""
     last = F.max("day").over(Window.partitionBy(key))
     marked = daily.withColumn("is_last", F.col("day") == last)
     sums = marked.groupBy(key).agg(F.max("day").alias("day"), F.sum(F.when(F.col("is_last"), F.col("n"))).alias("recent"), F.sum(F.when(~F.col("is_last"), F.col("n"))).alias("before"), F.count_if(~F.col("is_last")).alias("days"))

@@ -15,11 +15,19 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PAYLOAD).json(path)
 
 
+LINEAGE = ("query_id", "vertical", "source_run_id")
+
+
+def _lineage(rows: DataFrame) -> list[str]:
+    """Columns that say where a row comes from, where it has them."""
+    return [c for c in LINEAGE if c in rows.columns]
+
+
 def records(payloads: DataFrame, limit: int = 10) -> DataFrame:
     """One row a result; the limit counts results before those without a URL are dropped."""
-    each = payloads.select("query", "source", F.posexplode(F.slice("results", 1, limit)).alias("pos", "r")).filter(F.coalesce(F.col("r.url") != "", F.lit(False)))
+    each = payloads.select("query", "source", *_lineage(payloads), F.posexplode(F.slice("results", 1, limit)).alias("pos", "r")).filter(F.coalesce(F.col("r.url") != "", F.lit(False)))
     return each.select(
-        "query", "source", "pos", F.col("r.url").alias("url"), t.html_text(F.col("r.title")).alias("title"), t.html_text(F.col("r.content")).alias("snippet"),
+        "query", "source", *_lineage(payloads), "pos", F.col("r.url").alias("url"), t.html_text(F.col("r.title")).alias("title"), t.html_text(F.col("r.content")).alias("snippet"),
         F.array_join(F.coalesce("r.engines", F.array().cast("array<string>")), ", ").alias("engine"), F.col("r.score").alias("score"), F.col("r.publishedDate").alias("published_at"),
     )
 
@@ -29,7 +37,7 @@ def batches(payloads: DataFrame, policy: DataFrame, limit: int = 10) -> DataFram
     gate = rights.decisions(payloads.withColumn("purpose", F.lit("COLLECT")), policy)
     kept = F.size(F.filter(F.slice("results", 1, limit), lambda r: F.coalesce(r["url"] != "", F.lit(False))))
     status = F.when(~F.col("allowed"), "disabled").when(F.col("error").isNotNull(), "error").when(F.coalesce(kept, F.lit(0)) <= 0, "empty").otherwise("ok")
-    return gate.select("query", "source", status.alias("status"), F.when(~F.col("allowed"), F.col("reason")).otherwise(F.col("error")).alias("reason"), F.when(status == "ok", kept).otherwise(0).alias("record_count"))
+    return gate.select("query", "source", *_lineage(payloads), status.alias("status"), F.when(~F.col("allowed"), F.col("reason")).otherwise(F.col("error")).alias("reason"), F.when(status == "ok", kept).otherwise(0).alias("record_count"))
 
 
 def natural_id(prefix: str, *parts: Column) -> Column:
@@ -37,21 +45,40 @@ def natural_id(prefix: str, *parts: Column) -> Column:
     return F.concat(F.lit(f"{prefix}_"), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 12))
 
 
-def evidence_rows(found: DataFrame, policy: DataFrame, vertical: str, fetched_at: Column) -> DataFrame:
+def evidence_rows(found: DataFrame, policy: DataFrame, vertical: str | None, fetched_at: Column) -> DataFrame:
+    """Rows that the policy lets be stored, with what they are compared by, their rights and the policy's version."""
     allowed = rights.decisions(found.withColumn("purpose", F.lit("STORE_DERIVED")), policy).filter("allowed").drop("allowed", "reason", "purpose")
     url = t.canonical_url_decoded(F.col("url"))  # collected URLs may hold percent escapes; the native form serves those that do not
     rows = allowed.withColumn("canonical_url", url).withColumn("domain", t.host_of(url)).withColumn("content_hash", t.content_hash(url, F.col("title"), F.col("snippet")))
-    p = F.broadcast(policy.select(F.col("source").alias("p_source"), rights.snapshot(policy, F.col("source")).alias("rights_profile")))
+    version = (F.col("policy_version") if "policy_version" in policy.columns else F.lit(0)).alias("policy_version")
+    p = F.broadcast(policy.select(F.col("source").alias("p_source"), rights.snapshot(policy, F.col("source")).alias("rights_profile"), version))
     return (
-        rows.withColumn("near_dup_key", t.near_key(F.concat_ws(" ", "title", "snippet"))).withColumn("vertical", F.lit(vertical)).withColumn("fetched_at", fetched_at)
-        .withColumn("id", natural_id("ev", F.col("query"), F.col("source"), F.col("pos").cast("string"), F.col("content_hash")))
+        rows.withColumn("near_dup_key", t.near_key(F.concat_ws(" ", "title", "snippet"))).withColumn("vertical", F.lit(vertical) if vertical else F.col("vertical")).withColumn("fetched_at", fetched_at)
+        .withColumn("id", natural_id("ev", F.col("query_id" if "query_id" in found.columns else "query"), F.col("source"), F.col("pos").cast("string"), F.col("content_hash")))
         .join(p, F.col("source") == F.col("p_source")).drop("p_source")
     )
 
 
-def append(df: DataFrame, path: str, partition: str | None = None) -> None:
-    w = df.write.mode("append")
-    (w.partitionBy(partition) if partition else w).parquet(path)
+def collected(payloads: DataFrame, requests: DataFrame, adapters: list[str], policy: DataFrame, limit: int, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(runs, evidence rows) of `requests` (query, query_id, vertical, source) against payload rows (query, source, results, error).
+
+    A request to a source that may not be collected is a run that is disabled, one to a source without an adapter a run that
+    ended in an error, whatever payloads there are; neither gives rows, nor does a payload that failed or is empty.  Rows and
+    runs know their query and each other; a payload that repeats is one run.
+    """
+    asked = rights.decisions(requests.withColumn("purpose", F.lit("COLLECT")), policy).drop("purpose")
+    has = F.col("source").isin(*adapters) if adapters else F.lit(False)
+    run_id = lambda *parts: natural_id("run", F.col("query_id"), F.col("source"), now.cast("string"), *parts)
+    shape = ["source_run_id", "query_id", "vertical", "query", "source", "status", "reason", "record_count"]
+    denied = asked.filter(~F.col("allowed") | ~has).withColumns({
+        "status": F.when(~F.col("allowed"), "disabled").otherwise("error"), "reason": F.when(~F.col("allowed"), F.col("reason")).otherwise("no adapter registered"),
+        "record_count": F.lit(0), "source_run_id": run_id(),
+    })
+    mine = payloads.join(asked.filter(F.col("allowed") & has).drop("allowed", "reason"), ["query", "source"])
+    mine = mine.withColumn("source_run_id", run_id(F.to_json(F.struct("results", "error"))))
+    runs = denied.select(*shape).unionByName(batches(mine, policy, limit).select(*shape)).dropDuplicates(["source_run_id"])
+    good = F.col("error").isNull()  # of payloads that may be collected, those that failed are left out and empty ones have no rows
+    return runs, evidence_rows(records(mine.filter(good), limit), policy, None, now).dropDuplicates(["id"])
 
 
 def upsert(held: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
