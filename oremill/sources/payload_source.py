@@ -138,10 +138,14 @@ def may_collect(policy: DataFrame) -> list[str]:
 
 
 def read_gated(spark: SparkSession, path: str, policy: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Payload rows of the sources that the policy lets be collected."""
+    """Payload rows of the sources that the policy lets be collected.
+
+    Spark keeps what the last scan of a frame has pushed down for a scan that pushes nothing; a condition that always holds
+    makes each scan push its own.
+    """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PayloadSource)
-    return spark.read.format(NAME).option("allowed", json.dumps(may_collect(policy))).option("split_bytes", split_bytes).load(path)
+    return spark.read.format(NAME).option("allowed", json.dumps(may_collect(policy))).option("split_bytes", split_bytes).load(path).filter("source IS NOT NULL")
 
 
 def folders(spark: SparkSession, path: str) -> list[str]:

@@ -188,6 +188,10 @@ class _Retention(StatefulProcessor):
         self.ids = handle.getListState("ids", "id string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if key[1] < 0:  # never due
+            for _ in rows:
+                pass
+            return iter(())
         for pdf in rows:
             self.ids.appendList([(x,) for x in pdf["id"]])
         self.handle.registerTimer(int(key[1]) + 1)
@@ -223,6 +227,7 @@ def expiring(rows: DataFrame, at: str, policy: DataFrame, late: str = "2 days",
     p = F.broadcast(policy.select(F.col("source").alias("p_source"), "retention_days").filter("retention_days IS NOT NULL"))  # a row a source
     met = rows.withWatermark(at, late).join(p, F.col("source") == F.col("p_source"), "left")
     over: Column = F.unix_millis(F.col(at)) + F.col("retention_days").cast("long") * 86_400_000
-    due = (F.ceil(over / ms) * ms).cast("long")
-    held = met.filter("retention_days IS NOT NULL").select("id", "source", due.alias("due"), F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"))
+    # rows that are never due are not filtered here: a filter could move below the watermark, which they would not move on then
+    due = F.coalesce((F.ceil(over / ms) * ms).cast("long"), F.lit(-1).cast("long"))
+    held = met.select("id", "source", due.alias("due"), F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"))
     return held.groupBy("source", "due", "shard").transformWithStateInPandas(_Retention(), "id string, source string, due timestamp", "append", "eventTime")
