@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..operators import asof, partials, reports
 from ..sources import payload_source, payloads
 from ..sources import views as v
@@ -123,3 +124,16 @@ def nightly_collection(spark, sf):
 
     found = partials.merged(nights(spark, sf, "nightly_collection", partial), ["source"])
     return found.select("source", F.col("n").alias("runs"), "records", F.col("newest.what.status").alias("last_problem"), F.col("newest.what.reason").alias("last_reason"))
+
+
+@query("q95_price_offers", """WITH p AS (SELECT l_orderkey * 10 + l_linenumber AS ord, CAST(floor(p_retailprice) AS BIGINT) AS a, CAST(floor(p_retailprice) AS BIGINT) * 9 + l_linenumber AS b FROM lineitem JOIN part ON l_partkey = p_partkey),
+e AS (SELECT ord, 1 AS place, CAST(a AS DOUBLE) AS amount_monthly, '$' || a AS raw FROM p WHERE a <= 2500 UNION ALL SELECT ord, CASE WHEN a <= 2500 THEN 2 ELSE 1 END, round(b / 12.0, 2), '$' || b FROM p WHERE round(b / 12.0, 2) <= 2500)
+SELECT ord, CAST(place AS INT) AS place, CAST(amount_monthly AS DOUBLE) AS amount_monthly, raw FROM e""")
+def price_offers(spark, sf):
+    """Two amounts a text, by month and by year, through the table function in SQL."""
+    tables.register(spark)
+    price = F.floor("p_retailprice").cast("long")
+    text = F.concat(F.lit("from $"), price.cast("string"), F.lit("/mo, or $"), (price * 9 + F.col("l_linenumber")).cast("string"), F.lit(" per year when paid at once"))
+    lines = v.table(spark, sf, "lineitem").join(v.table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    shown = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), text.alias("signal"))
+    return spark.sql("SELECT ord, place, amount_monthly, raw FROM price_offers(TABLE({shown}), 'signal')", shown=shown)
