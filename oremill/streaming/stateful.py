@@ -22,6 +22,8 @@ from .daily import run_available
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT_ROWS = 10_000
+#: Timers are set to whole hours, so that a block has few of them.
+STEP_MS = 3_600_000
 
 
 def run_stateful(stream: DataFrame, scratch, name: str) -> DataFrame:
@@ -83,7 +85,7 @@ class _Leaders(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at long, id string, n long", "embedding array<double>")
+        self.waiting = handle.getListState("waiting", "at long, id string, n long, embedding array<double>")
         self.leaders = handle.getMapState("leaders", "id string", "at long, vector array<double>, size long")
         self.arrived = handle.getValueState("arrived", "n long")
 
@@ -91,11 +93,14 @@ class _Leaders(StatefulProcessor):
         held = self.arrived.get()
         n, times = (held[0] if held else 0), set()
         for pdf in rows:
+            new = []
             for at, name, vector in zip(pdf["at_ms"], pdf["id"], pdf["embedding"]):
                 if name is not None:  # else a row that only moves the watermark on
                     n += 1
-                    self.waiting.updateValue((int(at), name, n), ([float(x) for x in vector] if vector is not None else [],))
-                    times.add(-(-int(at) // 60_000) * 60_000)
+                    new.append((int(at), name, n, [float(x) for x in vector] if vector is not None else []))
+                    times.add(-(-int(at) // STEP_MS) * STEP_MS)
+            if new:
+                self.waiting.appendList(new)
         self.arrived.update((n,))
         for at in times:
             self.handle.registerTimer(at)
@@ -103,7 +108,12 @@ class _Leaders(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        due = sorted(((k, v[0]) for k, v in self.waiting.iterator() if k[0] <= now), key=lambda r: (*r[0][:2], list(r[1]), r[0][2]))
+        held = list(self.waiting.get()) if self.waiting.exists() else []
+        due = sorted((r for r in held if r[0] <= now), key=lambda r: (r[0], r[1], list(r[3]), r[2]))
+        if len(due) == len(held):
+            self.waiting.clear()
+        elif due:  # what is put back is what came within the time that rows may be late
+            self.waiting.put([tuple(r) for r in held if r[0] > now])
         entries = list(self.leaders.iterator())
         for (name,), (at, _, _) in entries:
             if at < now - self.keep_ms:
@@ -113,7 +123,7 @@ class _Leaders(StatefulProcessor):
 
     def _take(self, due, held: _Held, now: int) -> Iterator[pd.DataFrame]:
         out, changed = [], set()
-        for (at, name, n), vector in due:
+        for at, name, _, vector in due:
             v = np.asarray(vector, float)
             k, cos = held.best(v, at - self.keep_ms) if len(v) else (-1, 0.0)
             if k >= 0 and cos >= self.threshold and cos > 0:
@@ -125,7 +135,6 @@ class _Leaders(StatefulProcessor):
                     held.add(name, at, v)
                     changed.add((len(v), len(held.names[len(v)]) - 1))
                 out.append((name, name, 1.0, at))
-            self.waiting.removeKey((at, name, n))
             if len(out) == OUT_ROWS:
                 yield self._frame(out)
                 out = []
@@ -133,7 +142,7 @@ class _Leaders(StatefulProcessor):
             entry = held.entry(d, k)
             if entry[0] >= now - self.keep_ms:
                 self.leaders.updateValue((held.names[d][k],), entry)
-                self.handle.registerTimer(entry[0] + self.keep_ms + 60_000)
+                self.handle.registerTimer(-(-(entry[0] + self.keep_ms + 1) // STEP_MS) * STEP_MS)
         if out:
             yield self._frame(out)
 
@@ -149,7 +158,7 @@ class _Leaders(StatefulProcessor):
 def leaders(rows: DataFrame, at: str, block: str, threshold: float, late: str = "2 days", keep: str = "90 days", follow: bool = False) -> DataFrame:
     """(id, leader, cos, at): rows (id, embedding) of a stream join the most similar leader of their block, or lead.
 
-    Rows are taken in order of `at` (to the millisecond) and id once the watermark has passed them; a leader serves rows up
+    Rows are taken in order of `at` (to the millisecond) and id once the watermark has passed the hour they end in; a leader serves rows up
     to `keep` after its own time, and is removed from the state when the watermark is further on, whether or not its block
     goes on.  With `follow` leaders are clusters: their vector is the sum of their members', and their time that of the last
     one.  Rows without a vector lead and are followed by none; rows without an id only move the watermark on.
