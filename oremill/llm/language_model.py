@@ -7,15 +7,15 @@ proportional to its size less the discount, or at a new one in proportion to (st
 root's probability.  Sweeps alternate with the root: restaurants, which are independent given the root, are sampled in
 parallel by owners of contexts; their tables are then summed by owners of words, who seat the root's customers.  A
 sweep seats every customer again: those of pairs with at most SCAN customers one by one; of larger pairs, the number
-of tables, all that the model reads of a seating, is drawn from its conditional (draw_tables).  After BURN sweeps the
-tables of each restaurant and word, and the root's probabilities, are averaged over the rest, and documents are scored
-by the averaged predictive probabilities.
+of tables, all that the model reads of a seating, is drawn from its conditional (draw_tables).  Documents are scored by
+the predictive probabilities averaged over the sweeps after the first BURN.  A probability is linear in a pair's tables,
+whose mean is kept, and has a product of the context's tables and the root's probability, which are kept sweep by sweep.
 
-Exchange: texts are clustered once into chunks by a hash of doc_id and text; words go by 64-bit hashes, of which two of
-n words agree with a chance of n^2 / 2^65 (words of up to seven bytes: never with one another).  Chunks send owners their distinct words, then
-their distinct word pairs, once each with their counts (a map-side combination, so no word or pair meets in one task
-more than once a chunk), and get word numbers, counts, probabilities and seating back.  Nothing grows on the driver
-but one number an owner.
+Exchange: texts are clustered once into chunks by a hash of doc_id and text.  Chunks send owners the bytes of their
+distinct words, then their distinct word pairs, once each with their counts (a map-side combination, so no word or pair
+meets in one task more than once a chunk), and get word numbers, counts, probabilities and seating back.  Hashes only
+deal words to owners; words are told apart by their bytes, in chunks and at owners.  Nothing grows on the driver but one
+number an owner.
 
 Defined results: null text reads as empty, which is one token, the end; a null doc_id counts as training; rows that
 repeat are learned and scored each; without training documents N = V = 0 and every token has probability 1 (the one
@@ -37,7 +37,6 @@ from .common import LOWER, SPACE_WORD, Scratch, find_sorted, flatten, load, narr
 CHUNK_BYTES = 4 << 20
 SWEEPS, BURN, SCAN = 4, 1, 32
 STRENGTH = 1.0
-END = np.uint64(0x7A3C9D1E5F20B846)
 PARTS, HELD_OUT = 7, 2
 #: Largest count whose distribution of tables is read from a table of Stirling numbers; nodes of interpolation and points of quadrature beyond it.
 STIRLING, NODES, POINTS = 1024, 16, 48
@@ -53,16 +52,37 @@ def is_held_out(ids: list[int | None]) -> np.ndarray:
     return np.array([i is not None and zlib.crc32(str(i).encode()) % PARTS == HELD_OUT for i in ids], bool)
 
 
-def u32(x: np.ndarray) -> bytes:
-    """Numbers as unsigned 32-bit; one that does not fit stops the run."""
-    if len(x) and int(x.max()) >= 1 << 32:
-        raise OverflowError("a count beyond 32 bits: use smaller chunks, or more owners")
-    return x.astype(np.uint32).tobytes()
+def pack(x: np.ndarray) -> bytes:
+    """Counts as unsigned 32-bit numbers, or all as 64-bit ones where one needs that."""
+    return x.astype(np.uint64 if len(x) and int(x.max()) >= 1 << 32 else np.uint32).tobytes()
+
+
+def unpack(held: bytes, n: int) -> np.ndarray:
+    """The `n` counts that pack wrote."""
+    return np.frombuffer(held, np.uint64 if len(held) == 8 * n else np.uint32).astype(np.int64)
+
+
+def ordered(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The order of distinct words by hash, those of one hash by their bytes, and the hashes in that order."""
+    buf, offsets = flatten(words)
+    hashes = word_hashes(buf, offsets[:-1], offsets[1:])
+    order = np.argsort(hashes)
+    if (np.diff(hashes[order]) == 0).any():
+        place = np.empty(len(hashes), np.int64)
+        place[pa.compute.sort_indices(words).to_numpy()] = np.arange(len(hashes))
+        order = np.lexsort((place, hashes))
+    return order, hashes[order]
+
+
+def binaries(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Byte strings that stand one after another."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 # ---------------------------------------------------------------- chunks
 class Chunk:
-    """Tokens of a chunk's documents: each word, then one end a document."""
+    """Tokens of a chunk's documents: each word, then one end, the empty word, a document."""
 
     def __init__(self, texts: pa.Table):
         self.name = texts["chunk"][0].as_py()
@@ -72,21 +92,25 @@ class Chunk:
         starts, ends, bounds = word_bounds(buf, offsets, SPACE_WORD)
         n = np.diff(bounds) + 1
         self.bounds = np.concatenate([[0], np.cumsum(n)])
-        tokens = np.full(int(self.bounds[-1]), END)
-        last = self.bounds[1:] - 1
-        word = np.ones(len(tokens), bool)
-        word[last] = False
-        tokens[word] = word_hashes(buf, starts, ends)
+        sizes = np.zeros(int(self.bounds[-1]), np.int64)
+        word = np.ones(len(sizes), bool)
+        word[self.bounds[1:] - 1] = False
+        sizes[word] = ends - starts
+        known = binaries(buf[SPACE_WORD[buf]], sizes).dictionary_encode()
+        order, self.hashes = ordered(known.dictionary)
+        self.words = known.dictionary.take(pa.array(order))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.at = place[known.indices.to_numpy()]
         self.held = is_held_out(self.ids.to_pylist())
         self.train = np.repeat(~self.held, n)
-        self.words, self.at = np.unique(tokens, return_inverse=True)
 
     def word_counts(self) -> np.ndarray:
         return np.bincount(self.at, self.train, len(self.words)).astype(np.int64)
 
     def number(self, answers: pa.Table, owners: int, offsets: np.ndarray) -> None:
         """Take in the words' global numbers and counts."""
-        cuts = owner_cuts(self.words, owners)
+        cuts = owner_cuts(self.hashes, owners)
         self.number_of, self.count = np.zeros(len(self.words), np.int64), np.zeros(len(self.words), np.int64)
         for owner, ranks, counts in zip(*[answers[c].to_pylist() for c in ("owner", "ranks", "counts")]):
             part = slice(cuts[owner], cuts[owner + 1])
@@ -117,13 +141,16 @@ class Chunk:
 def _words(owners: int):
     def run(texts: pa.Table) -> pa.Table:
         chunk = Chunk(texts)
-        cuts, counts = owner_cuts(chunk.words, owners), chunk.word_counts()
+        cuts, counts = owner_cuts(chunk.hashes, owners), chunk.word_counts()
         full = np.flatnonzero(np.diff(cuts))
+        buf, offsets = flatten(chunk.words)
+        sizes = np.diff(offsets)
         return pa.table(
             {
                 "owner": pa.array(full, pa.int64()),
                 "chunk": pa.array([chunk.name] * len(full), pa.int64()),
-                "words": pa.array([chunk.words[cuts[o] : cuts[o + 1]].tobytes() for o in full], pa.binary()),
+                "words": pa.array([buf[offsets[cuts[o]] : offsets[cuts[o + 1]]].tobytes() for o in full], pa.binary()),
+                "sizes": pa.array([pack(sizes[cuts[o] : cuts[o + 1]]) for o in full], pa.binary()),
                 "counts": pa.array([counts[cuts[o] : cuts[o + 1]].tobytes() for o in full], pa.binary()),
             }
         )
@@ -132,10 +159,14 @@ def _words(owners: int):
 
 
 def _number(table: pa.Table) -> pa.Table:
-    words = [np.frombuffer(w, np.uint64) for w in table["words"].to_pylist()]
-    counts = np.concatenate([np.frombuffer(c, np.int64) for c in table["counts"].to_pylist()])
-    cuts = np.cumsum([0] + [len(w) for w in words])
-    known, back = np.unique(np.concatenate(words), return_inverse=True)
+    words, counts = table["words"].to_pylist(), [np.frombuffer(c, np.int64) for c in table["counts"].to_pylist()]
+    sizes = [unpack(s, len(c)) for s, c in zip(table["sizes"].to_pylist(), counts)]
+    cuts, counts = np.cumsum([0] + [len(c) for c in counts]), np.concatenate(counts)
+    found = binaries(np.frombuffer(b"".join(words), np.uint8), np.concatenate(sizes)).dictionary_encode()
+    order, known = ordered(found.dictionary)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    back = place[found.indices.to_numpy()]
     total = np.zeros(len(known), np.int64)
     np.add.at(total, back, counts)
     n = len(words)
@@ -167,7 +198,7 @@ def _send_pairs(owners: int, offsets: np.ndarray, begin: int):
             out["contexts"].append(u[at].astype(np.uint32).tobytes())
             out["sizes"].append(np.diff(np.append(at, b - a)).astype(np.uint32).tobytes())
             out["words"].append(chunk.pair_word[a:b].astype(np.uint32).tobytes())
-            out["counts"].append(u32(chunk.pair_train[a:b]))
+            out["counts"].append(pack(chunk.pair_train[a:b]))
         settle()
         return pa.table({"owner": pa.array(full, pa.int64()), "chunk": pa.array([chunk.name] * len(full), pa.int64()), **{c: pa.array(v, pa.binary()) for c, v in out.items()}})
 
@@ -179,11 +210,12 @@ SENT_PAIRS = "owner long, chunk long, contexts binary, sizes binary, words binar
 
 def _unpack(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
     """Keys (context << 32 | word) of each chunk's pairs, and all counts."""
-    keys = []
-    for u, n, w in zip(*[table[c].to_pylist() for c in ("contexts", "sizes", "words")]):
+    keys, counts = [], []
+    for u, n, w, c in zip(*[table[c].to_pylist() for c in ("contexts", "sizes", "words", "counts")]):
         u = np.repeat(np.frombuffer(u, np.uint32).astype(np.uint64), np.frombuffer(n, np.uint32))
         keys.append(u << np.uint64(32) | np.frombuffer(w, np.uint32).astype(np.uint64))
-    return keys, np.concatenate([np.frombuffer(c, np.uint32) for c in table["counts"].to_pylist()]).astype(np.int64)
+        counts.append(unpack(c, len(u)))
+    return keys, np.concatenate(counts)
 
 
 # ---------------------------------------------------------------- seating
@@ -356,7 +388,7 @@ def seat_root(customers: np.ndarray, strength_base: float, discount: float, rng:
 
 
 #: Rows of a model, by kind: 0 keys and counts of an owner's pairs; 1 the tables of its large pairs, then the table of each
-#: customer of its other pairs of several, and the mean number of tables of both; 2 words and their tables, for the root; 3 the same for pairs of one customer.
+#: customer of its other pairs of several, and the mean number of tables of both, then every context's tables after each kept sweep; 2 words and their tables, for the root; 3 the same for pairs of one customer.
 MODEL = "kind int, owner long, root long, a binary, b binary, n1 long, n2 long"
 PAIRS, SEATS, ASK, SINGLE = range(4)
 
@@ -369,15 +401,16 @@ def _rows(rows: list[tuple]) -> pa.Table:
 def _for_root(kind: int, owner: int, words: np.ndarray, tables: np.ndarray, offsets: np.ndarray) -> list[tuple]:
     """Customers for the root, one row for each owner of words."""
     cuts = np.searchsorted(words, offsets)
-    return [(kind, owner, o, u32(words[cuts[o] : cuts[o + 1]]), u32(tables[cuts[o] : cuts[o + 1]]), 0, 0) for o in np.flatnonzero(np.diff(cuts)).tolist()]
+    return [(kind, owner, o, words[cuts[o] : cuts[o + 1]].astype(np.uint32).tobytes(), pack(tables[cuts[o] : cuts[o + 1]]), 0, 0) for o in np.flatnonzero(np.diff(cuts)).tolist()]
 
 
 class Model:
     """An owner's pairs; those with several customers by falling count, so that the `large`, of more than SCAN, lead them; contexts numbered within the owner."""
 
     def __init__(self, owner: int, keys: np.ndarray, counts: np.ndarray, table: np.ndarray, mean: np.ndarray):
-        self.owner, self.keys, self.counts, self.table, self.mean = owner, keys, counts, table, mean
+        self.owner, self.keys, self.counts, self.table = owner, keys, counts, table
         several = np.flatnonzero(counts > 1)
+        self.mean, self.kept = np.split(mean, [len(several)])
         self.several = several[np.argsort(-counts[several], kind="stable")]
         self.large = int((counts > SCAN).sum())
         context = keys >> np.uint64(32)
@@ -412,13 +445,21 @@ class Model:
         drawn = draw_tables(self.counts[large], discount * gamma[self.context[large]] * root[: self.large], discount, rng)
         return np.concatenate([drawn, seating.table]), np.concatenate([drawn, seating.tables()])
 
+    def tables_of_contexts(self, tables: np.ndarray) -> np.ndarray:
+        """From the tables of pairs with several customers; the other pairs have one each."""
+        every = np.ones(len(self.keys))
+        every[self.several] = tables
+        return np.bincount(self.context, every, len(self.contexts))
+
     def seats_row(self, table: np.ndarray, mean: np.ndarray) -> tuple:
-        return (SEATS, self.owner, None, table.astype(np.int32).tobytes(), mean.astype(np.float32).tobytes(), 0, 0)
+        return (SEATS, self.owner, None, pack(table), mean.astype(np.float32).tobytes(), 0, 0)
 
 
 def _load(static: pa.Table, a: bytes, b: bytes) -> Model:
     row = static.select(["owner", "a", "b"]).to_pylist()[0]
-    return Model(row["owner"], np.frombuffer(row["a"], np.uint64), np.frombuffer(row["b"], np.int64), np.frombuffer(a, np.int32).astype(np.int64), np.frombuffer(b, np.float32).astype(np.float64))
+    counts = np.frombuffer(row["b"], np.int64)
+    seats = int((counts > SCAN).sum() + counts[(counts > 1) & (counts <= SCAN)].sum())
+    return Model(row["owner"], np.frombuffer(row["a"], np.uint64), counts, unpack(a, seats), np.frombuffer(b, np.float32).astype(np.float64))
 
 
 def _gather(offsets: np.ndarray):
@@ -452,7 +493,8 @@ def _root_base(offsets: np.ndarray):
         root = table["root"][0].as_py()
         base = np.zeros(int(offsets[root + 1] - offsets[root]), np.int64)
         for w, n in zip(table["a"].to_pylist(), table["b"].to_pylist()):
-            base[np.frombuffer(w, np.uint32).astype(np.int64) - offsets[root]] += np.frombuffer(n, np.uint32)
+            at = np.frombuffer(w, np.uint32).astype(np.int64) - offsets[root]
+            base[at] += unpack(n, len(at))
         return pa.table({"root": pa.array([root], pa.int64()), "base": pa.array([base.tobytes()], pa.binary())})
 
     return run
@@ -471,7 +513,7 @@ def _seat_root(offsets: np.ndarray, types: int, tables_before: float, discount:
         asked = []
         for w, t in zip(sent["a"].to_pylist(), sent["b"].to_pylist()):
             at = np.frombuffer(w, np.uint32).astype(np.int64) - offsets[root]
-            customers[at] += np.frombuffer(t, np.uint32)
+            customers[at] += unpack(t, len(at))
             asked.append(at)
         rng = np.random.default_rng([seed, root])
         tables = seat_root(customers, (STRENGTH + discount * tables_before) / (types + 1), discount, rng)
@@ -493,7 +535,7 @@ def _seat_root(offsets: np.ndarray, types: int, tables_before: float, discount:
 
 
 def _gibbs(offsets: np.ndarray, discount: float, scale: float, rest: float, keep: float, seed: int):
-    """One sweep of an owner's restaurants; with keep > 0 the tables are added to the mean with that weight."""
+    """One sweep of an owner's restaurants; with keep > 0 the tables are added to the mean with that weight, and those of contexts kept."""
 
     def run(static: pa.Table, told: pa.Table) -> pa.Table:
         rows = told.select(["root", "share", "mean"]).to_pylist()
@@ -505,7 +547,8 @@ def _gibbs(offsets: np.ndarray, discount: float, scale: float, rest: float, keep
                 root[cuts[r["root"]] : cuts[r["root"] + 1]] = np.frombuffer(r["share"], np.float32)
         table, tables = model.sweep(discount, (root * scale + rest)[model.word_at], np.random.default_rng([seed, model.owner]))
         asked = np.bincount(model.word_at, tables, len(model.words)).astype(np.int64)
-        out = _rows([model.seats_row(table, model.mean + keep * tables), *_for_root(ASK, model.owner, model.words, asked, offsets)])
+        held = [model.mean + keep * tables, model.kept, *([model.tables_of_contexts(tables)] if keep else [])]
+        out = _rows([model.seats_row(table, np.concatenate(held)), *_for_root(ASK, model.owner, model.words, asked, offsets)])
         settle()
         return out
 
@@ -514,7 +557,7 @@ def _gibbs(offsets: np.ndarray, discount: float, scale: float, rest: float, keep
 
 # ---------------------------------------------------------------- scoring
 def _ask_model(discount: float):
-    """Per chunk: customers less discounted tables of each pair it asked for (0: unseen), and tables of each context."""
+    """Per chunk: customers less discounted tables of each pair it asked for (0: unseen), and tables of each context, sweep after sweep."""
 
     def run(static: pa.Table, asked: pa.Table) -> pa.Table:
         mine = pa.compute.equal(asked["chunk"], -1)
@@ -524,14 +567,15 @@ def _ask_model(discount: float):
         tables = np.ones(len(model.keys))
         tables[model.several] = model.mean
         held = (model.counts - discount * tables).astype(np.float32)
-        per_context = np.bincount(model.context, tables, len(model.contexts)).astype(np.float32)
+        per_context = model.kept.reshape(-1, len(model.contexts)) if len(model.contexts) else np.zeros((1, 0))
 
         def find(table: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> bytes:
             at = find_sorted(table, wanted)
             return np.where(at >= 0, values[at] if len(values) else 0, 0).astype(np.float32).tobytes()
 
         share = [find(model.keys, held, k) for k in keys]
-        context = [find(model.contexts, per_context, np.frombuffer(u, np.uint32).astype(np.uint64)) for u in asked["contexts"].to_pylist()]
+        wanted = [np.frombuffer(u, np.uint32).astype(np.uint64) for u in asked["contexts"].to_pylist()]
+        context = [b"".join(find(model.contexts, one, u) for one in per_context) for u in wanted]
         out = pa.table({"chunk": asked["chunk"], "kind": pa.array([1] * len(keys), pa.int32()), "owner": asked["owner"], "a": pa.array(share, pa.binary()), "b": pa.array(context, pa.binary())})
         settle()
         return out
@@ -542,32 +586,36 @@ def _ask_model(discount: float):
 ASKED = "chunk long, kind int, owner long, a binary, b binary"
 
 
-def _tell_root(rest: float):
-    """The root's probability of each chunk's words; `rest` where no word of an owner has customers."""
+def _tell_root(rests: list[float]):
+    """The root's probabilities of each chunk's words, kept sweep after sweep; `rests` where no word of an owner has customers."""
 
     def run(asked: pa.Table, shares: pa.Table) -> pa.Table:
-        mean = np.frombuffer(shares["mean"][0].as_py(), np.float32) if shares.num_rows else None
+        kept = np.frombuffer(shares["kept"][0].as_py(), np.float32).reshape(len(rests), -1) if shares.num_rows else None
         ranks = [np.frombuffer(r, np.uint32) for r in asked["ranks"].to_pylist()]
-        out = [(np.full(len(r), rest, np.float32) if mean is None else mean[r]).tobytes() for r in ranks]
+        out = [(np.repeat(np.array(rests, np.float32), len(r)) if kept is None else kept[:, r]).tobytes() for r in ranks]
         return pa.table({"chunk": asked["chunk"], "kind": pa.array([2] * len(out), pa.int32()), "owner": asked["root"], "a": pa.array(out, pa.binary()), "b": pa.array([None] * len(out), pa.binary())})
 
     return run
 
 
-def _mean_root(scales: list[float], rests: list[float]):
-    """Mean over kept sweeps of the root's probabilities of an owner's words."""
+def _kept_root(scales: list[float], rests: list[float]):
+    """The root's probabilities of an owner's words, kept sweep after sweep."""
 
     def run(table: pa.Table) -> pa.Table:
-        total = None
-        for sweep, share in zip(table["sweep"].to_pylist(), table["share"].to_pylist()):
-            p = np.frombuffer(share, np.float32).astype(np.float64) * scales[sweep] + rests[sweep]
-            total = p if total is None else total + p
-        return pa.table({"root": pa.array([table["root"][0].as_py()], pa.int64()), "mean": pa.array([(total / table.num_rows).astype(np.float32).tobytes()], pa.binary())})
+        rows = sorted(zip(table["sweep"].to_pylist(), table["share"].to_pylist()))
+        each = [(np.frombuffer(share, np.float32) * scales[sweep] + rests[sweep]).astype(np.float32).tobytes() for sweep, share in rows]
+        return pa.table({"root": pa.array([table["root"][0].as_py()], pa.int64()), "kept": pa.array([b"".join(each)], pa.binary())})
 
     return run
 
 
-def _score(owners: int, offsets: np.ndarray, begin: int, begin_count: int, tokens: int, types: int, discount: float):
+def predictive(seats: np.ndarray, tables: np.ndarray, root: np.ndarray, customers: np.ndarray, discount: float) -> np.ndarray:
+    """Probabilities of pairs averaged over sweeps: `seats` is the mean of customers less discounted tables, `tables` (of the
+    context) and `root` (of the word) have a row a sweep."""
+    return (seats + ((STRENGTH + discount * tables) * root).mean(0)) / (STRENGTH + customers)
+
+
+def _score(owners: int, offsets: np.ndarray, begin: int, begin_count: int, tokens: int, types: int, discount: float, sweeps: int):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         chunk = Chunk(texts)
         kinds = np.array(answers["kind"].to_pylist())
@@ -575,21 +623,22 @@ def _score(owners: int, offsets: np.ndarray, begin: int, begin_count: int, token
         named = pick(0).select(["owner", "a", "b"]).rename_columns(["owner", "ranks", "counts"])
         chunk.number(named, owners, offsets)
         chunk.pairs(begin, owners)
-        seats, tables = np.zeros(len(chunk.pair_word)), np.zeros(len(chunk.pair_word))
+        seats, tables = np.zeros(len(chunk.pair_word)), np.zeros((sweeps, len(chunk.pair_word)), np.float32)
         cuts = chunk.pair_cuts
         for owner, share, per in zip(*[pick(1)[c].to_pylist() for c in ("owner", "a", "b")]):
             part = slice(cuts[owner], cuts[owner + 1])
             seats[part] = np.frombuffer(share, np.float32)
             u = chunk.pair_context[part]
             at = np.flatnonzero(np.diff(u, prepend=-1))
-            tables[part] = np.repeat(np.frombuffer(per, np.float32), np.diff(np.append(at, len(u))))
-        root, word_cuts = np.zeros(len(chunk.words)), owner_cuts(chunk.words, owners)
-        for owner, mean in zip(*[pick(2)[c].to_pylist() for c in ("owner", "a")]):
-            root[word_cuts[owner] : word_cuts[owner + 1]] = np.frombuffer(mean, np.float32)
-        word = np.searchsorted(chunk.number_of, chunk.pair_word)  # numbers ascend with hashes
+            each = np.frombuffer(per, np.float32).reshape(-1, len(at))  # one row of zeros where the owner has no contexts
+            tables[:, part] = np.repeat(each, np.diff(np.append(at, len(u))), axis=1)
+        root, word_cuts = np.zeros((sweeps, len(chunk.words)), np.float32), owner_cuts(chunk.hashes, owners)
+        for owner, kept in zip(*[pick(2)[c].to_pylist() for c in ("owner", "a")]):
+            root[:, word_cuts[owner] : word_cuts[owner + 1]] = np.frombuffer(kept, np.float32).reshape(sweeps, -1)
+        word = np.searchsorted(chunk.number_of, chunk.pair_word)  # numbers ascend with hashes, then bytes
         context = np.minimum(np.searchsorted(chunk.number_of, np.minimum(chunk.pair_context, begin - 1)), len(chunk.words) - 1)
         customers = np.where(chunk.pair_context == begin, begin_count, chunk.count[context])
-        p = (seats + (STRENGTH + discount * tables) * root[word]) / (STRENGTH + customers)
+        p = predictive(seats, tables, root[:, word], customers, discount)
         count = chunk.count[chunk.at]
         base = np.log10((count + 1) / (tokens + types + 1))
         total = lambda x: np.add.reduceat(x, chunk.bounds[:-1])
@@ -628,7 +677,7 @@ def score_documents(docs: DataFrame, scratch: Scratch, sweeps: int = SWEEPS, bur
     table = scratch.put_bucketed("texts", texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", chunk.alias("chunk")), "chunk", max(parts, chunks // 4))
     by_chunk = lambda: table.groupBy("chunk")
 
-    sent = by_chunk().applyInArrow(_words(owners), "owner long, chunk long, words binary, counts binary")
+    sent = by_chunk().applyInArrow(_words(owners), "owner long, chunk long, words binary, sizes binary, counts binary")
     words = scratch.put("words", sent.groupBy("owner").applyInArrow(_number, "chunk long, owner long, ranks binary, counts binary, words long, types long, tokens long"))
     sizes = np.zeros(owners + 1, np.int64)
     types = tokens = 0
@@ -672,19 +721,19 @@ def score_documents(docs: DataFrame, scratch: Scratch, sweeps: int = SWEEPS, bur
         if k == 0:
             root_discount = discount_of(r1 or 0, r2 or 0)
         root_tables = float(t or 0)
-    means = kept.groupBy("root").applyInArrow(_mean_root(scales, rests), "root long, mean binary")
+    kept = kept.groupBy("root").applyInArrow(_kept_root(scales, rests), "root long, kept binary")
     scratch.release()
 
     none = F.lit(None).cast("binary")
     last = state.filter(F.col("kind") == SEATS).select("owner", F.lit(-1).cast("long").alias("chunk"), F.col("a").alias("contexts"), F.col("b").alias("sizes"), none.alias("words"), none.alias("counts"))
     seats = scratch.put("seats", static().cogroup(pairs().unionByName(last).groupBy("owner")).applyInArrow(_ask_model(discount), ASKED))
     rank = words.select(F.col("owner").alias("root"), "chunk", "ranks")
-    roots = scratch.put("roots", rank.groupBy("root").cogroup(means.groupBy("root")).applyInArrow(_tell_root(float(np.mean(rests[burn:]))), ASKED))
+    roots = scratch.put("roots", rank.groupBy("root").cogroup(kept.groupBy("root")).applyInArrow(_tell_root(rests[burn:]), ASKED))
     scratch.release()
     numbers = named.select("chunk", F.lit(0).alias("kind"), "owner", F.col("ranks").alias("a"), F.col("counts").alias("b"))
     answers = numbers.unionByName(seats).unionByName(roots)
     return by_chunk().cogroup(answers.groupBy("chunk")).applyInArrow(
-        _score(owners, offsets, begin, starts, tokens, types, discount),
+        _score(owners, offsets, begin, starts, tokens, types, discount, sweeps - burn),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
 

@@ -7,11 +7,10 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import pytest
 
 from oremill.llm import language_model as lm
-from oremill.llm.common import Scratch
-from tests.llm.confusing import PAIR
+from oremill.llm.common import Scratch, word_hashes
+from tests.llm.confusing import ONE_HASH, PAIR
 
 
 def tokens(text):
@@ -51,9 +50,45 @@ def test_words_that_simple_sums_confuse(spark):
     assert got[4].n_known == 4
 
 
-def test_counts_beyond_32_bits_are_refused():
-    with pytest.raises(OverflowError):
-        lm.u32(np.array([1, 1 << 32]))
+def test_words_that_the_hash_confuses(spark):
+    """Words of one hash, dealt to one owner: one of each pair is learned, the other held out."""
+    learned, out = [d for d in range(60) if not held(d)][:4], [d for d in range(60) if held(d)][:4]
+    rows = [(d, a) for d, (a, _) in zip(learned, ONE_HASH)] + [(d, b) for d, (_, b) in zip(out, ONE_HASH)]
+    for a, b in ONE_HASH:
+        buf = np.frombuffer((a + b).encode(), np.uint8)
+        x, y = word_hashes(buf, np.array([0, len(a)]), np.array([len(a), len(a + b)]))
+        assert a != b and x == y
+    got = check(spark, rows)
+    assert [got[d].n_known for d in out] == [1] * 4
+    both = check(spark, [(learned[0], " ".join(a + " " + b for a, b in ONE_HASH)), (out[0], ONE_HASH[2][1] + " other")])
+    assert both[out[0]].n_known == 2
+
+
+def test_counts_beyond_32_bits_are_carried():
+    for counts in ([1, (1 << 32) + 5], [1, (1 << 32) - 1], []):
+        assert lm.unpack(lm.pack(np.array(counts, np.int64)), len(counts)).tolist() == counts
+
+
+def test_probabilities_are_averaged_over_sweeps():
+    """The mean of the probabilities of single sweeps, each computed by itself, and not that of averaged tables and roots."""
+    rng, d, n, sweeps = np.random.default_rng(4), 0.6, 200, 3
+    c, tables, more = rng.integers(1, 40, n), rng.integers(1, 30, (sweeps, n)), rng.integers(0, 400, (sweeps, n))
+    root, customers = rng.random((sweeps, n)) / 50, rng.integers(400, 900, n)
+    each = [[(c[i] - d * tables[k, i] + (lm.STRENGTH + d * more[k, i]) * root[k, i]) / (lm.STRENGTH + customers[i]) for i in range(n)] for k in range(sweeps)]
+    got = lm.predictive(c - d * tables.mean(0), more, root, customers, d)
+    assert np.abs(got - np.mean(each, 0)).max() < 1e-12
+
+
+def test_one_document_scored_by_hand(spark, monkeypatch):
+    """Every pair once, so every seating is known: one table a pair, and the root's customers are the pairs."""
+    doc = next(d for d in range(9) if not held(d))
+    got = lm.score_documents(spark.createDataFrame([(doc, "a b c")], "doc_id long, text string"), Scratch(spark, "t")).collect()[0]
+    d, types, customers, root_tables = lm.discount_of(4, 0), 4, 4, 4
+    for k in range(lm.SWEEPS):  # the root: one customer a word, each at a table of its own
+        root_d = 0.5 if k == 0 else lm.discount_of(4, 0)
+    root = ((1 - root_d) + (lm.STRENGTH + root_d * root_tables) / (types + 1)) / (lm.STRENGTH + customers)
+    p = ((1 - d) + (lm.STRENGTH + d) * root) / (lm.STRENGTH + 1)
+    assert abs(got.score - 4 * math.log10(p)) < 1e-6
 
 
 def test_better_than_base(spark, monkeypatch):
@@ -158,7 +193,9 @@ def test_hot_pairs_are_seated_whole():
         seats = next(r for r in rows if r["kind"] == lm.SEATS)
         told = pa.table({"root": [None, 0], "share": [seats["a"], np.array(roots, np.float32).tobytes()], "mean": [seats["b"], None]})
         rows = lm._gibbs(offsets, d, 1.0, 0.0, float(k == lm.SWEEPS - 1), k)(static, told).to_pylist()
-    got = np.frombuffer(next(r for r in rows if r["kind"] == lm.SEATS)["b"], np.float32).reshape(len(counts), contexts).mean(1)
+    mean, kept = np.split(np.frombuffer(next(r for r in rows if r["kind"] == lm.SEATS)["b"], np.float32), [len(counts) * contexts])
+    assert (kept == mean.reshape(len(counts), contexts).sum(0) + singles).all()
+    got = mean.reshape(len(counts), contexts).mean(1)
     want = exact_tables(counts, roots, d, singles)
     assert want[0] > 1 + lm.SCAN * lm.SWEEPS
     assert np.abs(got / want - 1).max() < 0.1, (got, want)
