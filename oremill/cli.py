@@ -110,7 +110,7 @@ def reviews(c: Context) -> None:
     if c.args.set:
         fields = dict(x.split("=", 1) for x in c.args.set)
         edits = c.spark.createDataFrame([(c.args.id, *fields.values())], ", ".join(f"{n} string" for n in ("id", *fields)))
-        show(review.apply_review(c.store, edits, c.now, c.rubric.weights))
+        show(review.apply_review(c.store, edits, c.now, c.rubric.weights, c.rubric.bands))
     elif c.args.id:
         print(json.dumps(c.store.require("problem_hypothesis", c.args.id), default=str))
     else:

@@ -29,5 +29,9 @@ class RedisplayError(ValueError):
     """An artifact shows collected text word for word, or cites rows that are not there."""
 
 
+class WriteConflict(RuntimeError):
+    """Another writer made the version of a table that this one was about to make."""
+
+
 class ConfigError(ValueError):
     """A setting that is not understood."""

@@ -59,20 +59,36 @@ def key_hash(key: Column) -> Column:
     return F.when(key != "", F.md5(key.cast("binary")))
 
 
+#: Scheme, authority, path and query of a URL, whatever characters they hold.
+_URL = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
+
+
+def _part(url: Column, group: int) -> Column:
+    return F.regexp_extract(F.translate(F.btrim(F.coalesce(url, F.lit(""))), "\t\r\n", ""), _URL, group)
+
+
+def _unescaped(part: Column) -> Column:
+    """A name or value of a query as it is meant: percent escapes and plus signs decoded; escapes that are none stay."""
+    return F.when(F.rlike(part, F.lit("[%+]")), F.coalesce(F.try_url_decode(part), F.replace(part, F.lit("+"), F.lit(" ")))).otherwise(part)
+
+
+def _escaped(part: Column) -> Column:
+    coded = F.replace(F.replace(F.url_encode(part), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
+    return F.when(F.rlike(part, F.lit(r"[^A-Za-z0-9_.\-]")), coded).otherwise(part)
+
+
 def canonical_url(url: Column) -> Column:
-    """Scheme and host lower-cased, port, user, www., fragment, tracking and blank parameters dropped, the rest sorted."""
-    u = F.btrim(F.coalesce(url, F.lit("")))
-    u = F.when(F.startswith(u, F.lit("//")), F.concat(F.lit("https:"), u)).otherwise(u)
-    scheme = F.lower(F.coalesce(F.try_parse_url(u, F.lit("PROTOCOL")), F.lit("https")))
-    path = F.coalesce(F.nullif(F.coalesce(F.try_parse_url(u, F.lit("PATH")), F.lit("")), F.lit("")), F.lit("/"))
-    path = F.when(F.length(path) > 1, F.coalesce(F.nullif(F.regexp_replace(path, "/+$", ""), F.lit("")), F.lit("/"))).otherwise(path)
-    pairs = F.filter(
-        F.split(F.coalesce(F.try_parse_url(u, F.lit("QUERY")), F.lit("")), "&"),
-        lambda p: F.contains(p, F.lit("=")) & (F.substring_index(p, "=", 1) != "") & (F.length(p) > F.length(F.substring_index(p, "=", 1)) + 1) & ~F.substring_index(p, "=", 1).isin(*TRACKING),
-    )
-    structs = F.transform(pairs, lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), p.alias("p")))
-    query = F.array_join(F.transform(F.array_sort(structs), lambda s: s["p"]), "&")
-    return F.when(u == "", "").otherwise(F.concat(scheme, F.lit("://"), host_of(u), path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query))))
+    """Scheme and host lower-cased, port, user, www., fragment, tracking and blank parameters dropped, the rest sorted by
+    what they mean and escaped in one way; blanks and odd characters do not hide the host.  Null as empty, empty stays."""
+    scheme, path = F.lower(_part(url, 1)), _part(url, 3)
+    scheme = F.when(scheme == "", "https").otherwise(scheme)
+    path = F.coalesce(F.nullif(F.regexp_replace(path, "/+$", ""), F.lit("")), F.lit("/"))
+    named = F.filter(F.split(_part(url, 4), "&"), lambda p: F.rlike(p, F.lit("(?s)^[^=]*=.")))
+    pairs = F.transform(named, lambda p: F.struct(_unescaped(F.substring_index(p, "=", 1)).alias("k"), _unescaped(F.substring(p, F.locate("=", p) + 1, 1 << 30)).alias("v")))
+    kept = F.array_sort(F.filter(pairs, lambda s: ~s["k"].isin(*TRACKING)))
+    query = F.array_join(F.transform(kept, lambda s: F.concat(_escaped(s["k"]), F.lit("="), _escaped(s["v"]))), "&")
+    whole = F.concat(scheme, F.lit("://"), host_of(url), path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+    return F.when(F.btrim(F.coalesce(url, F.lit(""))) == "", "").otherwise(whole)
 
 
 def _decoded(urls: pd.Series) -> pd.Series:
@@ -90,12 +106,15 @@ def _decoded(urls: pd.Series) -> pd.Series:
 
 
 def canonical_url_decoded(url) -> Column:
-    """As canonical_url, but percent escapes are decoded and encoded again: for URLs that hold any."""
+    """canonical_url in an Arrow UDF, as SQL sees it."""
     return F.pandas_udf(_decoded, "string")(url)
 
 
 def host_of(url: Column) -> Column:
-    return F.regexp_replace(F.lower(F.coalesce(F.try_parse_url(F.btrim(url), F.lit("HOST")), F.lit(""))), r"^www\.", "")
+    """The host in lower case, without user, port and www.; empty where the URL names none."""
+    place = F.substring_index(_part(url, 2), "@", -1)
+    host = F.when(F.startswith(place, F.lit("[")), F.regexp_extract(place, r"^\[([^\]]*)", 1)).otherwise(F.substring_index(place, ":", 1))
+    return F.regexp_replace(F.lower(host), r"^www\.", "")
 
 
 def content_hash(canonical: Column, title: Column, snippet: Column) -> Column:

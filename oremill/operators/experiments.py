@@ -37,8 +37,10 @@ def started(experiments: DataFrame, requests: DataFrame, on: Column) -> DataFram
 
     A price given by an operator takes the draft's place, with the caps that follow from it and the operator and day as
     its provenance.  A refused request changes nothing and says why in `refusal`; rows without a request have none.
+    Of several requests for one id the last one counts, in the order of `requests`.
     """
-    asked = requests.select(F.col("id").alias("asked"), F.col("price").alias("own_price"))
+    placed = requests.select(F.col("id").alias("asked"), F.struct(F.monotonically_increasing_id().alias("place"), "price").alias("r"))
+    asked = placed.groupBy("asked").agg(F.max("r").alias("r")).select("asked", F.col("r.price").alias("own_price"))
     met = experiments.join(asked, F.col("id") == F.col("asked"), "left")
     own = F.col("own_price").isNotNull()
     price = F.coalesce("own_price", "price")

@@ -43,13 +43,17 @@ def heuristic_claims(labelled: DataFrame) -> DataFrame:
     )
 
 
-def extracted(llm: DataFrame | None, labelled: DataFrame) -> DataFrame:
-    """Claims of a language model where it gave any for known rows, else the heuristic ones."""
-    if llm is not None:
-        cited = llm.join(labelled.select(F.col("id").alias("evidence_id")), "evidence_id", "left_semi")
-        if cited.limit(1).count():
-            return cited
-    return heuristic_claims(labelled)
+def extracted(llm: DataFrame | None, labelled: DataFrame, block: str | None = None) -> DataFrame:
+    """Claims of a language model where it gave any for known rows, else the heuristic ones: of each `block` by itself, if one is named."""
+    if llm is None:
+        return heuristic_claims(labelled)
+    keys = [block] if block else []
+    cited = llm.join(labelled.select(F.col("id").alias("evidence_id"), *[F.col(k).alias("__block") for k in keys]), "evidence_id")
+    if not block:
+        return cited if cited.limit(1).count() else heuristic_claims(labelled)
+    answered = cited.select("__block").distinct()  # a row a block
+    silent = labelled.join(answered, F.col(block).eqNullSafe(F.col("__block")), "left_anti")
+    return cited.drop("__block").unionByName(heuristic_claims(silent), allowMissingColumns=True)
 
 
 def last_claims(claims: DataFrame) -> DataFrame:
@@ -171,17 +175,18 @@ def gates() -> dict[str, Column]:
     return {"buyer_identified": filled("buyer"), "channel_identified": filled("channel"), "payment_test_defined": filled("smallest_paid_test"), "rights_clear": F.col("compliance_status") == "policy_ok_local_research"}
 
 
-def scored(rows: DataFrame, weights: dict[str, float] | None = None, reviewed: Column | None = None) -> DataFrame:
+def scored(rows: DataFrame, weights: dict[str, float] | None = None, reviewed: Column | None = None, bands: tuple[tuple[str, float], ...] = BANDS) -> DataFrame:
     """`rows` with dimensions, total (unrounded), score_total, failed_gates, band and awaiting_review.
 
-    `weights` are keyed by dimension; without review no idea gets beyond the interview band.
+    `weights` are keyed by dimension, `bands` are names and floors, the highest first; without review no idea gets
+    beyond the interview band.
     """
     weights, dims, reviewed = weights or WEIGHTS, dimensions(), F.lit(False) if reviewed is None else reviewed
     out = rows.withColumns(dims)
     total = sum((F.col(d) * float(weights.get(d, 0)) for d in dims), F.lit(0.0)) / 10
     failed = F.array_compact(F.array(*[F.when(~ok, F.lit(name)) for name, ok in gates().items()]))
     out = out.withColumn("total", total).withColumn("failed_gates", failed)
-    reached = F.coalesce(*[F.when(F.col("total") >= floor, F.lit(name)) for name, floor in BANDS], F.lit("archive"))
+    reached = F.coalesce(*[F.when(F.col("total") >= floor, F.lit(name)) for name, floor in bands], F.lit("archive"))
     capped = F.when((F.size("failed_gates") > 0) & reached.isin("paid_validation", "interview"), "collect_more").otherwise(reached)
     waits = (capped == "paid_validation") & ~reviewed
     return out.withColumn("score_total", t.py_round("total", 1)).withColumn("awaiting_review", waits).withColumn("band", F.when(waits, "interview").otherwise(capped))

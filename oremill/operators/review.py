@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..functions.vocabulary import FEATURES
+from ..functions.vocabulary import BANDS, FEATURES
 from . import ideas, reports
 
 #: fixed values: what a reviewer may set, the compliance states, and the lengths of a pack
@@ -26,19 +26,24 @@ def queue(hypotheses: DataFrame, product_ideas: DataFrame, key: str, most: int |
 def edited(hypotheses: DataFrame, updates: DataFrame, key: str = "id") -> DataFrame:
     """`hypotheses` with the reviewable fields of `updates` that are not null; reviewed marks those that were asked for.
 
-    Other columns of `updates` change nothing.  An unknown compliance status fails the query.
+    Of several updates of one id the last value of each field counts, in the order of `updates`.  Other columns of
+    `updates` change nothing.  An unknown compliance status fails the query.
     """
     fields = [f for f in REVIEWABLE if f in updates.columns]
     status = F.col("compliance_status")
     known = F.when(status.isNull() | status.isin(*COMPLIANCE), status).otherwise(F.raise_error(F.concat(F.lit("unknown compliance status: "), status)))
     asked = updates.withColumn("compliance_status", known) if "compliance_status" in fields else updates
-    new = asked.select(key, *[F.col(f).alias(f"__{f}") for f in fields], F.lit(True).alias("__asked"))
+    placed = asked.select(key, *fields, F.monotonically_increasing_id().alias("__place"))
+    last = [F.max_by(f, F.when(F.col(f).isNotNull(), F.col("__place"))).alias(f"__{f}") for f in fields]
+    new = placed.groupBy(key).agg(F.lit(True).alias("__asked"), *last)
     met = hypotheses.join(new, key, "left")
     held = {f: F.coalesce(f"__{f}", F.col(f) if f in hypotheses.columns else F.lit(None)) for f in fields}
     return met.withColumns(held).withColumn("reviewed", F.coalesce("__asked", F.lit(False))).drop(*[f"__{f}" for f in fields], "__asked")
 
 
-def rescored(hypotheses: DataFrame, product_ideas: DataFrame, snapshots: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+def rescored(
+    hypotheses: DataFrame, product_ideas: DataFrame, snapshots: DataFrame, weights: dict[str, float] | None = None, bands: tuple[tuple[str, float], ...] = BANDS
+) -> DataFrame:
     """Ideas of reviewed `hypotheses` (edited) scored again, as reviewed, from the latest snapshot of their features.
 
     An idea without a snapshot is left out, and so is one of a hypothesis that nobody reviewed.
@@ -51,7 +56,7 @@ def rescored(hypotheses: DataFrame, product_ideas: DataFrame, snapshots: DataFra
     flags = ("comparison_present", "budget_roi_present")
     feats = {f: (F.coalesce(F.col("features")[f], F.lit(0.0)) > 0 if f in flags else F.coalesce(F.col("features")[f], F.lit(0.0))) for f in FEATURES}
     keep = ["id", "hypothesis_id", "form"]
-    return ideas.scored(met.select(*keep, "buyer", "channel", "compliance_status", test.alias("smallest_paid_test"), "features").withColumns(feats), weights, F.lit(True))
+    return ideas.scored(met.select(*keep, "buyer", "channel", "compliance_status", test.alias("smallest_paid_test"), "features").withColumns(feats), weights, F.lit(True), bands)
 
 
 def snapshots_of(scores: DataFrame, at: Column) -> DataFrame:
@@ -60,14 +65,14 @@ def snapshots_of(scores: DataFrame, at: Column) -> DataFrame:
     return scores.select(name.alias("id"), F.col("id").alias("idea_id"), "features", "total", at.alias("created_at"))
 
 
-def apply_review(store, updates: DataFrame, at: Column, weights: dict[str, float] | None = None) -> DataFrame:
+def apply_review(store, updates: DataFrame, at: Column, weights: dict[str, float] | None = None, bands: tuple[tuple[str, float], ...] = BANDS) -> DataFrame:
     """Edit the store's hypotheses, score their ideas again, append snapshots; returns (id, score_total, band, failed_gates)."""
     from ..sources.scratch import Scratch
 
     scratch = Scratch(store.spark, "review")
     new = scratch.put(edited(store.scan("problem_hypothesis"), updates))
     held = store.scan("product_idea")
-    scores = scratch.put(rescored(new, held, store.scan("score_snapshot"), weights))
+    scores = scratch.put(rescored(new, held, store.scan("score_snapshot"), weights, bands))
     store.replace("problem_hypothesis", new)
     changed = scores.select("id", F.col("score_total").alias("s"), F.col("band").alias("b"), F.col("failed_gates").alias("g"), F.lit(True).alias("again"))
     met = held.join(changed, "id", "left")

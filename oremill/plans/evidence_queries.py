@@ -47,6 +47,30 @@ def canonical_domain(spark, sf):
     return v.table(spark, sf, "pages").select("page_id", url.alias("canonical_url"), t.host_of(F.col("url")).alias("domain"))
 
 
+#: Ways in which collected URLs are odd, around the host of a page: its number decides which.
+ODD_URLS = (
+    ("http://user:pw@WWW.", ":8080/a b/?b=x%20y&a=1+2#top"), ("//", "/p//?q=caf%C3%A9&utm_source=z&q=a"), ("", "/no scheme?x=1&x=0"),
+    ("HTTPS://", "/%7Eme/?z=a=b&y=100%25&k=&~t=*&j"), ("  https://", "/list?tags=a,b|c d&a.b=1 "), ("ftp://", "?only=query/with/slashes"), ("https://", " /blank?u=1%2B1"),
+)
+
+
+@query("q96_odd_urls", f"""
+WITH u AS (SELECT page_id, trim({sql_list([a for a, _ in ODD_URLS])}[page_id % 7 + 1] || regexp_extract(url, '^[a-zA-Z]+://([^/:?#]*)', 1) || {sql_list([b for _, b in ODD_URLS])}[page_id % 7 + 1]) AS url FROM pages),
+f AS (SELECT page_id, split_part(url, '#', 1) AS url FROM u),
+g AS (SELECT page_id, CASE WHEN regexp_matches(url, '^[a-zA-Z]+:') THEN lower(split_part(url, ':', 1)) ELSE 'https' END AS scheme, regexp_replace(url, '^[a-zA-Z]+:', '') AS rest FROM f),
+h AS (SELECT page_id, scheme, CASE WHEN rest LIKE '//%' THEN regexp_extract(rest, '^//([^/?]*)', 1) ELSE '' END AS place, regexp_extract(regexp_replace(rest, '^//[^/?]*', ''), '^[^?]*') AS p, regexp_extract(rest, '\?(.*)$', 1) AS q FROM g),
+k AS (SELECT *, list_sort(list_filter(list_transform(list_filter(string_split(q, '&'), lambda x: regexp_matches(x, '=.')), lambda x: [url_decode(replace(split_part(x, '=', 1), '+', ' ')), url_decode(replace(substr(x, strpos(x, '=') + 1), '+', ' '))]),
+  lambda x: NOT list_contains({sql_list(TRACKING)}, x[1]))) AS kept FROM h),
+d AS (SELECT *, regexp_replace(lower(split_part(regexp_replace(place, '^.*@', ''), ':', 1)), '^www\.', '') AS domain FROM k)
+SELECT page_id, domain, scheme || '://' || domain || coalesce(nullif(regexp_replace(p, '/+$', ''), ''), '/')
+  || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(list_transform(kept, lambda x: replace(url_encode(x[1]), '%20', '+') || '=' || replace(url_encode(x[2]), '%20', '+')), '&') ELSE '' END AS canonical_url FROM d""")
+def odd_urls(spark, sf):
+    """Canonical URLs and hosts of URLs with blanks, escapes, users, ports, and without a scheme."""
+    pages = v.table(spark, sf, "pages")
+    url = F.concat(v.pick([a for a, _ in ODD_URLS], F.col("page_id")), t.host_of(F.col("url")), v.pick([b for _, b in ODD_URLS], F.col("page_id")))
+    return pages.withColumn("odd", url).select("page_id", t.host_of(F.col("odd")).alias("domain"), t.canonical_url(F.col("odd")).alias("canonical_url"))
+
+
 @query("q03_content_hash", f"WITH {HASHED} SELECT id, content_hash, near_dup_key FROM hashed")
 def content_hash(spark, sf):
     return v.hashed(v.evidence(spark, sf)).select("id", "content_hash", "near_dup_key")

@@ -69,13 +69,13 @@ def analyse(
     spark = scratch.spark
     found = scratch.put(marked(rows, settings, scratch))
     originals = scratch.put(dedupe.originals(found))
-    own = ideas.extracted(claims, originals) if claims is None or "evidence_id" in claims.columns else claims
+    own = ideas.extracted(claims, originals, "vertical")
     own = scratch.put(_whole_claims(own).join(originals.select(F.col("id").alias("evidence_id")), "evidence_id", "left_semi"))
     member_rows = scratch.put(memberships(originals, rules, settings, clustered))
     keyed = scratch.put(own.join(member_rows.select(F.col("id").alias("evidence_id"), "hyp", F.col("vertical").alias("of")), "evidence_id"))
     hyps = scratch.put(ideas.hypotheses(member_rows, keyed, "hyp", policy.rights_clear(member_rows, rules, "hyp")))
     feats = scratch.put(ideas.features(member_rows, keyed, "hyp"))
-    scored = ideas.scored(ideas.forms(hyps, spark).join(feats, "hyp"), rubric.weights)
+    scored = ideas.scored(ideas.forms(hyps, spark).join(feats, "hyp"), rubric.weights, bands=rubric.bands)
     top = scratch.put(ideas.top_ideas(scored, "hyp", TOP_IDEAS).join(price_band(priced_amounts(keyed, ["hyp"], "price_signal"), ["hyp"]), "hyp", "left"))
     drafts = ideas.experiment_spec(top)
     of = member_rows.groupBy("hyp").agg(F.first("vertical").alias("vertical"), F.max("cluster").alias("cluster"), F.count("*").alias("members"))
@@ -85,27 +85,29 @@ def analyse(
         "hypotheses": hyps.join(of.select("hyp", "vertical", "cluster"), "hyp"), "links": ideas.evidence_links(member_rows, keyed, "hyp"),
         "features": feats, "ideas": top.join(of.select("hyp", "vertical"), "hyp"), "experiments": drafts,
     }
-    return frames | {"counters": counters(frames, "llm" if claims is not None else "heuristic")}
+    return frames | {"counters": counters(frames)}
 
 
 def _whole_claims(claims: DataFrame) -> DataFrame:
     """Claims with every column that later steps read."""
-    kinds = {"persona": "string", "job": "string", "current_workaround": "string", "price_signal": "string", "incumbents": "array<string>", "urgency": "double"}
+    kinds = {"persona": "string", "job": "string", "current_workaround": "string", "price_signal": "string", "incumbents": "array<string>", "urgency": "double", "model_version": "string"}
     return claims.withColumns({c: F.lit(None).cast(kind) for c, kind in kinds.items() if c not in claims.columns})
 
 
-def counters(frames: dict[str, DataFrame], mode: str) -> DataFrame:
+def counters(frames: dict[str, DataFrame]) -> DataFrame:
+    """A row a vertical; its extraction_mode is llm where it has claims of a model, else heuristic."""
     per = frames["marked"].groupBy("vertical").agg(F.count_if(F.col("is_duplicate_of").isNull()).alias("originals"), F.count("is_duplicate_of").alias("duplicates"))
     where = frames["originals"].select(F.col("id").alias("evidence_id"), "vertical")
     sides = [
-        frames["claims"].select("evidence_id").join(where, "evidence_id").groupBy("vertical").agg(F.count("*").alias("claims")),
+        frames["claims"].select("evidence_id", F.coalesce(F.col("model_version") != ideas.HEURISTIC, F.lit(True)).alias("said")).join(where, "evidence_id")
+        .groupBy("vertical").agg(F.count("*").alias("claims"), F.bool_or("said").alias("said")),
         frames["clusters"].groupBy("vertical").agg(F.count("*").alias("clusters")),
         frames["hypotheses"].groupBy("vertical").agg(F.count("*").alias("hypotheses")),
         frames["ideas"].groupBy("vertical").agg(F.count("*").alias("ideas")),
     ]
     for side in sides:
         per = per.join(F.broadcast(side), "vertical", "left")  # a row a vertical
-    return per.na.fill(0).withColumn("extraction_mode", F.lit(mode))
+    return per.na.fill(0).withColumn("extraction_mode", F.when(F.coalesce("said", F.lit(False)), "llm").otherwise("heuristic")).drop("said")
 
 
 # ---------------------------------------------------------------- over a store

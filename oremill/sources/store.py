@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..errors import WriteConflict
 from ..functions.vocabulary import RIGHT_NAMES
 
 _RIGHTS = "struct<" + ",".join(f"{n}:boolean" for n in RIGHT_NAMES) + ">"
@@ -62,10 +67,12 @@ def schema(name: str) -> T.StructType:
 
 
 class Store:
-    """Tables below one folder; every change writes a new version, which counts once Spark has marked it as whole.
+    """Tables below one folder; a version of a table is a file that lists its folders.
 
-    Parquet has no update or delete: `replace` writes what survives and leaves the old version to readers that hold it,
-    until `vacuum`.
+    Rows are written to a folder with a name of its own, and count once the list that names it is put in place by one
+    rename, which fails if the number is taken: what a failed write left behind is in no list, and readers see a change
+    whole or not at all.  Parquet has no update or delete: `replace` writes what survives and leaves the old version to
+    readers that hold it, until `vacuum`.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -76,12 +83,37 @@ class Store:
         return self.spark._jvm.org.apache.hadoop.fs.Path(path)
 
     def versions(self, name: str) -> list[str]:
-        """Whole versions of a table, oldest first."""
-        folder = self._path(f"{self.root}/{name}")
+        """The lists of a table's versions, oldest first."""
+        folder = self._path(f"{self.root}/{name}/_versions")
         if not self._fs.exists(folder):
             return []
-        found = sorted(s.getPath().toString() for s in self._fs.listStatus(folder))
-        return [p for p in found if self._fs.exists(self._path(f"{p}/_SUCCESS"))]
+        found = [s.getPath() for s in self._fs.listStatus(folder)]
+        return sorted(p.toString() for p in found if p.getName().isdigit())
+
+    def folders(self, version: str) -> list[str]:
+        """The folders whose rows make up a version."""
+        stream = self._fs.open(self._path(version))
+        try:
+            return [f"{self.root}/{line}" for line in self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split()]
+        finally:
+            stream.close()
+
+    def _commit(self, name: str, after: list[str], folders: list[str]) -> None:
+        """Make `folders` the version that follows the versions `after`; WriteConflict if there is one by now."""
+        jvm, number = self.spark._jvm, int(after[-1].rsplit("/", 1)[1]) + 1 if after else 1
+        new = self._path(f"{self.root}/{name}/_versions/new-{uuid.uuid4().hex}")
+        out = self._fs.create(new)
+        out.write("\n".join(f[len(self.root) + 1 :] for f in folders).encode())
+        out.close()
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(new, self._path(f"{self.root}/{name}/_versions/{number:08d}"), options)
+        except Py4JJavaError as e:
+            self._fs.delete(new, False)
+            if e.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+                raise
+            raise WriteConflict(f"{name} got its version {number} from another writer") from e
 
     def init(self) -> dict[str, int]:
         """Empty tables where there are none, and the version of their schema; says how many rows each has."""
@@ -95,37 +127,51 @@ class Store:
         """`rows` with the table's columns, in its order and types; missing ones are null, others are left out."""
         return rows.select(*[(F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema(name)])
 
-    def _write(self, name: str, rows: DataFrame, path: str) -> None:
-        by = PARTITIONED.get(name)
-        writer = self.shaped(name, rows).write.mode("append")
+    def _write(self, name: str, rows: DataFrame) -> str:
+        """Write `rows` to a new folder; returns it."""
+        path, by = f"{self.root}/{name}/{uuid.uuid4().hex}", PARTITIONED.get(name)
+        writer = self.shaped(name, rows).write.mode("errorifexists")
         (writer.partitionBy(by) if by else writer).parquet(path)
+        return path
 
     def replace(self, name: str, rows: DataFrame) -> None:
-        """A new version of the table that holds `rows`."""
-        held = self.versions(name)
-        number = int(held[-1].rsplit("/v", 1)[1]) + 1 if held else 1
-        self._write(name, rows, f"{self.root}/{name}/v{number:08d}")
+        """A new version of the table that holds `rows`; refused if another writer makes one meanwhile."""
+        after = self.versions(name)
+        self._commit(name, after, [self._write(name, rows)])
 
     def append(self, name: str, rows: DataFrame) -> None:
-        """`rows` added to the current version; a second run of the same rows is the caller's to prevent (natural ids, upsert)."""
-        held = self.versions(name)
-        if held:
-            self._write(name, rows, held[-1])
-        else:
-            self.replace(name, rows)
+        """A new version with `rows` added to those of the current one, whatever others write meanwhile; a second run of the same
+        rows is the caller's to prevent (natural ids, upsert)."""
+        folder = self._write(name, rows)
+        while True:
+            after = self.versions(name)
+            try:
+                return self._commit(name, after, [*(self.folders(after[-1]) if after else []), folder])
+            except WriteConflict:
+                continue
 
     def vacuum(self) -> None:
-        """Delete all but the current versions."""
+        """Delete all but the current versions, and what failed writes left; for times when nobody writes."""
         for name in TABLES:
-            for old in self.versions(name)[:-1]:
-                self._fs.delete(self._path(old), True)
+            held = self.versions(name)
+            if not held:
+                continue
+            keep = {self._path(p).getName() for p in [held[-1], *self.folders(held[-1])]} | {"_versions"}
+            for folder in (f"{self.root}/{name}/_versions", f"{self.root}/{name}"):
+                for status in self._fs.listStatus(self._path(folder)):
+                    if status.getPath().getName() not in keep:
+                        self._fs.delete(status.getPath(), True)
 
     def scan(self, name: str, *predicates: Column, **equal) -> DataFrame:
         """The rows for which all predicates hold; both reach the Parquet scan, and a vertical picks its folder."""
         held = self.versions(name)
         if not held:
             return self.spark.createDataFrame([], schema(name))
-        rows = self.spark.read.schema(schema(name)).parquet(held[-1]).select(*schema(name).names)
+        read = self.spark.read.schema(schema(name))
+        folders = self.folders(held[-1])
+        # folders of partitions are told apart below one root only
+        sides = [read.parquet(f) for f in folders] if name in PARTITIONED else [read.parquet(*folders)]
+        rows = functools.reduce(DataFrame.unionByName, [side.select(*schema(name).names) for side in sides])
         for cond in (*predicates, *[F.col(c).eqNullSafe(F.lit(x)) if x is None else F.col(c) == F.lit(x) for c, x in equal.items()]):
             rows = rows.filter(cond)
         return rows

@@ -1,5 +1,6 @@
 """Golden values of the scalar functions."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,6 +25,18 @@ LABELS = [
 ]
 
 
+ODD = (
+    "https://e.com/a b?x=1", "http://u:p@WWW.E.com:80/a b/?b=x%20y&a=1+2#t", "//e.com//p//?q=caf%C3%A9&=v&k=", "e.com/no scheme?x=1&x=0", "HTTPS://e.com/%7Eme/?z=a=b&y=100%25&~t=*&j",
+    "  https://e.com/list?tags=a,b|c d&a.b=1 ", "ftp://e.com?q=a/b", "https://[::1]:8080/x", "https://e.com/?u=1%2B1&v=%zz&w=a%zz+b", "#only", "?a=1", "   ", "", "mailto:me@e.com", "https://e.com/é?ü=ß", "https://e.com/a?b=c?d=e&f=g#h?i",
+)
+
+
+def test_odd_urls_as_the_library_splits_them(spark):
+    want = text._decoded(pd.Series(list(ODD))).tolist()
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(ODD)], "i int, u string").select("i", text.canonical_url(F.col("u")).alias("c")).collect()
+    assert [r.c for r in sorted(rows)] == want
+
+
 def one(spark, value, *columns):
     return tuple(spark.range(1).select(F.lit(value).cast("string").alias("x")).select(*[c(F.col("x")) for c in columns]).first())
 
