@@ -55,7 +55,7 @@ ODD_URLS = (
 
 
 @query("q96_odd_urls", f"""
-WITH u AS (SELECT page_id, trim({sql_list([a for a, _ in ODD_URLS])}[page_id % 7 + 1] || regexp_extract(url, '^[a-zA-Z]+://([^/:?#]*)', 1) || {sql_list([b for _, b in ODD_URLS])}[page_id % 7 + 1]) AS url FROM pages),
+WITH u AS (SELECT page_id, trim({sql_list([a for a, _ in ODD_URLS])}[page_id % 7 + 1] || regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]*)', 1)), '^www\\.', '') || {sql_list([b for _, b in ODD_URLS])}[page_id % 7 + 1]) AS url FROM pages),
 f AS (SELECT page_id, split_part(url, '#', 1) AS url FROM u),
 g AS (SELECT page_id, CASE WHEN regexp_matches(url, '^[a-zA-Z]+:') THEN lower(split_part(url, ':', 1)) ELSE 'https' END AS scheme, regexp_replace(url, '^[a-zA-Z]+:', '') AS rest FROM f),
 h AS (SELECT page_id, scheme, CASE WHEN rest LIKE '//%' THEN regexp_extract(rest, '^//([^/?]*)', 1) ELSE '' END AS place, regexp_extract(regexp_replace(rest, '^//[^/?]*', ''), '^[^?]*') AS p, regexp_extract(rest, '\?(.*)$', 1) AS q FROM g),
