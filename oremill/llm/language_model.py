@@ -727,8 +727,10 @@ def score_documents(docs: DataFrame, scratch: Scratch, sweeps: int = SWEEPS, bur
     none = F.lit(None).cast("binary")
     last = state.filter(F.col("kind") == SEATS).select("owner", F.lit(-1).cast("long").alias("chunk"), F.col("a").alias("contexts"), F.col("b").alias("sizes"), none.alias("words"), none.alias("counts"))
     seats = scratch.put("seats", static().cogroup(pairs().unionByName(last).groupBy("owner")).applyInArrow(_ask_model(discount), ASKED))
+    scratch.drop("model", "base", f"state{sweeps - 1}")  # what documents ask of them is written
     rank = words.select(F.col("owner").alias("root"), "chunk", "ranks")
     roots = scratch.put("roots", rank.groupBy("root").cogroup(kept.groupBy("root")).applyInArrow(_tell_root(rests[burn:]), ASKED))
+    scratch.drop(*[f"root{k}" for k in range(sweeps)])
     scratch.release()
     numbers = named.select("chunk", F.lit(0).alias("kind"), "owner", F.col("ranks").alias("a"), F.col("counts").alias("b"))
     answers = numbers.unionByName(seats).unionByName(roots)
