@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import label_tokens
+from .density import density_clusters
 
 
 def greedy_clusters(rows: DataFrame, threshold: float, block: str) -> DataFrame:
@@ -41,43 +42,16 @@ def greedy_clusters(rows: DataFrame, threshold: float, block: str) -> DataFrame:
 DENSE_FROM = 40
 
 
-def density_available() -> bool:
-    """Whether the two optional libraries of density clustering are there."""
-    import importlib.util
-
-    return all(importlib.util.find_spec(name) for name in ("umap", "hdbscan"))
-
-
-def density_clusters(rows: DataFrame, block: str) -> DataFrame:
-    """(block, ord, cluster) by density after a projection to few dimensions; noise stays alone.  One task a block."""
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        import hdbscan
-        import umap
-
-        pdf = pdf.sort_values("ord", kind="stable")
-        n = len(pdf)
-        flat = umap.UMAP(n_components=min(10, max(2, n // 10)), metric="cosine", random_state=42).fit_transform(np.array(pdf["embedding"].tolist()))
-        found = hdbscan.HDBSCAN(min_cluster_size=3).fit_predict(flat)
-        noise = found < 0
-        found[noise] = found.max(initial=-1) + 1 + np.arange(noise.sum())
-        return pd.DataFrame({block: pdf[block], "ord": pdf["ord"], "cluster": found})
-
-    kind = dict(rows.dtypes)[block]
-    return rows.select(block, "ord", "embedding").groupBy(block).applyInPandas(scan, f"{block} {kind}, ord long, cluster long")
-
-
-def clusters(rows: DataFrame, threshold: float, block: str) -> DataFrame:
-    """Density clusters of blocks of DENSE_FROM rows or more that all have vectors, where the libraries are there; greedy ones of the others.
-
-    Blocks of fewer than two rows are left out.
+def clusters(rows: DataFrame, threshold: float, block: str, dense: bool = False) -> DataFrame:
+    """(block, ord, cluster): greedy clusters; where `dense`, density clusters of blocks of DENSE_FROM rows or more that all
+    have vectors, noise staying alone, and greedy ones of the others.  Blocks of fewer than two rows are left out.
     """
     size = rows.groupBy(block).agg(F.count("*").alias("n"), F.count_if(F.size("embedding") > 0).alias("v")).filter("n > 1")
-    if not density_available():
+    if not dense:
         return greedy_clusters(rows.join(size.select(block), block, "left_semi"), threshold, block)
-    dense = (F.col("n") >= DENSE_FROM) & (F.col("v") == F.col("n"))
+    thick = (F.col("n") >= DENSE_FROM) & (F.col("v") == F.col("n"))
     of = lambda cond: rows.join(size.filter(cond).select(block), block, "left_semi")
-    return density_clusters(of(dense), block).unionByName(greedy_clusters(of(~dense), threshold, block))
+    return density_clusters(of(thick), block).drop("noise").unionByName(greedy_clusters(of(~thick), threshold, block))
 
 
 def groups(clustered: DataFrame, block: str, least: int = 2, most: int = 10) -> DataFrame:

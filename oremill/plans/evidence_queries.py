@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..functions.pricing import parse_prices, price_band, priced_amounts
 from ..functions.vocabulary import BANDS, FAST_FORMS, FORMS, HIGH_INTENT, STOP_WORDS, TRACKING, WEIGHTS
-from ..operators import cluster, dedupe, ideas, policy, reports
+from ..operators import cluster, dedupe, density, ideas, policy, reports
 from ..sources import views as v
 from ..sources.scratch import Scratch
 from .common_sql import CLAIMS, DUPES, EV, HASHED, LABELLED, POLICY, labels, quoted, sql_list
@@ -114,6 +114,23 @@ def greedy_cluster(spark, sf):
     return cluster.groups(cluster.greedy_clusters(vectors(spark, sf), 0.3, "block"), "block")
 
 
+@query("q97_density_clusters")
+def density_clusters(spark, sf):
+    """Every vector's density cluster within its block; tiles of 256 rows, so that blocks of these tables have several."""
+    return density.density_clusters(vectors(spark, sf), "block", Scratch(spark, "density").put, tile=256)
+
+
+@query("q98_core_distances", """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+d AS (SELECT x.vec_id, round(sqrt(greatest(2 - 2 * list_cosine_similarity(x.v, y.v), 0)), 7) AS d FROM e x JOIN e y ON x.vec_id <> y.vec_id AND x.vec_id % 8 = y.vec_id % 8),
+k AS (SELECT vec_id, d, row_number() OVER (PARTITION BY vec_id ORDER BY d) AS place FROM d)
+SELECT vec_id AS ord, round(d, 6) AS core FROM k WHERE place = 2""")
+def core_distances(spark, sf):
+    """The distance to the third nearest vector, itself counted, within one of eight blocks."""
+    rows = v.table(spark, sf, "embeddings").select(F.col("vec_id").alias("ord"), "embedding", (F.col("vec_id") % 8).alias("block"))
+    found = density.core_distances(Scratch(spark, "core").put(density.tiled(rows, "block", tile=256)))
+    return found.select("ord", F.round("core", 6).alias("core"))
+
+
 @query("q10_cluster_label", f"""WITH {LABELLED},
 w AS (SELECT source, ord, unnest(l) AS value, unnest(range(len(l))) AS pos FROM (SELECT source, ord, list_filter(regexp_extract_all(lower(title), '([a-z][a-z0-9+-]{{2,}})', 1), lambda x: NOT list_contains({sql_list(STOP_WORDS)}, x)) AS l FROM lb)),
 r AS (SELECT source, value, row_number() OVER (PARTITION BY source ORDER BY n DESC, o, p) AS k FROM (SELECT source, value, count(*) AS n, min(ord) AS o, arg_min(pos, ord * 1000 + pos) AS p FROM w GROUP BY source, value)),

@@ -50,7 +50,7 @@ def memberships(originals: DataFrame, rules: DataFrame, settings: Settings, clus
         if "embedding" not in originals.columns:
             clustered = originals.select("vertical", "ord", F.lit(None).cast("long").alias("cluster")).limit(0)
         else:
-            clustered = cluster.clusters(originals.join(allowed, "vertical", "left_semi"), settings.cluster_threshold, "vertical")
+            clustered = cluster.clusters(originals.join(allowed, "vertical", "left_semi"), settings.cluster_threshold, "vertical", settings.dense_clusters)
     held = originals.join(clustered, ["vertical", "ord"], "left")
     kept = cluster.groups(held.filter("cluster IS NOT NULL"), "vertical", most=TOP_CLUSTERS).select("vertical", "cluster", "members")
     inside = held.join(F.broadcast(kept), ["vertical", "cluster"])  # at most ten rows a vertical

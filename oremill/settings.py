@@ -33,6 +33,7 @@ class Settings:
     embedding_dim: int = 1024
     semantic_threshold: float = 0.97
     cluster_threshold: float = 0.72
+    dense_clusters: bool = False
     use_model_claims: bool = True
     sources: tuple[str, ...] = ("searxng",)
     reports_dir: str = "reports"

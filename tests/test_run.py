@@ -83,7 +83,6 @@ def test_clusters_above_the_cap_and_fallback(spark):
     found = run.memberships(rows.drop("c"), views.policies(spark), cfg.Settings(), rows.filter("vertical = 'v'").select("vertical", "ord", F.col("c").alias("cluster")))
     assert found.filter("vertical = 'v'").select("hyp").distinct().count() == run.TOP_CLUSTERS
     assert [r.hyp for r in found.filter("vertical = 'w'").collect()] == ["w/all"]
-    assert not cluster.density_available()
 
 
 def test_settings(spark, tmp_path):
