@@ -4,6 +4,8 @@ Native: DataFrame functions only.  Documents of a source are put in a pseudo-ran
 Each gets a virtual finish time, the words of its source up to and with it divided by the source's target; the mix
 takes documents in the order of finish times, all sources together, up to the total budget.
 
+Rows alike in doc_id, source and size (and, where asked, text) are counted first and stand in the queue as one group, one
+behind the other, so that no number of copies or of missing ids meets in one task; groups become rows again by chunks.
 Prefix sums over a source are taken in two steps, over buckets of the order key, as many as the rows ask for, and inside
 each bucket; the cut is found by a histogram of finish times whose cutting bin is divided again until it holds no more
 than EXACT rows, and by the exact order inside that: no task holds a whole source, or a share of it that grows.
@@ -28,6 +30,7 @@ MOST = 2
 BINS = 1 << 14
 EXACT = 1 << 16
 BUCKET_ROWS = 1 << 16
+CHUNK_ROWS = 1 << 12
 
 
 def n_words(text: Column) -> Column:
@@ -54,34 +57,45 @@ def targets(sized: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: int
     return held.select("source", "source_size", share.alias("target"))
 
 
+def each_row(groups: DataFrame) -> DataFrame:
+    """A row for each of the n rows of a group, numbered by `nth`; large groups are spread over tasks by chunks."""
+    single = groups.filter("n = 1").withColumn("nth", F.lit(0).cast("long"))
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK_ROWS)))
+    spread = groups.filter("n > 1").withColumn("chunk", chunk).repartition("doc_id", "size", "chunk")
+    first = F.col("chunk") * CHUNK_ROWS
+    several = spread.withColumn("nth", F.explode(F.sequence(first, F.least(first + CHUNK_ROWS, "n") - 1))).drop("chunk")
+    return single.unionByName(several)
+
+
 def plan_mix(sized: DataFrame, scratch: Scratch, seed: str = "mix", budget: float = BUDGET, most: int = MOST) -> DataFrame:
-    """`sized` (doc_id, source, size; a table) with source_size, target, finish of each epoch and taken, in queue order."""
+    """`sized` (doc_id, source, size[, digest]; a table) with source_size, target, finish of each epoch, copies and taken, in
+    queue order; `nth` of `n` numbers rows alike in all columns of `sized`."""
     goal = scratch.put("goal", targets(sized, budget=budget, most=most))
-    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), "size"))))
+    alike = [c for c in ("doc_id", "source", "size", "digest") if c in sized.columns]
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), "size"))
+    key = F.md5(F.concat(F.lit(seed), name, *[F.concat(F.lit(":"), "digest") for c in alike if c == "digest"]))
     digits, rows = 3, sized.count()
     while rows >> 4 * digits > BUCKET_ROWS:
         digits += 1
-    keyed = sized.withColumn("key", key).withColumn("bucket", F.substring("key", 1, digits))
-    inner = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    keyed = sized.groupBy(*alike).agg(F.count("*").alias("n")).withColumn("words", F.col("n") * F.col("size"))
+    keyed = scratch.put("keyed", keyed.withColumn("key", key).withColumn("bucket", F.substring("key", 1, digits)))
+    inner = Window.partitionBy("source", "bucket").orderBy("key", *[c for c in alike if c != "source"]).rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         keyed.groupBy("source", "bucket")
-        .agg(F.sum("size").alias("sum"))
+        .agg(F.sum("words").alias("sum"))
         .select("source", "bucket", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("offset"))
         .join(goal.withColumnRenamed("source", "source2"), F.col("source").eqNullSafe(F.col("source2")))
         .select(F.col("source").alias("source2"), F.col("bucket").alias("bucket2"), "offset", "source_size", "target")
     )
-    queued = (
-        keyed.withColumn("inner", F.sum("size").over(inner))
+    groups = (
+        keyed.withColumn("inner", F.coalesce(F.sum("words").over(inner), F.lit(0)))
         .join(offsets, F.col("source").eqNullSafe(F.col("source2")) & (F.col("bucket") == F.col("bucket2")))
-        .select(
-            "doc_id", "source", "size", "source_size", "target",
-            *[
-                F.coalesce(F.try_divide((F.col("offset") + F.col("inner") + F.lit(e) * F.col("source_size")).cast("double"), "target"), F.lit(0.0)).alias(f"finish{e + 1}")
-                for e in range(most)
-            ],
-        )
-    )
+        .select(*alike, "n", (F.col("offset") + F.col("inner")).alias("before"), "source_size", "target")
+    )
+    upto = F.col("before") + (F.col("nth") + 1) * F.col("size")
+    finish = lambda e: F.coalesce(F.try_divide((upto + F.lit(e) * F.col("source_size")).cast("double"), "target"), F.lit(0.0))
+    queued = each_row(scratch.put("groups", groups)).select(*alike, "n", "nth", "source_size", "target", *[finish(e).alias(f"finish{e + 1}") for e in range(most)])
     queued = scratch.put("queued", queued)
     times = [f"finish{e + 1}" for e in range(most)]
     each = queued.select("size", F.explode(F.array(*times)).alias("finish")).filter("size > 0")
@@ -110,8 +124,10 @@ def plan_mix(sized: DataFrame, scratch: Scratch, seed: str = "mix", budget: floa
     return queued.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).orderBy("finish1", "source", "doc_id")
 
 
-def size_table(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    return scratch.put("sized", narrowed(docs, "doc_id", "source", "text").select("doc_id", "source", n_words(F.col("text")).alias("size")))
+def size_table(docs: DataFrame, scratch: Scratch, by_text: bool = False) -> DataFrame:
+    """doc_id, source, size of every row and, `by_text`, a hash of its text, so that different texts under one id stand apart."""
+    digest = [F.xxhash64("text").alias("digest")] if by_text else []
+    return scratch.put("sized", narrowed(docs, "doc_id", "source", "text").select("doc_id", "source", n_words(F.col("text")).alias("size"), *digest))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

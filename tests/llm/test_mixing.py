@@ -58,3 +58,27 @@ def test_edges(spark):
     assert all(r.taken <= 2 * r.size for r in got)
     assert {r.target for r in mix(spark, rows[:2])} == {0.0}
     assert mix(spark, []) == []
+
+
+def test_a_hot_group_is_queued_like_rows_one_by_one(spark):
+    """20,000 rows without an id and 9,000 of one id, of one size: as many rows, takes and words as a plain queue gives."""
+    scratch = Scratch(spark, "t")
+    hot = spark.range(20_000).selectExpr("CAST(NULL AS LONG) AS doc_id", "'a' AS source", "3L AS size")
+    same = spark.range(9_000).selectExpr("7L AS doc_id", "'b' AS source", "5L AS size")
+    rest = spark.range(100, 1_100).selectExpr("id AS doc_id", "IF(id % 2 = 0, 'a', 'b') AS source", "1 + id % 11 AS size")
+    sized = scratch.put("sized", hot.union(same).union(rest))
+    got = mixing.plan_mix(sized, scratch).collect()
+    assert len(got) == 30_000 and sum(r.doc_id is None for r in got) == 20_000 and sum(r.doc_id == 7 for r in got) == 9_000
+    sums = {s: sum(r.size for r in got if r.source == s) for s in "ab"}
+    for s in "ab":
+        rows = [r for r in got if r.source == s]
+        assert {r.source_size for r in rows} == {sums[s]}
+        assert abs(sum(r.taken for r in rows) - rows[0].target) <= 22
+        # every place of the source's queue is taken by exactly one row
+        ends, at = sorted((round(r.finish1 * r.target), r.size) for r in rows), 0
+        for end, size in ends:
+            at += size
+            assert end == at
+    groups = spark.createDataFrame([(None, 2, 2 * mixing.CHUNK_ROWS + 5), (1, 2, 1), (2, 2, mixing.CHUNK_ROWS)], "doc_id long, size long, n long")
+    out = mixing.each_row(groups).groupBy("doc_id").agg({"nth": "max", "size": "count"}).collect()
+    assert {(r.doc_id, r["max(nth)"], r["count(size)"]) for r in out} == {(None, 2 * mixing.CHUNK_ROWS + 4, 2 * mixing.CHUNK_ROWS + 5), (1, 0, 1), (2, mixing.CHUNK_ROWS - 1, mixing.CHUNK_ROWS)}
