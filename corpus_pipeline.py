@@ -1,7 +1,7 @@
 """A training-corpus pipeline: each stage applies one corpus operator to all that the stage before it kept.
 
 Every stage but the last returns the columns of documents.  Rows are told apart by doc_id and, where that is null or
-repeats, by their other columns, so that a stage keeps or drops rows without moving texts more than once.
+repeats, by their other columns; texts move once a stage, those of rows that repeat twice.
 
 Defined results, for every stage: null texts read as empty; a null doc_id is kept as null; rows that repeat are rows of
 their own, but for near duplicates, of which one stays; an empty table stays empty; columns beyond those of documents
@@ -13,6 +13,9 @@ that finds texts that differ in few words of many, and leaves most pairs of a fi
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,8 +59,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     chosen = best.join(named, F.col("fp") == F.col("fp2")).groupBy("root").agg(F.min("best").alias("best"))
     chosen = chosen.select(F.col("best.doc_id").alias("chosen_id"), F.col("best.row").alias("chosen_row"), F.col("best.rows").alias("rows"))
     kept = docs.withColumn("row", row).join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen_id")) & (F.col("row") == F.col("chosen_row")))
-    first = F.row_number().over(Window.partitionBy("doc_id", "row").orderBy(F.octet_length("text")))
-    single, several = kept.filter("rows = 1"), kept.filter("rows > 1").withColumn("first", first).filter("first = 1")
+    # of equal rows one is kept, by a first in each task and then one of those
+    single, several = kept.filter("rows = 1"), kept.filter("rows > 1").dropDuplicates(["doc_id", "row"])
     return _documents(single).unionByName(_documents(several))
 
 
@@ -68,19 +71,36 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return _documents(found.filter(~F.col("contaminated")))
 
 
+ALIKE = ("doc_id", "source", "size", "digest")
+
+
+def _met(left: DataFrame, right: DataFrame, on: tuple[str, ...], how: str = "inner") -> DataFrame:
+    """A join on columns that may be null, which keeps those of `left`."""
+    named = right.select(*[F.col(c).alias(f"p_{c}") if c in on else F.col(c) for c in right.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"p_{c}")) for c in on]
+    return left.join(named, reduce(and_, same), how).drop(*[f"p_{c}" for c in on])
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document, 0 to 2, as the mix takes; documents without words stand in the queue like others."""
+    """As many copies of each document, 0 to 2, as the mix takes; documents without words stand in the queue like others.
+
+    A row alone in its doc_id, source, size and text is found by them.  Rows that repeat are numbered, by the part of the
+    table each was read from and inside that, so that neither one task nor one window holds all copies.
+    """
     docs, scratch = _documents(docs), _scratch(spark, "stage_mixing")
-    plan = mixing.plan_mix(mixing.size_table(docs, scratch), scratch)
-    order = Window.partitionBy("doc_id", "source", "size").orderBy(F.col("copies").desc())
-    plan = plan.select("doc_id", "source", "size", "copies").withColumn("place", F.row_number().over(order)).filter("copies > 0")
-    plan = plan.select(*[F.col(c).alias(f"p_{c}") for c in plan.columns])
-    sized = docs.withColumn("size", mixing.n_words(F.col("text")))
-    alike = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.xxhash64("text")))
-    met = sized.withColumn("place", alike).join(
-        plan, F.col("doc_id").eqNullSafe(F.col("p_doc_id")) & F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")) & (F.col("place") == F.col("p_place"))
-    )
-    return _documents(met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("p_copies").cast("int")))))
+    plan = mixing.plan_mix(mixing.size_table(docs, scratch, by_text=True), scratch).select(*ALIKE, "n", "nth", "copies")
+    held = docs.withColumn("size", mixing.n_words(F.col("text"))).withColumn("digest", F.xxhash64("text"))
+    met = _met(held, plan.filter("n = 1 AND copies > 0").drop("n", "nth"), ALIKE)
+    again = plan.filter("n > 1")
+    if not again.isEmpty():
+        parted = held.withColumn("part", F.spark_partition_id())
+        repeated = scratch.put("repeated", _met(parted, again.filter("nth = 0").select(*ALIKE), ALIKE, "left_semi"))
+        inside = F.row_number().over(Window.partitionBy(*ALIKE, "part").orderBy("lang", "n_chars"))
+        earlier = Window.partitionBy(*ALIKE).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = repeated.groupBy(*ALIKE, "part").agg(F.count("*").alias("rows")).withColumn("offset", F.coalesce(F.sum("rows").over(earlier), F.lit(0))).drop("rows")
+        numbered = _met(repeated.withColumn("inside", inside), offsets, (*ALIKE, "part")).withColumn("nth", F.col("offset") + F.col("inside") - 1)
+        met = met.unionByName(_met(numbered, again.filter("copies > 0").drop("n"), (*ALIKE, "nth")).select(*met.columns))
+    return _documents(met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

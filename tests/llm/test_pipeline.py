@@ -118,3 +118,15 @@ def test_one_row_a_component_where_ids_repeat_or_are_null(spark):
     want = [(None, far["a"]), (None, far["b"]), (1, far["c"]), (1, far["d"]), (3, far["e"])]
     key = lambda r: tuple(map(str, r))
     assert sorted(((r.doc_id, r.text) for r in got), key=key) == sorted(want, key=key)
+
+
+def test_mixing_rows_that_repeat_over_many_parts(spark):
+    one = [(None, "a b", "en", "s", 3)] * 300 + [(5, "c d", "en", "s", 3)] * 200 + [(5, "e f", "en", "s", 3)] * 50
+    rows = one + [(i, f"w{i} x y", "en", "t", 6) for i in range(10, 210)] + [(None, None, None, None, None)] * 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(7)
+    got = Counter((r.doc_id, r.text) for r in p.mix_sources(spark, docs, SF).collect())
+    have = Counter((r[0], r[1]) for r in rows)
+    assert all(n <= 2 * have[k] for k, n in got.items())
+    total = sum(len((t or "").split()) * n for (_, t), n in have.items())
+    assert abs(sum(len((t or "").split()) * n for (_, t), n in got.items()) - 1.5 * total) <= 3
+    assert got == Counter((r.doc_id, r.text) for r in p.mix_sources(spark, docs.repartition(3), SF).collect())
