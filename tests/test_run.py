@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from oremill import settings as cfg
 from oremill.errors import AnswerNotJson, ConfigError
-from oremill.operators import artifacts, cluster, review
+from oremill.operators import artifacts, review
 from oremill.plans import run
 from oremill.sources import models, payloads, store, views
 from oremill.sources.scratch import Scratch
