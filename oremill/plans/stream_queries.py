@@ -48,7 +48,7 @@ def stream_leaders(spark, sf):
     scratch = Scratch(spark, "stream_leaders")
     e = v.table(spark, sf, "embeddings").select(F.col("vec_id").alias("ord"), F.col("label").alias("block"), F.col("embedding").cast("array<double>").alias("embedding"))
     last = e.agg(F.max("ord")).first()[0] or 0
-    time = lambda n: F.timestamp_seconds(F.lit(1_704_067_200) + n * 3600)
+    time = lambda n: F.timestamp_seconds(F.lit(1_704_067_200) + n.cast("long") * 3600)
     rows = e.select(F.lpad(F.col("ord").cast("string"), 12, "0").alias("id"), F.col("block").cast("string").alias("block"), "embedding", time(F.col("ord")).alias("at"))
     tick = spark.range(1).select(F.lit(None).cast("string").alias("id"), F.lit("").alias("block"), F.lit(None).cast("array<double>").alias("embedding"), time(F.lit(last + 100)).alias("at"))
     hour = (F.unix_seconds("at") - 1_704_067_200) / 3600

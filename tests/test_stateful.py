@@ -7,11 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from oremill.operators import lineage
+from oremill.plans import stream_queries
 from oremill.sources import views
 from oremill.sources.keyindex import KeyIndex
 from oremill.sources.scratch import Scratch
 from oremill.streaming import stateful
 
+from .compare import both, duck
+
 SHAPE = "id string, block string, embedding array<double>, at timestamp"
 
 
@@ -75,6 +78,13 @@ def test_old_leaders_leave_a_live_block(spark):
     assert waiting.count() == 2  # what is newer than the watermark
 
 
+def test_leaders_with_large_numbers(spark, tmp_path):
+    """Hours counted from the newest vec_id go beyond 32 bits of seconds."""
+    duck("/root/testdata/sf0.001").sql("SELECT * REPLACE (vec_id + 900000 AS vec_id) FROM embeddings ORDER BY vec_id LIMIT 60").write_parquet(f"{tmp_path}/embeddings.parquet")
+    got, want = both(spark, stream_queries.QUERIES["q86_stream_leaders"], stream_queries.ORACLES["q86_stream_leaders"], tmp_path)
+    assert got == want and len(got[1]) == 60
+
+
 def test_retention_by_timers(spark):
     """Rows come out on the day they are due, not before, and none of a source without a limit."""
     scratch, path = Scratch(spark, "t"), None
