@@ -48,10 +48,11 @@ def claim_prompts(originals: DataFrame, key: str, most: int = 24, size: int = 6)
 
     A model is asked about few rows by design; what it does not read, heuristics do.
     """
-    place = F.row_number().over(Window.partitionBy(key).orderBy("ord")) - 1
-    line = F.to_json(F.struct("id", "title", t.cut(F.col("snippet"), SNIPPET_CHARS).alias("snippet")))
-    first = originals.withColumn("place", place).filter(F.col("place") < most)
-    each = first.select(key, F.floor(F.col("place") / size).cast("int").alias("batch"), F.struct("place", line.alias("line")).alias("l"))
+    # lines are cut before they are dealt, and numbers are compared as they are, so that each task sends `most` lines of a key at most
+    cut = originals.select(key, "ord", F.to_json(F.struct("id", "title", t.cut(F.col("snippet"), SNIPPET_CHARS).alias("snippet"))).alias("line"))
+    number = F.row_number().over(Window.partitionBy(key).orderBy("ord"))
+    first = cut.withColumn("number", number).filter(F.col("number") <= most).withColumn("place", F.col("number") - 1)
+    each = first.select(key, F.floor(F.col("place") / size).cast("int").alias("batch"), F.struct("place", "line").alias("l"))
     lines = F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n")
     ask = F.lit("State as a JSON list each pain, workaround or wish that these rows express, with the evidence_id it rests on:\n")
     return each.groupBy(key, "batch").agg(F.concat(ask, lines).alias("prompt"))

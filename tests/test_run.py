@@ -116,6 +116,15 @@ def test_settings(spark, tmp_path):
     assert list(adapters.build(views.policies(spark).withColumn("source", F.lit("x")))) == ["x"]
 
 
+def test_prompts_are_limited_where_rows_lie(spark):
+    """Each task numbers its own lines, cut already, and sends no more of a key than prompts hold."""
+    rows = spark.range(4000, numPartitions=4).select(F.concat(F.lit("e"), "id").alias("id"), F.col("id").alias("ord"), (F.col("id") % 2).cast("string").alias("vertical"), F.lit("t").alias("title"), F.repeat(F.col("id").cast("string"), 900).alias("snippet"))
+    prompts = models.claim_prompts(rows, "vertical")
+    assert "WindowGroupLimit" in prompts._jdf.queryExecution().executedPlan().toString()
+    lines = [json.loads(x)["id"] for r in prompts.orderBy("vertical", "batch").collect() for x in r.prompt.split("\n")[1:]]
+    assert lines == [f"e{i}" for k in (0, 1) for i in range(k, 48, 2)]
+
+
 def test_model_hooks(spark):
     rows = spark.createDataFrame([(f"e{i}", i, "v", f"title {i}", "s" * 700) for i in range(30)], "id string, ord int, vertical string, title string, snippet string")
     prompts = models.claim_prompts(rows, "vertical")
