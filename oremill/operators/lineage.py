@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..errors import RedisplayError
 
 NGRAM = 7
+#: A filter of grams has this many keys at most, whatever it was made from.
+FILTER_KEYS = 1 << 20
 
 
 def expired(rows: DataFrame, policy: DataFrame, now: Column) -> DataFrame:
@@ -89,14 +91,24 @@ def word_grams(texts: DataFrame, key: str, text: Column, n: int = NGRAM) -> Data
     return grams.select(key, (F.col("pos") + 1).alias("pos"), F.struct(F.xxhash64("words").alias("a"), F.xxhash64(F.lit(n), "words").alias("b")).alias("gram"))
 
 
+def may_share(grams: DataFrame, others: DataFrame) -> DataFrame:
+    """`grams` without most of those that `others`, the smaller side, lack; none that they have is dropped.
+
+    The filter is the distinct remainders of the hashes of `others`: no more than FILTER_KEYS numbers, so it can be sent to
+    every task, and `grams` are thinned where they are made.  A gram that others lack passes by their share of all keys.
+    """
+    key = F.pmod(F.col("gram.a"), F.lit(FILTER_KEYS)).alias("__key")
+    return grams.withColumn("__key", key).join(F.broadcast(others.select(key).distinct()), "__key", "left_semi").drop("__key")
+
+
 def shared_runs(artifacts: DataFrame, sources: DataFrame, a: str, b: str, n: int = NGRAM) -> DataFrame:
     """Pairs that share n words in a row: (a, b, longest, at), the length of the longest shared stretch and where in `a` the first one begins.
 
-    Grams meet in an equi-join of hashes, after those of the first side that the other lacks are dropped; runs of
-    consecutive positions on one diagonal give the longest shared stretch.
+    Grams meet in an equi-join of hashes, after those of the first side that the other, smaller one lacks are dropped; runs
+    of consecutive positions on one diagonal give the longest shared stretch.
     """
     known = sources.select("gram").distinct()
-    held = artifacts.join(known, "gram", "left_semi")
+    held = may_share(artifacts, sources).join(known, "gram", "left_semi")
     met = held.select(a, F.col("pos").alias("pa"), "gram").join(sources.select(b, F.col("pos").alias("pb"), "gram"), "gram")
     diagonal = met.withColumn("d", F.col("pa") - F.col("pb"))
     run = F.col("pa") - F.row_number().over(Window.partitionBy(a, b, "d").orderBy("pa"))
@@ -117,6 +129,7 @@ def redisplayed(artifacts: DataFrame, rows: DataFrame, fields: list[str], n: int
     held = each[0]
     for other in each[1:]:
         held = held.unionByName(other)
+    held = may_share(held, shown)
     met = shown.select("artifact", "pos", "gram").join(held.select(F.col("id").alias("evidence_id"), "field", "gram").distinct(), "gram")
     first = met.groupBy("artifact", "evidence_id", "field").agg(F.min("pos").alias("at"))
     return with_span(first, artifacts, "artifact", F.col("text"), n).drop("at")

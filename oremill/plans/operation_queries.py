@@ -181,7 +181,7 @@ def grams(spark, sf):
 def redisplay(spark, sf):
     a, b = grams(spark, sf)
     each = lambda df, key: df.select(key, "gram").distinct()
-    return each(a, "doc_id").join(each(b, "item_id"), "gram").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+    return each(lineage.may_share(a, b), "doc_id").join(each(b, "item_id"), "gram").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
 
 
 @query("q42_longest_ngram", f"""WITH {GRAMS}, r AS (SELECT *, pa - row_number() OVER (PARTITION BY doc_id, item_id, pa - pb ORDER BY pa) AS run FROM met), n AS (SELECT doc_id, item_id, count(*) + 6 AS l FROM r GROUP BY doc_id, item_id, pa - pb, run)

@@ -114,6 +114,24 @@ def test_lineage(spark):
     assert [r.id for r in lineage.missing(spark.createDataFrame([("e1",), ("e9",)], "id string"), ev).collect()] == ["e9"]
 
 
+def test_grams_are_thinned_before_they_are_dealt(spark, monkeypatch):
+    """Only grams that the smaller side may hold meet an exchange; a filter of few keys lets more through and changes no result."""
+    text = lambda name, k: " ".join(f"{name}{i}" for i in range(k))
+    rows = spark.createDataFrame([(i, text(f"x{i}_", 300) + " " + text("s", 9 + i)) for i in range(4)], "id int, text string")
+    shown = spark.createDataFrame([("page", "see " + text("s", 11))], "artifact string, text string")
+    want = [(i, "s0 s1 s2 s3 s4 s5 s6") for i in range(4)]
+    for keys in (lineage.FILTER_KEYS, 2):
+        monkeypatch.setattr(lineage, "FILTER_KEYS", keys)
+        got = lineage.redisplayed(shown, rows, ["text"])
+        assert sorted((r.evidence_id, r.span) for r in got.collect()) == want
+        held, known = lineage.word_grams(rows, "id", F.col("text")), lineage.word_grams(shown, "artifact", F.col("text"))
+        assert [(r.id, r.longest) for r in lineage.shared_runs(held, known, "id", "artifact").orderBy("id").collect()] == [(0, 9), (1, 10), (2, 11), (3, 11)]
+        for plan in (got, lineage.shared_runs(held, known, "id", "artifact")):
+            assert "BroadcastHashJoin [__key" in plan._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.undo()
+    assert lineage.may_share(held, known).count() < 40 < held.count()
+
+
 def test_experiments(spark):
     e = spark.createDataFrame([("x", "running"), ("y", "draft")], "id string, status string")
     o = spark.createDataFrame([("x", "deposit_paid")], "experiment_id string, kind string")
