@@ -88,6 +88,18 @@ def test_blocks_of_several_tiles(spark):
     assert density.density_clusters(df.limit(0), "block").collect() == []
 
 
+def test_what_is_sent_grows_with_the_rows(spark):
+    """A larger block has no more tiles but larger ones, compared piece by piece, and the same clusters."""
+    vectors = blobs(6, (30, 20, 12), 28) + [[1.0] * 5] * 10
+    df = spark.createDataFrame([("x", i, v) for i, v in enumerate(vectors)], "block string, ord long, embedding array<double>")
+    dealt = density.tiled(df, "block", tile=4)
+    assert dealt.agg({"parts": "max"}).first()[0] == density.PARTS and density._units(dealt).count() == density.PARTS * len(vectors)
+    want = plain(vectors)
+    for most, piece in ((3, 7), (1, 16), (1, 1000)):
+        got = {r.ord: (r.cluster, r.noise) for r in density.density_clusters(df, "block", tile=4, most=most, piece=piece).collect()}
+        assert got == {i: (want.get(i, i), i not in want) for i in range(len(vectors))}
+
+
 def test_dense_blocks_beside_greedy_ones(spark):
     thick, thin = blobs(5, (25, 15), 6), [[1.0, 0.0], [1.0, 0.01], [0.0, 1.0]]
     rows = [("thick", i, v) for i, v in enumerate(thick)] + [("thin", i, v) for i, v in enumerate(thin)] + [("alone", 0, [1.0])]
