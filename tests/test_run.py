@@ -173,6 +173,16 @@ def test_report(spark):
     assert all(f"## {name}" in text for name in sections) and "Vectors: none" in text
 
 
+def test_claims_are_stored_once(spark, monkeypatch):
+    """What a run writes of claims is one row a claim, of a model or heuristic."""
+    s, made, put = views.Stored(spark, "/root/testdata/sf0.001", "once", hashes=True), [], Scratch.put
+    given = s.claims.filter("vertical <> 'beta'")
+    monkeypatch.setattr(Scratch, "put", lambda self, df: made.append(put(self, df)) or made[-1])
+    frames = run.analyse(s.evidence, given, views.policies(spark), Scratch(spark, "once"))
+    written = sum(df.count() for df in made if {"evidence_id", "price_signal"} <= set(df.columns))
+    assert written == frames["claims"].count() > 0 and {r.extraction_mode for r in frames["counters"].collect()} == {"llm", "heuristic"}
+
+
 def test_outcome_files_with_odd_rows(spark, tmp_path):
     from oremill.operators import experiments
 
